@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bytes of text that a Python worker handles at once; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 20
 
@@ -47,6 +49,7 @@ class Scratch:
     tables lie in the shared folder. They are removed when the driver's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, self.path)
@@ -94,6 +97,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

@@ -240,6 +240,8 @@ def keep_good(docs: DataFrame, model: Trees, text: str = "text", cut: float = 0.
     """The rows whose text scores `cut` at least."""
     trees = docs.sparkSession.sparkContext.broadcast(model)
 
+    common.ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def p(s):
         import pandas as pd

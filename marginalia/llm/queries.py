@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, common, exact, packing, pages, quality, secrets
+from . import bpe, common, exact, jaccard, packing, pages, quality, secrets
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -20,6 +20,10 @@ def op3_html_extraction(spark, sf_dir):
     return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.classes(common.documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact.duplicates(common.documents(spark, sf_dir), keep="largest")
 
@@ -32,5 +36,5 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_html_extraction, op5_exact_dedup, op6_secret_scans, op7_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_html_extraction, op4_ngram_jaccard, op5_exact_dedup, op6_secret_scans, op7_packing)}
 ORACLES = {"op5_exact_dedup": exact.ORACLE}

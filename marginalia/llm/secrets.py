@@ -150,6 +150,8 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     """docs with each span replaced by mark; the column `length`, where there is one, is set anew for changed texts."""
     from pyspark.sql import functions as F
 
+    common.ship(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(s):
         return s.map(lambda t: redact_text(t, mark), na_action="ignore")
