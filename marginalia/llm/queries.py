@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, common, exact, jaccard, packing, pages, quality, secrets
+from . import bpe, common, exact, jaccard, packing, pages, quality, repeats, search, secrets
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -36,5 +36,13 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_html_extraction, op4_ngram_jaccard, op5_exact_dedup, op6_secret_scans, op7_packing)}
+def op8_suffix_dedup(spark, sf_dir):
+    return repeats.remove(common.documents(spark, sf_dir)).drop("removed", "kept")
+
+
+def op9_exact_search(spark, sf_dir):
+    return search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_html_extraction, op4_ngram_jaccard, op5_exact_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op9_exact_search)}
 ORACLES = {"op5_exact_dedup": exact.ORACLE}
