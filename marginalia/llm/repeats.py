@@ -103,10 +103,7 @@ def _pass(src: DataFrame, work, schema: str) -> DataFrame:
             if got is not None and len(got[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in got], schema=names)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = to_arrow_schema(_parse_datatype_string(schema))
+    names = common.arrow_schema(schema)
     return common.map_arrow(src, run, schema)
 
 
