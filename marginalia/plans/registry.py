@@ -1,6 +1,9 @@
-"""Named queries over the synthetic binding, each with its equivalent in DuckDB SQL."""
+"""Named queries over the synthetic binding, each with its equivalent in DuckDB SQL where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cleaning, incremental, matching, modelling, ranking, textual, views
+
+PARTS = (views, ranking, matching, cleaning, textual, incremental, modelling)
+QUERIES = {k: f for m in PARTS for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in PARTS for k, s in m.ORACLES.items()}
