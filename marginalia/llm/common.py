@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .textkit import mix
 
 #: Bytes of text that a Python worker handles at once; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -124,7 +125,7 @@ class Bitmap:
         self.mask = np.uint64(len(bits) * 8 - 1)
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = keys.view(np.uint64) if keys.dtype != np.uint64 else keys
+        k = mix(keys.view(np.uint64) if keys.dtype != np.uint64 else keys)
         return k & self.mask, (k >> np.uint64(32)) & self.mask
 
     def add(self, keys: np.ndarray) -> None:

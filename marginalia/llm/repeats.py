@@ -8,12 +8,12 @@ digits get longer; a suffix that is alone in its group drops out, the rest go on
    window's first `length` - 31 places, so equal windows have equal first digits at equal places and
    only about two grams in `length` bytes need to be looked at;
 2. the second digit is what all windows of a cell share: windows that hold the gram at `cell`
-   neighbouring depths have `length` - `cell` + 1 bytes in common. Where a group's members are equal
-   over all that the cell's windows cover, the windows are repeated, each of them, and the group is done;
-3. the last digit is the whole window, for cells that are equal in part.
+   neighbouring depths have `length` - `cell` + 1 bytes in common. Members of a group that are equal
+   over all that the cell's windows cover are one class; a class of two is repeated in each window and done;
+3. the last digit is the whole window, for one member of each class of a group with several.
 
-A group is a key of 64 bits of which only the count and the least and largest continuation are
-gathered, so very common passages are combined before the shuffle. Which digits go on is told to the
+A group is a key of 64 bits of which only a count and one member are gathered, so very common passages
+are combined before the shuffle. Which digits go on is told to the
 next pass by a bitmap of fixed size; a wrong "maybe" adds rows, and counts settle it. Keys are 64-bit
 hashes of the bytes; unequal windows would have to collide in one to be taken for equal.
 
@@ -107,6 +107,10 @@ def _pass(src: DataFrame, work, schema: str) -> DataFrame:
     return common.map_arrow(src, run, schema)
 
 
+def _cell_id(ref, at, far, cell: int):
+    return ref.bitwiseXOR(at * 64 + F.floor(far / cell).cast("long"))
+
+
 def spans(docs: DataFrame, text: str, key: str, length: int = LENGTH, cell: int = CELL, scratch: common.Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts: ref, key, text; ranges of repeated bytes: ref, start, end)."""
     spark = docs.sparkSession
@@ -128,15 +132,18 @@ def spans(docs: DataFrame, text: str, key: str, length: int = LENGTH, cell: int
         return inner.view(np.int64), outer.view(np.int64), ref[t], x.at[who] - off[t], near.astype(np.int32), far.astype(np.int32)
 
     cells = scratch.keep(_pass(src, second, "k long, more long, ref long, at long, near int, far int"), "cells")
-    groups = cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("more").alias("lo"), F.max("more").alias("hi")).filter("n > 1").select("k", (F.col("lo") == F.col("hi")).alias("whole"))
-    groups = scratch.keep(groups, "groups")
-    whole = cells.join(groups.filter("whole").select("k"), "k").select("ref", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
-    two = spark.sparkContext.broadcast(common.bitmap_of(groups.filter("NOT whole").select("k")))
+    # members that agree on all that the cell covers are one class; a class of two is repeated as a whole
+    same = scratch.keep(cells.groupBy("k", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "at", "far")).alias("one")), "classes")
+    whole = cells.join(same.filter("n > 1").select("k", "more"), ["k", "more"]).select("ref", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
+    # of groups with several classes, one member of each is looked at window by window
+    split = same.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
+    two = spark.sparkContext.broadcast(common.bitmap_of(same.join(split, "k").select(_cell_id(F.col("one.ref"), F.col("one.at"), F.col("one.far"), cell).alias("id"))))
 
     def third(ref, data, off):
         x = Anchors(data, off, length)
         who, q, inner, outer, near, far = x.cells(np.flatnonzero(common.Bitmap(one.value).has(x.keys())), cell)
-        keep = np.flatnonzero(common.Bitmap(two.value).has(inner))
+        t = x.text[who]
+        keep = np.flatnonzero(common.Bitmap(two.value).has(ref[t].view(U) ^ ((x.at[who] - off[t]) * 64 + q).astype(U)))
         who, near, far = who[keep], near[keep], far[keep]
         start = textkit.ragged_index(x.at[who] - far, far - near + 1)
         t = np.repeat(x.text[who], far - near + 1)
