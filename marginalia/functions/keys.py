@@ -6,10 +6,12 @@ keep them. Missing input gives a missing key."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Spellings of one outlet.
 OUTLET_ALIASES = {
@@ -41,9 +43,18 @@ PUBLISHER_WORDS = r"\b(books?|press|publishing|publishers|corporation|group|inc\
 SHARDS = 128
 
 
-@F.pandas_udf("string")
-def _fold(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower(), na_action="ignore")
+def by_text(f) -> Callable[[Column], Column]:
+    """An Arrow UDF of one string; made inside a function, so that workers need no module of ours."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    return run
+
+
+def _fold(c: Column) -> Column:
+    return by_text(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())(c)
 
 
 def fold(c: Column, plain: bool = False) -> Column:

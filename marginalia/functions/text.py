@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .keys import by_text
+
 #: Common words of English, and of other languages.
 ENGLISH = "the a an and of to in is it that this with as for his her but was he she not are be by on at from which its their have has one more than all".split()
 FOREIGN = "der die das und ist nicht mit ein eine einen den dem von zu sich auf auch wie im des le la les et est des une dans pour qui que pas du au sur il elle el los las y en por con lo del una che di della non è per si nel het een van niet och att som är jest nie się".split()
@@ -61,10 +62,9 @@ def first_name_first(name: Column) -> Column:
     return F.when(name.contains(", "), F.array_join(F.reverse(F.split(name, ", ", 2)), " ")).otherwise(name)
 
 
-@F.pandas_udf("string")
-def title_case(s: pd.Series) -> pd.Series:
+def title_case(c: Column) -> Column:
     """Capitals after anything that is no letter, but not after an apostrophe."""
-    return s.map(lambda t: re.sub(r"(['’])([A-Z])", lambda m: m.group(1) + m.group(2).lower(), t.title()), na_action="ignore")
+    return by_text(lambda t: re.sub(r"(['’])([A-Z])", lambda m: m.group(1) + m.group(2).lower(), t.title()))(c)
 
 
 def recased(title: Column) -> Column:
@@ -72,9 +72,8 @@ def recased(title: Column) -> Column:
     return F.when((title == F.upper(title)) & (title != F.lower(title)), title_case(title)).otherwise(title)
 
 
-@F.pandas_udf("string")
-def unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+def unescape(c: Column) -> Column:
+    return by_text(html.unescape)(c)
 
 
 def plain_text(markup: Column) -> Column:
@@ -136,9 +135,8 @@ def decoded(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(cp1252(raw))
 
 
-@F.pandas_udf("string")
-def cp1252(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: bytes(b).decode("cp1252", errors="replace"), na_action="ignore")
+def cp1252(raw: Column) -> Column:
+    return by_text(lambda b: bytes(b).decode("cp1252", errors="replace"))(raw)
 
 
 def longest_titles(titles: Column) -> Column:

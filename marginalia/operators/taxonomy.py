@@ -96,7 +96,7 @@ def pruned(cats: Column, hint: Column) -> Column:
     return F.when(hint.isin("Fiction", "Poetry", "Drama"), F.array_remove(out, "Food & Cooking")).otherwise(out)
 
 
-def _let(c: Column, f) -> Column:
+def let(c: Column, f) -> Column:
     """f(c), with c evaluated once: a column that is named several times is otherwise copied each time."""
     return F.element_at(F.transform(F.array(c), f), 1)
 
@@ -115,5 +115,5 @@ def finish(cats: Column, hint: Column) -> Column:
         lambda c: F.filter(_arr(ORDER), lambda name: F.array_contains(c, name)),
     )
     for step in steps:
-        cats = _let(cats, step)
+        cats = let(cats, step)
     return cats
