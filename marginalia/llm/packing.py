@@ -12,6 +12,7 @@ ignored."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -126,8 +127,29 @@ class Packer:
             yield from self._fill()
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = END, tokens: int = 1024, segments: int = 64, loss: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def _marked(data: np.ndarray, off: np.ndarray, special: dict[str, int] | None) -> dict[int, bytes]:
+    """The few texts that hold a special string, by their place in the chunk."""
+    raw = data.tobytes() if special else b""
+    if not any(s.encode() in raw for s in special or ()):
+        return {}
+    texts = {i: raw[a:b] for i, (a, b) in enumerate(zip(off.tolist(), off[1:].tolist()))}
+    return {i: t for i, t in texts.items() if any(s.encode() in t for s in special)}
+
+
+def _with_special(codec: bpe.Codec, text: bytes, special: dict[str, int]) -> bytes:
+    """Ids of a text, what lies between special strings encoded by itself."""
+    parts = re.split(b"(" + b"|".join(re.escape(s.encode()) for s in special) + b")", text)
+    out = []
+    for i, part in enumerate(parts):
+        if i % 2:
+            out.append(np.array([special[part.decode()]], "<u4").tobytes())
+        elif part:
+            out.append(codec.encode(np.frombuffer(part, np.uint8), np.array([0, len(part)]))[0].astype("<u4").tobytes())
+    return b"".join(out)
+
+
+def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = END, tokens: int = 1024, segments: int = 64, loss: int | None = None, special: dict[str, int] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """special: strings that stand for an id of their own wherever they occur. One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     codec = docs.sparkSession.sparkContext.broadcast(bpe.Codec(bpe.read_ranks(ranks_path)))  # the vocabulary's size
     src = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
     kind = src.schema["key"].dataType.simpleString()
@@ -161,8 +183,10 @@ def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = END, tokens:
             data, off = common.string_parts(b.column(1))
             ids, at = c.encode(data, off)
             flat, at = ids.astype("<u4").tobytes(), at.tolist()
-            for k, x, y in zip(b.column(0).to_pylist(), at, at[1:]):
-                take(packer.add((flat[4 * x : 4 * y] + end, k), y - x + 1))
+            marked = _marked(data, off, special)
+            for i, (k, x, y) in enumerate(zip(b.column(0).to_pylist(), at, at[1:])):
+                own = flat[4 * x : 4 * y] if i not in marked else _with_special(c, marked[i], special)
+                take(packer.add((own + end, k), len(own) // 4 + 1))
             if len(rows) > 5000:
                 yield out()
         take(packer.finish())

@@ -33,7 +33,7 @@ def op6_secret_scans(spark, sf_dir):
 
 
 def op7_packing(spark, sf_dir):
-    return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256})
 
 
 def op8_suffix_dedup(spark, sf_dir):

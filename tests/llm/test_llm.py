@@ -120,9 +120,10 @@ def test_packing(spark, odd, none):
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    plain = docs(spark, [(n, t) for n, (_, t) in enumerate(odd_rows())])
-    got = rows_of(packing.pack_documents(plain.coalesce(2), path))
-    for n, (_, t) in enumerate(odd_rows()):
+    texts = [*(t for _, t in odd_rows()), "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|"]
+    plain = docs(spark, list(enumerate(texts)))
+    got = rows_of(packing.pack_documents(plain.coalesce(2), path, special={"<|endoftext|>": 50256}))
+    for n, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
         own = sorted((r for r in got if r["doc_id"] == n), key=lambda r: r["start"])
         at = 0
