@@ -1,7 +1,8 @@
 """Exact de-duplication by sorting contents; DataFrame operations only.
 
-Splitters sampled from the rows range-partition the normalised texts, an external sort places equals
-next to each other, and each row is compared in full with its neighbour. A text with very many copies
+Splitters sampled from the rows range-partition the normalised texts by their beginning and, among
+texts that begin alike, by a hash; an external sort places equals next to each other, and each row is
+compared in full with its neighbour. A text with very many copies
 would land between two splitters, so the sort key goes on with a small salt taken from the
 identifier; the runs of one text (at most `salts` of them) are then put together by digest, with
 partial aggregation. Texts travel through one shuffle, everything after it moves digests.
@@ -29,9 +30,11 @@ def runs(docs: DataFrame, text: str, key: str, keep: str, salts: int) -> DataFra
     """(id, digest, last, size): rows in the order of their texts; the last row of each run of equal
     neighbours is marked and has the run's size."""
     rows = docs.select(F.col(key).alias("id"), normal(F.col(text)).alias("body"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int").alias("salt"))
-    placed = rows.repartitionByRange("body", "salt").sortWithinPartitions("body", "salt", "id")
+    # the driver holds splitters, so they are the text's beginning and a hash of it, not whole texts
+    rows = rows.withColumns({"head": F.substring("body", 1, 24), "tail": F.xxhash64("body")})
+    placed = rows.repartitionByRange("head", "tail", "salt").sortWithinPartitions("head", "tail", "body", "salt", "id")
     order = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()
-    w = W.partitionBy("body", "salt").orderBy(order)
+    w = W.partitionBy("head", "tail", "body", "salt").orderBy(order)
     seen = placed.withColumn("last", F.lead(F.lit(1)).over(w).isNull()).withColumn("size", F.row_number().over(w).cast("long"))
     return seen.select("id", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest"), "last", "size")
 
