@@ -1,4 +1,6 @@
-"""What single kinds of review articles say about book, reviewer, grade and date; Column -> Column."""
+"""What single kinds of review articles say about book, reviewer, grade and date; Column -> Column.
+
+The patterns are fixed values: they say what the articles look like."""
 
 from __future__ import annotations
 
