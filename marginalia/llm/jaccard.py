@@ -9,9 +9,10 @@ Each text is a set of hashed 5-word shingles; two texts link when 100 * |x & y|
    a shingle are laid out by set size and compared in tiles whose sizes can link at all.
 3. Candidate pairs are bounded from above by the bits in which hashed bitmaps of the sets differ;
    only pairs within the bound have their sorted arrays intersected exactly.
-4. The first round links each class of a tile group to the group's hub. The second round takes all
-   pairs, within tiles, of classes that the first round left in different components. So no link
-   between components is lost, and a family of copies does not grow with the square of its size.
+4. The first rounds hold each class of a tile group against a few hubs of the group. The last round
+   takes all pairs, within tiles and within the bitmaps' bound, of classes that are still in different
+   components. So no link between components is lost, and a family of copies does not grow with the
+   square of its size.
 
 The count table orders shingles only; whatever it says, the join is exact.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ FLUSH_ENTRIES = 600_000
 TILE = 128
 PARTS = 16
 PERCENT = 75
+#: Members that each group's others are compared with in a round, and rounds after the first; the last
+#: of them takes all pairs that are left.
+HUBS, ROUNDS = 3, 2
 
 
 def set_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,31 +51,31 @@ def set_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _scan(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows (key, n, cls, alt), and rows (part, counts) of the shingle counters of each task."""
+    """Rows (key, n, cls, alt, sig), and rows (part, counts) of the shingle counters of each task."""
     src = docs.selectExpr(f"CAST(`{key}` AS long) AS key", f"CAST(`{text}` AS string) AS text")
 
     def run(batches):
         import zstandard
 
         counters = np.zeros(1 << LOG2_COUNTERS, np.uint32)
-        names = ["key", "n", "cls", "alt", "part", "counts"]
+        names = ["key", "n", "cls", "alt", "sig", "part", "counts"]
         for b in common.chunks(batches, "text"):
             h, off = textkit.shingle_sets(*common.string_parts(b.column(1)))
             counters += np.bincount((h >> U(64 - LOG2_COUNTERS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
             one, two = set_digests(h, off)
             m = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([signature(h[x:y]) for x, y in zip(off, off[1:])], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=names,
             )
         small = np.minimum(counters, 255).astype(np.uint8).reshape(PARTS, -1)
         for p in range(PARTS):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([zstandard.compress(small[p].tobytes(), 1)], pa.binary())],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([zstandard.compress(small[p].tobytes(), 1)], pa.binary())],
                 names=names,
             )
 
-    return common.map_arrow(src, run, "key long, n long, cls long, alt long, part int, counts binary")
+    return common.map_arrow(src, run, "key long, n long, cls long, alt long, sig binary, part int, counts binary")
 
 
 def _sum_counts(batches):
@@ -84,13 +89,12 @@ def _sum_counts(batches):
             data = np.frombuffer(zstandard.decompress(raw.as_py(), 4 * width), np.uint8)
             total[p] = total.get(p, 0) + data.astype(np.uint32)
     for p, x in total.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1)], pa.binary())})
 
 
-def _prefixes(docs: DataFrame, text: str, counters: np.ndarray, buckets: int) -> DataFrame:
+def _prefixes(docs: DataFrame, text: str, table: Broadcast, buckets: int) -> DataFrame:
     """(bucket, entries): packed 16-byte entries (class, 32 bits of the shingle, set size)."""
     src = docs.selectExpr(f"CAST(`{text}` AS string) AS text")
-    table = docs.sparkSession.sparkContext.broadcast(counters)  # fixed size
     entry = np.dtype([("cls", "<i8"), ("key", "<u4"), ("n", "<u4")])
 
     def deal(held):
@@ -158,7 +162,7 @@ def _tiles(cls: np.ndarray, n: np.ndarray):
 
 def _groups(prefixes: DataFrame) -> DataFrame:
     """Groups of two or more classes that share a prefix shingle, each set of classes once in a bucket:
-    (grp, cls, n, hub). The hub is the member with the least hash whose size reaches the member's."""
+    (grp, cls, n, place), place being 0, 1 … for the HUBS members with the least hashes and missing for others."""
     entry = np.dtype([("cls", "<i8"), ("key", "<u4"), ("n", "<u4")])
 
     def run(table: pa.Table) -> pa.Table:
@@ -166,34 +170,40 @@ def _groups(prefixes: DataFrame) -> DataFrame:
         order = np.lexsort((rows["cls"], rows["key"]))
         rows = rows[order]
         key, cls = rows["key"], rows["cls"]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
-        rows = rows[fresh]
+        rows = rows[np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))]
         key = rows["key"]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(at, len(rows)))
         at, size = at[size > 1], size[size > 1]
-        idx = textkit.ragged_index(at, size)
-        rows = rows[idx]
+        rows = rows[textkit.ragged_index(at, size)]
         off = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
-        mixed = textkit.mix(rows["cls"].view(U) if rows["cls"].flags.c_contiguous else np.ascontiguousarray(rows["cls"]).view(U))
+        mixed = textkit.mix(np.ascontiguousarray(rows["cls"]).view(U))
         digest = textkit.ragged_sum(mixed, off)
         _, one = np.unique(digest, return_index=True)  # equal sets of classes are one group
         size, digest = size[one], digest[one]
         idx = textkit.ragged_index(off[:-1][one], size)
         rows, mixed = rows[idx], mixed[idx]
-        grp = np.repeat(digest.view(np.int64), size)
         where = np.repeat(np.arange(len(size)), size)
         order = np.lexsort((mixed, where))
-        hub_at = order[np.concatenate(([0], np.cumsum(size)))[:-1]] if len(size) else np.zeros(0, np.int64)
-        hub = rows["cls"][hub_at][where] if len(size) else np.zeros(0, np.int64)
-        hub_n = rows["n"][hub_at][where] if len(size) else np.zeros(0, np.uint32)
-        return pa.table({"grp": pa.array(grp, pa.int64()), "cls": pa.array(np.ascontiguousarray(rows["cls"]), pa.int64()), "n": pa.array(rows["n"].astype(np.int64)), "hub": pa.array(np.ascontiguousarray(hub), pa.int64()), "hub_n": pa.array(hub_n.astype(np.int64))})
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.arange(len(rows)) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
+        return pa.table({"grp": pa.array(np.repeat(digest.view(np.int64), size), pa.int64()), "cls": pa.array(np.ascontiguousarray(rows["cls"]), pa.int64()), "n": pa.array(rows["n"].astype(np.int64)), "place": pa.array(place, pa.int64(), mask=place >= HUBS)})
 
-    return prefixes.groupBy("bucket").applyInArrow(run, "grp long, cls long, n long, hub long, hub_n long")
+    return prefixes.groupBy("bucket").applyInArrow(run, "grp long, cls long, n long, place long")
+
+
+def _fits(x: str, y: str):
+    """Sizes that can link."""
+    return F.expr(f"{x} <= {y} * 100 DIV {PERCENT} AND {y} <= {x} * 100 DIV {PERCENT}")
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
 
 def bitmap_bits(n: int) -> int:
-    return max(256, 1 << max(0, int(n - 1)).bit_length())
+    """Four bits or more for each element, so that few flips cancel out where sets are near enough to matter."""
+    return max(512, 1 << max(0, int(4 * n - 1)).bit_length())
 
 
 def signature(h: np.ndarray) -> bytes:
@@ -218,9 +228,8 @@ def links(overlap: int, na: int, nb: int) -> bool:
     return 100 * overlap >= PERCENT * (na + nb - overlap)
 
 
-def _sets_of(docs: DataFrame, text: str, wanted: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
-    """(cls, n, sig, items) of the classes in `wanted`, each once."""
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(wanted))  # fixed size
+def _sets_of(docs: DataFrame, text: str, wanted: DataFrame, bits: Broadcast) -> DataFrame:
+    """(cls, items) of the classes in `wanted`, each once; bits holds their bitmap."""
     src = docs.selectExpr(f"CAST(`{text}` AS string) AS text")
 
     def run(batches):
@@ -228,29 +237,23 @@ def _sets_of(docs: DataFrame, text: str, wanted: DataFrame, scratch: common.Scra
         for b in common.chunks(batches, "text"):
             h, off = textkit.shingle_sets(*common.string_parts(b.column(0)))
             cls, _ = set_digests(h, off)
-            pick = [i for i in np.flatnonzero(maybe.has(cls) & (np.diff(off) > 0)).tolist() if int(cls[i]) not in seen]
-            if not pick:
-                continue
+            known = cls.view(np.int64).tolist()
+            out: dict[int, np.ndarray] = {}
+            for i in np.flatnonzero(maybe.has(cls) & (np.diff(off) > 0)).tolist():
+                if known[i] not in seen:
+                    out[known[i]] = h[off[i] : off[i + 1]]
             if len(seen) > 500_000:
                 seen.clear()
-            out: dict[int, int] = {}
-            for i in pick:
-                out.setdefault(int(cls[i]), i)
             seen |= out.keys()
-            rows = [(int(np.int64(np.uint64(c).view(np.int64))), h[off[i] : off[i + 1]]) for c, i in out.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int64()), pa.array([signature(x) for _, x in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())],
-                names=["cls", "n", "sig", "items"],
-            )
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["cls", "items"])
 
-    found = common.map_arrow(src, run, "cls long, n long, sig binary, items binary").join(wanted.select("cls"), "cls", "left_semi")
-    w = found.groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("items").alias("items"))
-    return scratch.keep(w, name)
+    found = common.map_arrow(src, run, "cls long, items binary").join(wanted.select("cls"), "cls", "left_semi")
+    return found.groupBy("cls").agg(F.first("items").alias("items"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link: first by bitmaps, then by exact intersection."""
-    small = sets.select("cls", "n", "sig")
+def _verify(docs: DataFrame, text: str, pairs: DataFrame, small: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) that link: first by bitmaps, then, for those within the bound, by exact intersection."""
     bounded = pairs.join(small.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(small.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
 
     def bound(batches):
@@ -261,7 +264,11 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if t.num_rows:
                 yield t.select(["a", "b"])
 
-    near = bounded.mapInArrow(bound, "a long, b long")
+    near = scratch.keep(common.map_arrow(bounded, bound, "a long, b long"), f"{name}-near")
+    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(wanted))  # fixed size
+    sets = scratch.keep(_sets_of(docs, text, wanted, bits), f"{name}-sets")
+    bits.destroy()
     full = near.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b")
 
     def exact(batches):
@@ -276,61 +283,90 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if t.num_rows:
                 yield t.select(["a", "b"])
 
-    return full.mapInArrow(exact, "a long, b long")
+    return scratch.keep(common.map_arrow(full, exact, "a long, b long"), name)
 
 
-def _cross(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes of one group that the first round left in different components, from tiles."""
+def _told(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the groups that lie in several components, with their components."""
     told = groups.join(labels, groups["cls"] == labels["node"], "left").select("grp", "cls", "n", F.coalesce("label", "cls").alias("label"))
-    split = told.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("grp")
-    told = told.join(split, "grp")
+    split = told.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return told.join(split.filter(f"lo <> hi AND m > {HUBS + 1}").select("grp"), "grp")
+
+
+def _more_hubs(told: DataFrame) -> DataFrame:
+    """Pairs of each member with other hubs of its group that lie in another component."""
+    least = [F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))).alias(f"h{i}") for i in range(HUBS)]
+    hubs = told.groupBy("grp").agg(*least).select("grp", F.inline(F.array(*[f"h{i}" for i in range(HUBS)]))).drop("h").distinct()
+    return _pairs(told.join(hubs, "grp").filter((F.col("label") != F.col("hub_label")) & _fits("n", "hub_n")))
+
+
+def _cross(told: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs of classes of one group in different components, from tiles, as far as their bitmaps allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, n, label = (table.column(c).to_numpy() for c in ("cls", "n", "label"))
         name = dict(zip(cls.tolist(), label.tolist()))
+        sig = dict(zip(cls.tolist(), (np.frombuffer(x.as_py(), np.uint64) for x in table.column("sig"))))
         out_a, out_b = [], []
         for a, na, b, nb, same in _tiles(cls, n):
             la, lb = np.array([name[x] for x in a.tolist()]), np.array([name[x] for x in b.tolist()])
             ok = (la[:, None] != lb[None, :]) & (nb[None, :] <= _reach(na)[:, None]) & (na[:, None] <= _reach(nb)[None, :])
             if same:
                 ok = np.triu(ok, 1)
-            i, j = np.nonzero(ok)
-            out_a.append(np.minimum(a[i], b[j]))
-            out_b.append(np.maximum(a[i], b[j]))
+            rows = np.flatnonzero(ok.any(1))
+            if not len(rows):
+                continue
+            words = min(len(sig[x]) for x in [*a.tolist(), *b.tolist()])
+            fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, words), 0)
+            right = np.stack([fold(sig[x]) for x in b.tolist()])
+            for i in rows.tolist():
+                j = np.flatnonzero(ok[i])
+                apart = np.bitwise_count(right[j] ^ fold(sig[int(a[i])])[None, :]).sum(1).astype(np.int64)
+                both = na[i] + nb[j]
+                most = (both - np.maximum(apart, np.abs(na[i] - nb[j]))) // 2
+                j = j[100 * most >= PERCENT * (both - most)]
+                out_a.append(np.minimum(a[i], b[j]))
+                out_b.append(np.maximum(a[i], b[j]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate(out_a or [none]), pa.int64()), "b": pa.array(np.concatenate(out_b or [none]), pa.int64())})
 
-    return told.groupBy("grp").applyInArrow(run, "a long, b long").distinct()
+    rows = told.join(small.select("cls", "sig"), "cls")
+    return rows.groupBy("grp").applyInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id."""
+    import zstandard
+
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "jaccard")
     scanned = scratch.keep(_scan(docs, text, key), "scan")
-    base = scanned.filter("part IS NULL").select("key", "n", "cls", "alt")
+    base = scanned.filter("part IS NULL").select("key", "n", "cls", "alt", "sig")
     partial = scanned.filter("part IS NOT NULL").select("part", "counts")
     counters = np.zeros((PARTS, (1 << LOG2_COUNTERS) // PARTS), np.uint32)
     for row in partial.coalesce(8).mapInArrow(_sum_counts, "part int, counts binary").toLocalIterator():  # 8 tables of fixed size at most
-        counters[row.part] += np.frombuffer(bytes(row.counts), np.uint32)
+        counters[row.part] += np.frombuffer(zstandard.decompress(bytes(row.counts), 4 * counters.shape[1]), np.uint32)
     total = base.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total * (100 - PERCENT) / 100 / BUCKET_ENTRIES))
-    counters = np.minimum(counters.ravel(), 0xFFFFFFFF).astype(np.uint32)
-    groups = scratch.keep(_groups(_prefixes(docs, text, counters, buckets)).distinct(), "groups")
-
-    stars = groups.filter(f"cls <> hub AND n <= hub_n * 100 DIV {PERCENT} AND hub_n <= n * 100 DIV {PERCENT}").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    stars = scratch.keep(stars, "stars")
-    every = groups.select("cls").distinct()
-    sets = _sets_of(docs, text, every, scratch, "sets")
-    first = scratch.keep(_verify(stars, sets), "first")
-    labels = common.components(scratch, first, "one")
-    cross = _cross(groups, labels).join(stars, ["a", "b"], "left_anti")
-    second = scratch.keep(_verify(cross, sets), "second")
-
+    table = spark.sparkContext.broadcast(counters.ravel())  # fixed size
+    groups = scratch.keep(_groups(_prefixes(docs, text, table, buckets)).distinct(), "groups")
+    table.destroy()
+    del counters
+
+    small = scratch.keep(base.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "small")
+    base = base.drop("sig")
+    hubs = groups.filter("place IS NOT NULL").select("grp", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
+    stars = scratch.keep(_pairs(groups.join(hubs, "grp").filter((F.col("cls") != F.col("hub")) & _fits("n", "hub_n"))), "stars")
+    edges = _verify(docs, text, stars, small, scratch, "first")
+    for i in range(ROUNDS):
+        told = scratch.keep(_told(groups, common.components(scratch, edges, f"c{i}")), f"told{i}")
+        pairs = _more_hubs(told) if i < ROUNDS - 1 else _cross(told, small)
+        pairs = scratch.keep(pairs.join(stars, ["a", "b"], "left_anti"), f"pairs{i}")
+        if not pairs.isEmpty():
+            edges = edges.unionByName(_verify(docs, text, pairs, small, scratch, f"more{i}"))
     # from classes to documents: the least identifier of each class, then of each component
     head = base.filter("n > 0 AND key IS NOT NULL").groupBy("cls", "alt").agg(F.min("key").alias("head"))
     head = scratch.keep(head, "head")
-    edges = first.unionByName(second)
     named = edges.join(head.select(F.col("cls").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("cls").alias("b"), F.col("head").alias("hb")), "b")
     same = base.filter("n > 0 AND key IS NOT NULL").join(head, ["cls", "alt"]).filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
     # copies hang on their class's head already: only identifiers in several classes need the graph too
