@@ -31,8 +31,10 @@ HINTS = (*NAMES, b"pwd", b"passphrase", b"access_key", b"private_key", b"credent
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|changeme|example|placeholder|none|null|true|false|todo|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
 LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')|(?P<op>:=|=>|==|!=|<=|>=|=|:)|(?P<flag>--)|(?P<word>[A-Za-z_][A-Za-z0-9_.+/=-]*|[A-Za-z0-9+/_.-]+)|(?P<nl>[\n;,{}()\[\]])|(?P<other>[^\s])"""
+    r"""(?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')|(?P<op>:=|=>|==|!=|<=|>=|=|:)|(?P<flag>--)|(?P<word>[A-Za-z_][A-Za-z0-9_.+/-]*|[A-Za-z0-9+/_.-]+)|(?P<nl>[\n;,{}()\[\]])|(?P<other>[^\s])"""
 )
+#: An unquoted value: '=' may stand inside and as padding, but one before a quote assigns that string.
+VALUE = re.compile(r"""[A-Za-z0-9_.+/-]++(?:=++[A-Za-z0-9_.+/-]++)*+(?:={2,}+|=(?![ \t]*["']))?""")
 
 
 def entropy(s: str) -> float:
@@ -57,14 +59,20 @@ def pairs(text: str) -> list[tuple[str, int, int]]:
     """(name, start, end) of each literal that reaches a target name, over assignments and constants."""
     found, constants = [], {}
     prev: list[tuple[str, str, int, int]] = []  # the last tokens of this statement
-    for m in LEX.finditer(text):
+    at = 0
+    while m := LEX.search(text, at):
         kind, s, a, b = m.lastgroup, m.group(), m.start(), m.end()
+        assigned = len(prev) > 1 and prev[-1][0] == "op" and prev[-1][1] in ("=", ":", ":=", "=>") and prev[-2][0] in ("word", "string")
+        if kind == "word" and (assigned or len(prev) > 1 and prev[-1][0] == "word" and prev[-2][0] == "flag"):
+            s = VALUE.match(text, a).group()
+            b = a + len(s)
+        at = b
         if kind == "nl":
             prev = []
             continue
         if kind in ("string", "word") and prev:
             name = None
-            if prev[-1][0] == "op" and prev[-1][1] in ("=", ":", ":=", "=>") and len(prev) > 1 and prev[-2][0] in ("word", "string"):
+            if assigned:
                 name = prev[-2][1].strip("\"'")
             elif len(prev) > 1 and prev[-1][0] == "word" and prev[-2][0] == "flag":
                 name = prev[-1][1]
@@ -80,12 +88,12 @@ def pairs(text: str) -> list[tuple[str, int, int]]:
                 if kind == "string" or s in constants or re.search(r"[0-9]", s):
                     constants[name] = value
                     found.append((name, *value))
-        if kind == "word" and "=" in s[1:-1] and not prev:  # name=literal without spaces lexes as one word
-            name, _, rest = s.partition("=")
-            if rest and name and re.search(r"[0-9]", rest):
-                at = a + len(name) + 1
-                constants[name] = (at, b)
-                found.append((name, at, b))
+        if kind == "word" and "=" in s[:-1]:  # names inside a value: a=b=literal, each with what follows it
+            parts = [(p.start() + a, p.end() + a) for p in re.finditer(r"[^=]+(?:=+$)?", s)]
+            for (c, d), (e, f) in zip(parts, parts[1:]):
+                if re.search(r"[0-9]", text[e:f]):
+                    constants[text[c:d]] = (e, f)
+                    found.append((text[c:d], e, f))
         prev = [*prev[-2:], (kind, s, a, b)]
     return found
 

@@ -247,6 +247,34 @@ def test_secrets_by_name():
     assert not [k for *_, k in secrets.spans('pwd = "changeme"')[1] if k == "name"]
 
 
+@pytest.mark.parametrize(
+    "t",
+    [
+        'pwd="hunter2!Xq9"',
+        "passphrase='hunter2!Xq9'",
+        "connect(host, private_key='hunter2!Xq9')",
+        'export access_key="hunter2!Xq9"',
+        "export PGPWD=hunter2Xq9/=a==",
+        "mysql --passphrase=hunter2Xq9 -v",
+        "mysql --passphrase hunter2Xq9== -v",
+        'mysql --pwd="hunter2!Xq9"',
+        "a=pwd='hunter2!Xq9'",
+        "a=pwd=hunter2Xq9",
+        "pwd=hunter2Xq9== 'z'",
+        "raw='hunter2!Xq9'\ndb_pwd=raw\n",
+        'pwd = "hunter2!Xq9"',
+    ],
+)
+def test_secrets_without_spaces(t):
+    found = [t[a:b] for a, b, k in secrets.spans(t)[1] if k == "name"]
+    assert found in (["hunter2!Xq9"], ["hunter2Xq9"], ["hunter2Xq9=="], ["hunter2Xq9/=a=="]), found
+    assert "hunter2" not in secrets.redact_text(t)
+
+
+def test_secrets_compared_not_assigned():
+    assert not [k for t in ('if pwd=="hunter2!Xq9"', "pwd!='hunter2!Xq9'") for *_, k in secrets.spans(t)[1]]
+
+
 def test_redaction(spark, odd):
     got = {r["doc_id"]: r["text"] for r in rows_of(secrets.redact(odd))}
     assert "abcdef12" not in got[17] and "[SECRET]" in got[17] and got[2] == "" and got[1] is None
