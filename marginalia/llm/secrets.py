@@ -30,8 +30,12 @@ HINTS = (*NAMES, b"pwd", b"passphrase", b"access_key", b"private_key", b"credent
 #: Values that stand for a secret rather than being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|changeme|example|placeholder|none|null|true|false|todo|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
+#: Atomic, so that a literal of any length takes one look; see pairs() for those that never close.
+STRING = re.compile(r"""(?s:"(?:[^"\\\n]++|\\[^\n])*+"|'(?:[^'\\\n]++|\\[^\n])*+')""")
+#: What may stand before a string's first quote; behind other words ' is an apostrophe.
+PREFIX = re.compile(r"(?i)[bruf]|[bf]r|r[bf]")
 LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')|(?P<op>:=|=>|==|!=|<=|>=|=|:)|(?P<flag>--)|(?P<word>[A-Za-z_][A-Za-z0-9_.+/-]*|[A-Za-z0-9+/_.-]+)|(?P<nl>[\n;,{}()\[\]])|(?P<other>[^\s])"""
+    r"""(?P<op>:=|=>|==|!=|<=|>=|=|:)|(?P<flag>--)|(?P<word>[A-Za-z_][A-Za-z0-9_.+/-]*|[A-Za-z0-9+/_.-]+)|(?P<nl>[\n;,{}()\[\]])|(?P<other>[^\s])"""
 )
 #: An unquoted value: '=' may stand inside and as padding, but one before a quote assigns that string.
 VALUE = re.compile(r"""[A-Za-z0-9_.+/-]++(?:=++[A-Za-z0-9_.+/-]++)*+(?:={2,}+|=(?![ \t]*["']))?""")
@@ -60,9 +64,15 @@ def pairs(text: str) -> list[tuple[str, int, int]]:
     found, constants = [], {}
     prev: list[tuple[str, str, int, int]] = []  # the last tokens of this statement
     at = 0
+    open_until = {'"': 0, "'": 0}  # up to there no string begins: an earlier quote did not close on that line, so all later ones are escaped
     while m := LEX.search(text, at):
         kind, s, a, b = m.lastgroup, m.group(), m.start(), m.end()
         assigned = len(prev) > 1 and prev[-1][0] == "op" and prev[-1][1] in ("=", ":", ":=", "=>") and prev[-2][0] in ("word", "string")
+        if s in open_until and a >= open_until[s] and not (s == "'" and prev and prev[-1][0] == "word" and prev[-1][3] == a and not PREFIX.fullmatch(prev[-1][1])):
+            if string := STRING.match(text, a):
+                kind, s, b = "string", string.group(), string.end()
+            else:
+                open_until[s] = text.find("\n", a) % (len(text) + 1)
         if kind == "word" and (assigned or len(prev) > 1 and prev[-1][0] == "word" and prev[-2][0] == "flag"):
             s = VALUE.match(text, a).group()
             b = a + len(s)

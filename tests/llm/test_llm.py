@@ -275,6 +275,19 @@ def test_secrets_compared_not_assigned():
     assert not [k for t in ('if pwd=="hunter2!Xq9"', "pwd!='hunter2!Xq9'") for *_, k in secrets.spans(t)[1]]
 
 
+@pytest.mark.parametrize("n", [4096, 4097, 5000, 300_000])
+def test_secrets_behind_long_literals(n):
+    for blob in ("x" * n, "x\\n" * (n // 3 + 1)):
+        t = '{"blob":"' + blob + '","private_key":"k3yAbc!def9"}'
+        assert [t[a:b] for a, b, _ in secrets.spans(t)[1]] == ["k3yAbc!def9"]
+    value = "k3yAbc!def9" * (n // 11 + 1)
+    t = f"private_key = '{value}', pwd = 'hunter2!Xq9'"
+    assert [t[a:b] for a, b, _ in secrets.spans(t)[1]] == [value, "hunter2!Xq9"]
+    t = "don't " + "x y " * n + "pwd='hunter2!Xq9'"
+    assert [t[a:b] for a, b, _ in secrets.spans(t)[1]] == ["hunter2!Xq9"]
+    assert secrets.spans("pwd " + '\\"' * n)[1] == []  # quotes that never close take one look in all
+
+
 def test_redaction(spark, odd):
     got = {r["doc_id"]: r["text"] for r in rows_of(secrets.redact(odd))}
     assert "abcdef12" not in got[17] and "[SECRET]" in got[17] and got[2] == "" and got[1] is None
