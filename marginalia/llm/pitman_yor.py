@@ -12,8 +12,8 @@ logarithms of its tokens'.
 
 Counts cover all training texts. A task gathers the distinct words of a group of its texts; words and
 counts meet in one shuffle, what was found goes back to the groups in another, and texts themselves
-are not shuffled: a group keeps its token sequence packed. Spelling counts are
-checked for size before the driver holds them; beyond it the slots are given up, which bounds them.
+are not shuffled: a group keeps its token sequence packed. The same model is fitted at any size: the
+driver holds the spelling counts, 16 bytes for each distinct code.
 
 Null text counts as empty: it has the end token only. A row with a null identifier is a training row.
 Repeated rows count each. Other columns are ignored. Without training texts all words get the base
@@ -37,9 +37,8 @@ GROUP_BYTES = 16 << 20
 SWEEPS = 2
 #: Discount and strength of a text's own restaurant.
 TEXT_DISCOUNT, TEXT_STRENGTH = 0.85, 100.0
-#: Slots of the third and fourth preceding byte; with more than CELLS counts one slot is used, which
-#: bounds them by 257 ** 3.
-SLOTS, CELLS = 64, 4_000_000
+#: Slots of the third and fourth preceding byte, for every size of input.
+SLOTS = 64
 
 
 # --- seating ----------------------------------------------------------------------------------
@@ -313,26 +312,13 @@ def _vocab_pass(vocab: DataFrame, model, sweep: int | None, slots: int) -> tuple
         yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(counts, tables))], names=["code", "n"])
 
     got = common.map_arrow(vocab.select("word", "c"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    if slots > 1 and got.limit(CELLS + 1).count() > CELLS:
-        raise _TooMany
-    pdf = got.toPandas()  # CELLS rows, or 257 ** 3, at most
-    code, n = pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    told = got.toArrow()  # flat columns: millions of codes take 16 bytes each
+    code, n = told.column("code").to_numpy(), told.column("n").to_numpy()
     return int(n[code < 0].sum()), code[code >= 0], n[code >= 0]
 
 
-class _TooMany(Exception):
-    """More spelling counts than CELLS."""
-
-
-def train(vocab: DataFrame, tokens: int, sweeps: int = SWEEPS, seed: int = 7) -> Model:
+def train(vocab: DataFrame, tokens: int, sweeps: int = SWEEPS, seed: int = 7, slots: int = SLOTS) -> Model:
     """vocab: (word, c) with c > 0."""
-    try:
-        return _train(vocab, tokens, sweeps, seed, SLOTS)
-    except _TooMany:
-        return _train(vocab, tokens, sweeps, seed, 1)
-
-
-def _train(vocab: DataFrame, tokens: int, sweeps: int, seed: int, slots: int) -> Model:
     once = vocab.agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     discount = min(0.9, max(0.1, once.n1 / (once.n1 + 2 * once.n2))) if once.n1 else 0.5
     model = Model(tokens, discount, 1.0)

@@ -373,6 +373,14 @@ def test_spelling_is_a_distribution():
     assert abs(first.sum() - 1) < 1e-9 and (p > 0).all() and ends[0] > 0
 
 
+def test_spelling_model_does_not_depend_on_size(spark, monkeypatch):
+    """No number of spelling codes makes the contexts shorter."""
+    monkeypatch.setattr(pitman_yor, "CELLS", 3, raising=False)
+    vocab = spark.createDataFrame([(bytearray(w), 2) for w in (b"the", b"then", b"a", b"cat")], "word binary, c long")
+    model = pitman_yor.train(vocab, 8)
+    assert [s.slots for s in model.spellers] == [pitman_yor.SLOTS] * (pitman_yor.SWEEPS + 1)
+
+
 def test_text_restaurant_sums_to_one():
     sizes = np.array([4])
     total = 0.0
