@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import components, dedup, matching, models, recommend, tallies, taxonomy
+from marginalia.plans import modelling
 from marginalia.streaming import refresh
 
 
@@ -103,3 +104,10 @@ def test_form_model_learns(spark):
     rows = spark.createDataFrame([(i, ("poem verse rhyme " if i % 2 else "novel plot hero ") * 3 + str(i), "Poetry" if i % 2 else "Fiction") for i in range(40)], "id int, text string, form string")
     got = models.confident(models.form_model(rows), rows, 0.8).collect()
     assert len(got) > 30 and all(x.form == ("Poetry" if x.id % 2 else "Fiction") for x in got)
+
+
+def test_models_read_whole_texts(spark, sf_dir):
+    whole = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = modelling._labelled(spark, sf_dir).collect()
+    assert all(r.text == whole[r.id] for r in got)
+    assert max(len(r.text) for r in got) > 4000
