@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,13 @@ def latest_by_stream(spark: SparkSession, path: str, key: str, order: Sequence[s
     return spark.read.parquet(names["version"]).select(key, *values)
 
 
-def frontier(seeds: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+def frontier(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, depth): what a crawl from the seeds (node) reaches over links (a, b), breadth first; a visited
-    node is not visited again."""
+    node is not visited again. It ends when a round finds nothing, or after `rounds` if given."""
     _checkpoint_dir(seeds.sparkSession)
     visited = seeds.select("node", F.lit(0).alias("depth")).checkpoint()
     last = visited
-    for depth in range(1, rounds + 1):
+    for depth in count(1) if rounds is None else range(1, rounds + 1):
         found = last.join(links, last["node"] == links["a"]).select(F.col("b").alias("node")).distinct()
         last = found.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
         if last.isEmpty():

@@ -92,6 +92,13 @@ def test_frontier_visits_once(spark):
     assert got == {1: 0, 2: 1, 3: 2, 4: 2}
 
 
+def test_frontier_runs_until_nothing_is_found(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0)], "a long, b long")
+    seed = spark.createDataFrame([(0,)], "node long")
+    assert {x.node: x.depth for x in refresh.frontier(seed, links).collect()} == {i: i for i in range(10)}
+    assert {x.node for x in refresh.frontier(seed, links, 6).collect()} == set(range(7))
+
+
 def test_retries(spark):
     q = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "url string, place int")
     r = spark.createDataFrame([("a", 200), ("b", 429), ("c", 500)], "url string, code int")
