@@ -1,13 +1,17 @@
 """Main text of HTML pages: flat text blocks, classified by a small decision tree.
 
-A page is cut into flat blocks at block-level tags. Each block is described by its word count and
-link density, those of its neighbours, and what encloses it (article, menu-like or hidden elements,
-telling class and id names). A decision tree trained on the small labelled table below tells main
-text from the rest.
+A page is cut into flat blocks at block-level tags. Each block is described by its word count and link
+density, by those of its neighbours (for a line of a list or table, the blocks around the whole list),
+and by the element it lies in: main part of the page, menu-like parts, heading, list. A decision tree
+trained on the small labelled table below tells main text from the rest. Class names are one feature
+among these, and one only of elements that hold a small part of the page: a wrapper around the whole
+story says nothing, whatever it is called.
 
 Null html counts as empty; a page without main text gives an empty text. Character references are
 decoded, white space inside a block becomes one space, blocks are joined in page order by a blank
-line. Rows are never dropped, repeated rows are treated each, other columns are ignored."""
+line. Malformed markup is read as far as it goes: what is not a tag is text, an element left open
+lasts to the end of what encloses it. Rows are never dropped, repeated rows are treated each, other
+columns are ignored, an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -26,38 +30,53 @@ BLOCK = frozenset("address article aside blockquote body button canvas caption c
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select option button datalist canvas audio video head".split())
 BOILER = frozenset("nav aside footer form menu dialog fieldset label button".split())
-HINT = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|widget|footer|foot|header|masthead|topbar|cookie\w*|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|trending|popular|comment\w*|reply|replies|respond|disqus|pagination|pager|copyright|legal|disclaimer|skip|toolbar|tags?|byline|print)(?:$|[\s_-])"
-)
-BODY = re.compile(r"(?i)(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text|prose)(?:$|[\s_-]|body|content|text)")
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEM = frozenset("li td th dt dd".split())
+#: Parts of class names of what is not the story, of what is, and of what only speaks about a part.
+HINT = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead topbar cookie cookies consent notice notification alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended recommendations trending popular comment comments reply replies disqus pagination pager copyright disclaimer skip toolbar tags".split())
+BODY = frozenset("article post entry story content main body text prose page".split())
+ABOUT = frozenset("has with without no show hide is".split())
+#: An element that holds this share of the words outside menus is a wrapper; its class name says nothing.
+WRAPPER = 0.9
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_boiler", "hinted", "heading", "item", "page_has_article", "body_hint")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "part", "in_boiler", "hinted", "heading", "item")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "article", "boiler", "hint", "heading", "item", "body")
+    __slots__ = ("text", "words", "linked", "article", "boiler", "hints", "heading", "item", "hinted")
 
-    def __init__(self, text, words, linked, article, boiler, hint, heading, item, body):
-        self.text, self.words, self.linked, self.article, self.boiler, self.hint, self.heading, self.item, self.body = text, words, linked, article, boiler, hint, heading, item, body
+    def __init__(self, text, words, linked, of):
+        self.text, self.words, self.linked = text, words, linked
+        _, self.article, self.boiler, self.hints, self.heading, self.item = of
+        self.hinted = False
+
+
+def _says(value: str) -> tuple[bool, bool]:
+    """(whether a class or id name speaks of something beside the story, whether of the story itself)."""
+    beside = story = False
+    for name in value.lower().split():
+        parts = re.split(r"[-_]+", name)
+        story |= all(p in BODY for p in parts)
+        beside |= parts[0] not in ABOUT and any(p in HINT for p in parts)
+    return beside and not story, story
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """(flat blocks in page order, whether the page has an article or main element)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, article, boiler, hint, body hint: with what encloses it
+    top = ("", False, False, (), False, 0)
+    stack: list[tuple] = []  # name, article, boiler, numbers of hinted elements, heading, number of the list: with what encloses it
     parts: list[str] = []
     linked: list[str] = []
-    link, has_article, at, n = 0, False, 0, len(page)
+    link, has_article, at, n, lists, hinted = 0, False, 0, len(page), 0, 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 words = text.count(" ") + 1
-                of = stack[-1] if stack else ("", False, False, False, False)
-                names = {s[0] for s in stack[-6:]}
-                out.append(Block(text, words, min(1.0, len("".join(linked).split()) / words), of[1], of[2], of[3], bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), "li" in names or "td" in names, of[4]))
+                out.append(Block(text, words, min(1.0, len("".join(linked).split()) / words), stack[-1] if stack else top))
             parts.clear()
             linked.clear()
 
@@ -84,12 +103,12 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 flush()
             if name == "a":
                 link = max(0, link - 1)
-            elif name == "p" or name in BLOCK or name not in VOID:
+            elif name not in VOID:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
                         del stack[i:]
                         break
-                    if stack[i][0] in ("article", "main", "body", "nav", "aside", "footer", "table") and name not in BLOCK:
+                    if stack[i][0] in BLOCK and name not in BLOCK:
                         break  # an inline end tag does not close what encloses it
             continue
         if name == "br":
@@ -112,7 +131,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             link += 1
             continue
         if name == "p":  # a paragraph ends where the next one begins
-            for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
+            for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
                     break
@@ -120,24 +139,40 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     break
         elif name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-        up = stack[-1] if stack else ("", False, False, False, False)
-        hint, boiler, body = up[3], up[2] or name in BOILER, up[4]
+        up = stack[-1] if stack else top
         article = up[1] or name in ("article", "main")
         has_article |= name in ("article", "main")
-        boiler |= name == "header" and not up[1]
-        if m.group(3):
-            for a in ATTR.finditer(m.group(3)):
-                key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'")
-                if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    hint = True
-                elif key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
-                    boiler = True
-                elif key in ("class", "id"):
-                    hint |= name not in ("html", "body", "main", "article") and bool(HINT.search(value))
-                    body |= bool(BODY.search(value))
-        if name in BLOCK or article != up[1] or boiler != up[2] or hint != up[3]:
-            stack.append((name, article, boiler, hint, body))
+        boiler = up[2] or name in BOILER or name == "header" and not up[1]
+        hints, beside, story = up[3], False, False
+        for a in ATTR.finditer(m.group(3)) if m.group(3) else ():
+            key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'")
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
+                boiler = True
+            elif key == "role":
+                boiler |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+            elif key in ("class", "id"):
+                said = _says(value)
+                beside, story = beside or said[0], story or said[1]
+        if beside and not story and name not in ("html", "body", "main", "article"):
+            hinted += 1
+            hints = (*hints, hinted)
+        item = up[5]
+        if name in ("ul", "ol", "dl", "table", "menu") and not item:
+            lists += 1
+            item = lists
+        of = (name, article, boiler, hints, up[4] or name in HEADING, item)
+        if name in BLOCK or of[1:] != up[1:]:
+            stack.append(of)
     flush()
+    inside: dict[int, int] = {}
+    plain = 0
+    for x in out:
+        if not x.boiler:
+            plain += x.words
+            for h in x.hints:
+                inside[h] = inside.get(h, 0) + x.words
+    for x in out:
+        x.hinted = any(inside.get(h, 0) < WRAPPER * plain for h in x.hints)
     return out, has_article
 
 
@@ -146,35 +181,88 @@ def table(found: list[Block], has_article: bool) -> np.ndarray:
     x = np.zeros((n, len(FEATURES)))
     for i, b in enumerate(found):
         x[i, :2] = b.words, b.linked
-        x[i, 6:] = b.article, b.boiler, b.hint, b.heading, b.item, has_article, b.body
-    if n:
-        x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
+        # 1 in the page's main element, -1 outside it, 0 where the page has none
+        x[i, 6:] = (1 if b.article else -1) if has_article else 0, b.boiler, b.hinted, b.heading, b.item > 0
+    # the neighbours of a list's lines are what lies before and behind the list
+    for side, order in ((2, range(n)), (4, range(n - 1, -1, -1))):
+        last, around, of = (0.0, 0.0), (0.0, 0.0), 0
+        for i in order:
+            b = found[i]
+            if not b.item or b.item != of:
+                around = last
+            of = b.item
+            x[i, side : side + 2] = around
+            last = (b.words, b.linked)
     return x
 
 
-#: The labelled table: small pages; a block that begins with + is main text, one with - is not.
-LABELLED = (
-    '<nav><a>-Home</a> <a>-News</a></nav><article><h1>+A title of the piece</h1><p>+Short.</p><p>+A paragraph with rather more words than the one before it has.</p></article><footer>-Copyright, all rights</footer>',
-    '<div class="ad">-Buy this now, a long advert with many words in it that reads like prose.</div><article><p>+Yes.</p><p>+Some words with <a>a link</a> inside.</p><div class="ad">-Buy</div><ul><li>+first point of a list</li><li>+second</li></ul></article>',
-    '<header><p>-The daily paper</p><a>-Sign in</a></header><main><h2>+Heading</h2><p>+Text of the story goes on here for a while and then it ends.</p><p><a>+A linked line in the text</a></p></main><aside><p>-Related: five more stories to read today and tomorrow</p></aside>',
-    '<article><header><h1>+Title in a header</h1></header><p>+Body text here.</p><section class="comments"><p>-I think this is a very good article and I want to say so at length.</p><p>-Me too</p></section></article>',
-    '<div id="nav"><a>-Home</a><a>-About</a></div><div class="content"><h1>+A heading</h1><p>+A long paragraph without any link in it, which tells the reader something that is of use.</p><p>+Short one.</p><p>+Another long paragraph without any link in it, which tells something too.</p></div><div class="footer">-Contact us by mail at any time, we will answer soon</div>',
-    '<ul><li><a>-One</a></li><li><a>-Two</a></li><li><a>-Three</a></li></ul><p>+Plain text that stands on its own and has a good number of words to it.</p><p>+More of such text follows here, and it has words as well.</p><p><a>-Next page</a></p>',
-    '<form><p>-Search this site for words or phrases that you look for</p></form><div><p>+A page without article element has text like this, in full sentences, one after the other.</p><p>+Second of them, again with a good number of words.</p></div><p><a>-Terms</a> <a>-Privacy</a></p>',
-    '<main><div class="notice">-We use cookies to make this site work better for you and for us.</div><p>+The story.</p><blockquote>+A quotation from someone</blockquote><aside>-See also this other story of ours</aside><p>+The end.</p></main>',
-    '<div class="cookie-banner"><p>-This site uses cookies, please accept them all or go away now.</p></div><div class="post"><p>+Words of a post by someone who writes.</p><p>+And its end.</p></div><div class="sidebar"><p>-About me: I write posts about things that I like, every week or so.</p></div><div id="comments"><p>-First comment, says the reader who came first, with many words.</p></div>',
-    '<p><a>-Skip to content</a></p><article><table><tr><td>+cell one</td><td>+cell two</td></tr></table><p>+After the table.</p></article><div class="related"><a>-More like this</a></div><footer><p>-Imprint of this site, with its address and the number of its telephone</p></footer>',
-    '<nav class="menu"><ul><li><a>-Sports</a></li><li>-Politics</li></ul></nav><article><p>+Text.</p><form><p>-Subscribe to our letter by giving us your address here</p></form><p>+Text goes on.</p></article>',
-    '<p><a>-Prev</a></p><p>+Only a paragraph of text which is long enough to be told from links around it.</p><p><a>-Next</a></p>',
-)
+def _w(n: int) -> str:
+    return " ".join(["word"] * n)
+
+
+def _labelled() -> list[str]:
+    """The labelled table: small pages; a block that begins with + is main text, one with - is not.
+
+    Sizes of blocks run over a few values, so that the tree learns where they begin to tell."""
+    menu = "".join(f"<li><a>-{_w(k)}</a></li>" for k in (1, 2, 1, 3))
+    pages = [
+        f"<nav><ul>{menu}</ul></nav><article><h1>+{_w(6)}</h1><p>+{_w(1)}</p><p>+{_w(40)}</p></article><footer>-{_w(9)}</footer>",
+        f'<div class="ad">-{_w(14)}</div><article><p>+{_w(1)}</p><p>+{_w(9)} <a>{_w(2)}</a></p><div class="ad">-{_w(1)}</div><ul><li>+{_w(4)}</li><li>+{_w(1)}</li></ul></article>',
+        f"<header><p>-{_w(3)}</p><a>-{_w(2)}</a></header><main><h2>+{_w(1)}</h2><p>+{_w(16)}</p><p><a>+{_w(6)}</a></p><p>+{_w(12)}</p></main><aside><p>-{_w(30)}</p></aside>",
+        f'<article><header><h1>+{_w(4)}</h1></header><p>+{_w(60)}</p><section class="comments"><p>-{_w(30)}</p><p>-{_w(2)}</p></section></article>',
+        f'<article><p>+{_w(30)}</p><p>+{_w(5)}</p><div class="related"><p><a>-{_w(7)}</a></p><p>-{_w(8)}</p></div><form><p>-{_w(11)}</p></form><p>+{_w(3)}</p></article>',
+        f'<main><div class="notice">-{_w(16)}</div><p>+{_w(2)}</p><blockquote>+{_w(4)}</blockquote><aside>-{_w(8)}</aside><p>+{_w(2)}</p><table><tr><td>+{_w(1)}</td><td>+{_w(2)}</td></tr></table></main>',
+        f"<p><a>-{_w(3)}</a></p><article><p>+{_w(25)}</p></article><p>-{_w(12)}</p><div>-{_w(40)}</div>",
+        f"<div>-{_w(3)}</div><article><h1>+{_w(9)}</h1><p>+{_w(3)}</p><ul><li>+{_w(2)}</li></ul></article><div>-{_w(20)}</div><div>-{_w(2)}</div>",
+        f'<div class="cookie-banner"><p>-{_w(12)}</p></div><div><h1>+{_w(5)}</h1><p>+{_w(28)}</p><p>+{_w(30)}</p></div><div class="sidebar"><p>-{_w(20)}</p></div><div id="comments"><p>-{_w(18)}</p><p>-{_w(45)}</p></div>',
+        f"<form><p>-{_w(12)}</p></form><div><p>+{_w(19)}</p><p>+{_w(14)}</p></div><p><a>-{_w(1)}</a> <a>{_w(1)}</a></p>",
+    ]
+    # inside the main element blocks of all sizes are text, outside it none is
+    sizes = (1, 2, 4, 7, 10, 13, 17, 25, 40, 60, 120)
+    for u in sizes:
+        pages.append(f"<header>-{_w(u)}</header><aside>-{_w(u)}</aside><h1>+{_w(4)}</h1><p>+{_w(30)}</p><footer><p>-{_w(u)}</p></footer>")
+        for v in sizes:
+            pages += [
+                f"<div>-{_w(v)}</div><article><h1>+{_w(u)}</h1><p>+{_w(v)}</p><p>+{_w(u)}</p><p>+{_w(v)}</p></article><div>-{_w(u)}</div>",
+                f'<nav><p>-{_w(u)}</p></nav><main><div class="ad">-{_w(v)}</div><p>+{_w(u)}</p><p>+{_w(v)}</p></main><footer>-{_w(v)}</footer>',
+                f"<article><p>+{_w(u)}</p><aside><p>-{_w(v)}</p><p>-{_w(u)}</p></aside><p>+{_w(v)}</p><form>-{_w(u)}</form></article>",
+            ]
+    # pages without telling elements: only the neighbours decide about short blocks
+    for long in (18, 35, 90):
+        for short in (1, 3, 6, 9, 12):
+            lines = "".join(f"<div>-{_w(k)}</div>" for k in (short, 2, short))
+            items = "".join(f"<li>-{_w(k)}</li>" for k in (short, 1, 2, short, 3))
+            points = "".join(f"<li>+{_w(k)}</li>" for k in (short, 2, short))
+            body = f"<p>+{_w(long)}</p><p>+{_w(short)}</p><p>+{_w(long)}</p>"
+            pages += [
+                f"{lines}{body}{lines}",
+                f"<ul>{items}</ul><h1>+{_w(4)}</h1>{body}<ul>{items}</ul>",
+                f"<ul>{menu}</ul><p>+{_w(long)}</p><ul>{points}</ul><p>+{_w(long)}</p><p><a>-{_w(short)}</a></p><p><a>-{_w(2)}</a></p>",
+                f"<p><a>-{_w(short)}</a></p><h2>+{_w(short + 1)}</h2>{body}<h3>+{_w(2)}</h3>{body}<ul>{menu}</ul>",
+                f"<p>+{_w(long)}</p><blockquote>+{_w(short)}</blockquote><p>+{_w(long)}</p><div><a>-{_w(long)}</a></div><div><a>-{_w(short)}</a></div>",
+                f"<nav>{lines}</nav><h1>+{_w(short)}</h1>{body}{body}<footer>-{_w(short)}</footer>",
+                f'<div class="promo">-{_w(long)}</div>{body}<div class="comments"><p>-{_w(long)}</p><p>-{_w(short)}</p></div>',
+            ]
+    return pages
 
 
 class Tree:
     """A decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4):
+        self.least = least
         self.root = self._grow(x, y, depth)
 
+    def used(self) -> set[str]:
+        """Names of the features that the tree splits on."""
+        out, todo = set(), [self.root]
+        while todo:
+            node = todo.pop()
+            if not isinstance(node, bool):
+                out.add(FEATURES[node[0]])
+                todo += node[2:]
+        return out
+
     def _grow(self, x, y, depth):
         p = float(y.mean())
         if depth == 0 or p in (0.0, 1.0):
@@ -185,6 +273,8 @@ class Tree:
             for t in (v[1:] + v[:-1]) / 2:
                 left = x[:, j] <= t
                 a, b = y[left], y[~left]
+                if min(len(a), len(b)) < self.least:
+                    continue
                 g = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
                 if best is None or g < best[0] - 1e-12:
                     best = (g, j, t, left)
@@ -210,10 +300,10 @@ class Tree:
 @cache
 def tree() -> Tree:
     xs, ys = [], []
-    for page in LABELLED:
+    for page in _labelled():
         found, has = blocks(page)
         xs.append(table(found, has))
-        ys += ["+" in b.text for b in found]
+        ys += [b.text[0] == "+" for b in found]
     return Tree(np.concatenate(xs), np.array(ys, float))
 
 
