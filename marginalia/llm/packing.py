@@ -6,12 +6,16 @@ the room that is left; when none fits whole, the best one is cut so that it fill
 full length become sequences of their own. What is left at the end of a task is cut into sequences
 whose lengths are powers of two, which need no padding.
 
+Of a document all ids bear loss but the end id. The limit on them is one less than that on tokens, so
+that a sequence without any end id leaves one place free: less than a thousandth is padding.
+
 Packing is local to a task: no shuffle, memory bounded by the pool, and a lost task repeats alone.
-Null text counts as empty: it has the end id only. Repeated rows are packed each; other columns are
-ignored."""
+Null and empty texts count as empty: they have the end id only. Repeated rows are packed each, a null
+identifier is packed under null; other columns are ignored, an empty table gives an empty table."""
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,39 +31,52 @@ END = 0
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _bearing(loss, start: int, end: int) -> int:
+    """Loss-bearing ids among start..end; loss: counts of them before each place, or how many lead."""
+    if isinstance(loss, int):
+        return max(0, min(end, loss) - start)
+    return int(loss[end] - loss[start])
+
+
+def _reach(loss, start: int, end: int, most: int) -> int:
+    """The last place up to `end` with at most `most` loss-bearing ids since `start`."""
+    if isinstance(loss, int):
+        return end if min(end, loss) - start <= most else start + most
+    return min(end, int(np.searchsorted(loss, loss[start] + most, side="right")) - 1)
+
+
 class Packer:
-    """Streams pieces (item, start, length, loss-bearing) into sequences.
+    """Streams pieces (item, start, length) into sequences.
 
     tokens, segments and loss are the three limits; pool is how many waiting pieces are compared."""
 
     def __init__(self, tokens: int = 1024, segments: int = 64, loss: int | None = None, pool: int = 256):
         self.cap = np.array([tokens, segments, loss or tokens], np.float64)
-        self.tokens, self.pool = tokens, pool
+        self.tokens, self.loss, self.pool = tokens, loss or tokens, pool
         self.items: list = [None] * (2 * pool)
         self.need = np.zeros((2 * pool, 3))
         self.live = 0
         self.total, self.seen = np.zeros(3), 0
         self.sequences = 0
 
-    def _store(self, item, start: int, length: int, loss: int) -> None:
+    def _store(self, item, start: int, length: int, loss) -> None:
         self.items[self.live] = (item, start, length, loss)
-        self.need[self.live] = (length, 1, loss)
+        self.need[self.live] = (length, 1, _bearing(loss, start, start + length))
         self.live += 1
 
-    def add(self, item, length: int, loss_before: np.ndarray | None = None) -> Iterator[list]:
-        """loss_before[i]: loss-bearing tokens among the item's first i; None: all bear loss."""
+    def add(self, item, length: int, loss=None) -> Iterator[list]:
+        """loss[i]: loss-bearing tokens among the item's first i; a number: so many lead, the others bear
+        none; None: all bear loss."""
         start = 0
+        loss = length if loss is None else loss
         while start < length:
-            to = min(start + self.tokens, length)
-            if loss_before is not None:
-                room = int(np.searchsorted(loss_before, loss_before[start] + self.cap[2], side="right")) - 1
-                to = min(to, max(room, start + 1))
-            loss = to - start if loss_before is None else int(loss_before[to] - loss_before[start])
-            if to - start == self.tokens:
+            to = max(_reach(loss, start, min(start + self.tokens, length), self.loss), start + 1)
+            bearing = _bearing(loss, start, to)
+            if to - start == self.tokens or bearing == self.loss:
                 yield self._close([(item, start, to - start)])
             else:
                 self._store(item, start, to - start, loss)
-                self.total += (to - start, 1, loss)
+                self.total += (to - start, 1, bearing)
                 self.seen += 1
             start = to
             while self.live >= self.pool:
@@ -80,24 +97,21 @@ class Packer:
         """One sequence out of the pool."""
         weight = self.total / max(self.seen, 1) / self.cap / self.cap
         room, parts = self.cap.copy(), []
-        while self.live and (room > 0).all():
+        while self.live and (room[:2] > 0).all():
             need = self.need[: self.live]
             score = need @ (weight * room)
             fits = (need <= room).all(1)
             if fits.any():
                 j = int(np.argmax(np.where(fits, score, -1)))
-                item, start, length, loss = self._take(j)
-                parts.append((item, start, length))
-                room -= (length, 1, loss)
+                room -= need[j]
+                parts.append(self._take(j)[:3])
                 continue
-            plain = need[:, 0] == need[:, 2]  # loss-bearing all through, so that a cut's loss is its length
-            if not plain.any():
+            if room[2] <= 0:
                 break
-            j = int(np.argmax(np.where(plain, score, -1)))
-            cut = int(min(room[0], room[2]))
-            item, start, length, _ = self._take(j)
-            parts.append((item, start, cut))
-            self._store(item, start + cut, length - cut, length - cut)
+            item, start, length, loss = self._take(int(np.argmax(score)))
+            to = _reach(loss, start, start + min(int(room[0]), length), int(room[2]))
+            parts.append((item, start, to - start))
+            self._store(item, to, start + length - to, loss)
             break
         yield from self._settle(parts)
 
@@ -148,9 +162,29 @@ def _with_special(codec: bpe.Codec, text: bytes, special: dict[str, int]) -> byt
     return b"".join(out)
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = END, tokens: int = 1024, segments: int = 64, loss: int | None = None, special: dict[str, int] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """special: strings that stand for an id of their own wherever they occur. One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    codec = docs.sparkSession.sparkContext.broadcast(bpe.Codec(bpe.read_ranks(ranks_path)))  # the vocabulary's size
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ranks of byte strings, ids of special strings) of a byte-level tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
+    rest = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    ids = model["vocab"]
+    merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("ids do not follow the order of merges")
+    special = {t["content"]: t["id"] for t in told["added_tokens"]}
+    return {bytes(byte[c] for c in t): i for t, i in ids.items() if t not in special}, special
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END, tokens: int = 1024, segments: int = 64, loss: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    loss: limit on loss-bearing ids of a sequence; None: one less than that on tokens."""
+    ranks, special = vocabulary(tokenizer_path)
+    loss = tokens - 1 if loss is None else loss
+    codec = docs.sparkSession.sparkContext.broadcast(bpe.Codec(ranks))  # the vocabulary's size
     src = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS string) AS text")
     kind = src.schema["key"].dataType.simpleString()
 
@@ -158,8 +192,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = END, tokens:
         import tiktoken
 
         c = codec.value
-        core = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=c.ranks, special_tokens={})._core_bpe
-        c.merge = core.encode_single_piece
+        whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=c.ranks, special_tokens={})  # what it is given is one pre-token
+        c.merge = lambda piece: whole.encode_ordinary(piece.decode("utf-8"))
         packer = Packer(tokens, segments, loss)
         base = TaskContext.get().partitionId() << 36
         rows: list = []
@@ -186,7 +220,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = END, tokens:
             marked = _marked(data, off, special)
             for i, (k, x, y) in enumerate(zip(b.column(0).to_pylist(), at, at[1:])):
                 own = flat[4 * x : 4 * y] if i not in marked else _with_special(c, marked[i], special)
-                take(packer.add((own + end, k), len(own) // 4 + 1))
+                take(packer.add((own + end, k), len(own) // 4 + 1, len(own) // 4))
             if len(rows) > 5000:
                 yield out()
         take(packer.finish())
