@@ -33,11 +33,11 @@ def op6_secret_scans(spark, sf_dir):
 
 
 def op7_packing(spark, sf_dir):
-    return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256})
+    return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_suffix_dedup(spark, sf_dir):
-    return repeats.remove(common.documents(spark, sf_dir)).drop("removed", "kept")
+    return repeats.remove(common.documents(spark, sf_dir))
 
 
 def op9_exact_search(spark, sf_dir):
