@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import by_text
@@ -20,6 +20,11 @@ GRADES = {"A+": 4, "A": 4, "A-": 3, "B+": 3, "B": 3, "B-": 2, "C+": 2, "C": 2, "
 QUOTE_CUTS = (2.059392033294505, 2.7702964086626443, 3.423146772081276)
 
 
+def let(c: Column, f) -> Column:
+    """f(c), with c evaluated once: a column that is named several times is otherwise copied each time."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def lookup(c: Column, table: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
 
@@ -67,6 +72,11 @@ def title_case(c: Column) -> Column:
     return by_text(lambda t: re.sub(r"(['’])([A-Z])", lambda m: m.group(1) + m.group(2).lower(), t.title()))(c)
 
 
+def plain_title_case(c: Column) -> Column:
+    """Capitals after anything that is no letter."""
+    return by_text(str.title)(c)
+
+
 def recased(title: Column) -> Column:
     """All-capitals titles in title case, others as they are."""
     return F.when((title == F.upper(title)) & (title != F.lower(title)), title_case(title)).otherwise(title)
@@ -76,6 +86,18 @@ def unescape(c: Column) -> Column:
     return by_text(html.unescape)(c)
 
 
+def decoded_references(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the character references of some columns decoded, in one Arrow pass over its rows."""
+
+    def run(batches):
+        for b in batches:
+            for c in columns:
+                b[c] = b[c].map(html.unescape, na_action="ignore")
+            yield b
+
+    return df.mapInPandas(run, df.schema)
+
+
 def plain_text(markup: Column) -> Column:
     """Tags out, references decoded, white space collapsed."""
     return clean(unescape(F.regexp_replace(markup, "(?s)<[^>]+>", " ")))
@@ -97,8 +119,9 @@ def standfirst(c: Column, most: int = 240) -> Column:
 def english_votes(c: Column) -> tuple[Column, Column, Column]:
     """(words, votes for English, votes for others)."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
-    count = lambda table: F.size(F.filter(words, lambda w: w.isin(*sorted(set(table)))))
-    return F.size(words), count(ENGLISH), count(FOREIGN)
+    votes = lambda w, table: F.size(F.filter(w, lambda x: x.isin(*sorted(set(table)))))
+    counted = let(words, lambda w: F.array(F.size(w), votes(w, ENGLISH), votes(w, FOREIGN)))
+    return counted[0], counted[1], counted[2]
 
 
 def is_english(c: Column) -> Column:
@@ -143,3 +166,13 @@ def longest_titles(titles: Column) -> Column:
     """Titles that no longer title begins with; all of them if none is left."""
     kept = F.filter(titles, lambda c: ~F.exists(titles, lambda d: (d != c) & F.startswith(F.lower(d), F.lower(c))))
     return F.when(F.size(kept) > 0, kept).otherwise(titles)
+
+
+def stamp(c: Column, digits: int = 10) -> Column:
+    """The beginning of a content's hash."""
+    return F.substring(F.sha1(c.cast("binary")), 1, digits)
+
+
+def isbn13(codes: Column) -> Column:
+    """The first code of thirteen characters."""
+    return F.get(F.filter(codes, lambda c: F.length(c) == 13), F.lit(0))

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the least node that each node of the edges reaches.
 
     Every round needs only the least neighbour of a node, which Spark combines before the shuffle; the
-    lineage is cut by checkpoint() in the cluster's shared folder."""
+    lineage is cut by checkpoint() in the cluster's shared folder. Rounds go on until one changes nothing."""
     spark = edges.sparkSession
     _checkpoint_dir(spark)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct().checkpoint()
     before = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -26,8 +26,6 @@ def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label"))
     alone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("label")).join(found.unionByName(roots).select("node"), "node", "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import at_places
+
 PRIOR_MEAN, PRIOR_N = 3.27, 10
 NAMES = ((4, "n_rave"), (3, "n_positive"), (2, "n_mixed"), (1, "n_pan"))
 
@@ -53,10 +55,15 @@ def versus_others(df: DataFrame, entity: str, book: str = "book", v: str = "v",
 
 
 def label_cuts(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the score's quantiles at which labels 1, 2, 3 end, as many below as have those labels."""
-    share = df.agg(*[(F.count_if(F.col(label) <= k) / F.count(F.lit(1))).alias(f"q{k}") for k in (1, 2, 3)]).first()
-    at = [float(share[f"q{k}"]) for k in (1, 2, 3)]  # three numbers
-    return df.agg(F.percentile(score, F.array(*map(F.lit, at))).alias("c")).select(*[F.col("c")[i].alias(f"cut{i + 1}") for i in range(3)])
+    """One row: the score's quantiles at which labels 1, 2, 3 end, as many below as have those labels.
+
+    Quantiles are read off the sorted scores, which stay dealt by ranges."""
+    rows = df.filter(F.col(score).isNotNull())
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) <= k).alias(f"q{k}") for k in (1, 2, 3)]).first()
+    at = [(counted["n"] - 1) * (counted[f"q{k}"] / counted["n"]) if counted["n"] else 0.0 for k in (1, 2, 3)]
+    found = at_places(rows, score, [p for x in at for p in (int(x), int(x) + 1)]) if counted["n"] else {}
+    cuts = [float(found[int(x)] + (x - int(x)) * (found.get(int(x) + 1, found[int(x)]) - found[int(x)])) if found else None for x in at]
+    return df.sparkSession.createDataFrame([tuple(cuts)], "cut1 double, cut2 double, cut3 double")
 
 
 def running_share(df: DataFrame, label: str) -> DataFrame:

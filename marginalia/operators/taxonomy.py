@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: The categories, in order.
 FORMS = ["Fiction", "Nonfiction", "Poetry", "Drama"]
 FICTION = ["Literary Fiction", "Historical Fiction", "Mystery & Thriller", "Science Fiction & Fantasy", "Horror", "Romance", "Short Stories", "Graphic Novels & Comics", "Children's & Young Adult"]
@@ -54,24 +56,146 @@ NOT_FICTION = [c for c in NONFICTION]
 NOT_NONFICTION = ["Literary Fiction", "Mystery & Thriller", "Science Fiction & Fantasy", "Horror", "Romance", "Short Stories", "Historical Fiction"]
 
 
-def scores(signals: DataFrame, key: str = "book", text: str = "signal", rules=tuple(RULES)) -> DataFrame:
-    """(key, category, ord, score): for each signal that matches, 1 and a tenth for each hit up to three.
+#: Words of a title that make it a book on food.
+TITLE_FOOD = r"\b(cookbook|recipes|cooking|kitchen|cuisine)\b"
+#: Tags of the main set and the categories they stand for.
+TAGS = {
+    "Fiction": ["Fiction"], "Non-Fiction": ["Nonfiction"], "Literary": ["Literary Fiction"], "History": ["History"], "Memoir": ["Biography & Memoir"],
+    "Mystery, Crime, & Thriller": ["Mystery & Thriller"], "Biography": ["Biography & Memoir"], "Politics": ["Politics & Current Affairs"], "Culture": ["Society & Culture"],
+    "Historical": ["Historical Fiction"], "Literature in Translation": ["In Translation"], "Lit in Translation": ["In Translation"],
+    "Investigative Journalism": ["True Crime & Investigative"], "True Crime": ["True Crime & Investigative"], "Essays": ["Essays & Criticism"], "Criticism": ["Essays & Criticism"],
+    "Social Sciences": ["Society & Culture"], "Story Collections": ["Short Stories"], "Speculative": ["Science Fiction & Fantasy"], "Fantasy": ["Science Fiction & Fantasy"],
+    "Sci-Fi and Fantasy": ["Science Fiction & Fantasy"], "Science": ["Science & Nature"], "Nature": ["Science & Nature"], "LGBTQ Stories": ["LGBTQ+"], "Music": ["Arts & Entertainment"],
+    "Film & TV": ["Arts & Entertainment"], "Art": ["Arts & Entertainment"], "Poetry": ["Poetry"], "Romance": ["Romance"], "Technology": ["Technology"], "Horror": ["Horror"],
+    "Sports": ["Sports"], "Travel": ["Travel"], "Religion": ["Philosophy & Religion"], "Graphic Novels": ["Graphic Novels & Comics"], "Graphic Nonfiction": ["Graphic Novels & Comics", "Nonfiction"],
+    "Health": ["Health & Psychology"], "Business": ["Business & Economics"],
+}
+#: Genres of the graded reviews and the forms they vote for.
+GENRE_FORMS = {
+    "Fiction": "novel fiction novella novellas stories autobiographical",
+    "Poetry": "poetry poems",
+    "Drama": "drama play plays",
+    "Nonfiction": "non-fiction memoir biography essays history science travel philosophy autobiography biographical interviews",
+}
+#: Tags, words and sections that vote for a form, by source.
+NONFICTION_TAGS = ["books/biography", "books/history", "books/politics", "books/society", "books/scienceandnature", "books/autobiography-and-memoir"]
+ABSTRACT_WORDS = [("Fiction", r"\b(novel|short stories|stories)\b"), ("Poetry", r"\bpoems|poetry\b"), ("Nonfiction", r"\b(biography|memoir|history of|account of|study of|examines)\b")]
+DULL_SUBJECTS = ["Books and Literature", "Reviews", "BOOK REVIEWS", "TERMS NOT AVAILABLE"]
+PATH_FICTION, PATH_NONFICTION = "/(fiction|literature/(?:contemporary|modern|classics)|poetry)", "/(history|politics|science|philosophy|religion|arts|culture|economics|society|biography|memoir|world)"
+
+
+def scores(signals: DataFrame, key: str = "book", text: str = "signal", ordinal: str | None = None, rules=tuple(RULES)) -> DataFrame:
+    """(key, category, first, tenths): for each signal that matches, 1 and a tenth for each hit up to three.
+    first: where the category was first scored, by the signal's ordinal and then the rule; of equal scores
+    the earlier counts more. Without an ordinal signals count as one.
 
     Scores are kept in tenths as whole numbers, so their order does not depend on summation."""
     table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("category"), F.least(F.size(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))), F.lit(3)).alias("hits")) for i, (c, p) in enumerate(rules)])
-    hits = signals.select(key, F.inline(F.filter(table, lambda r: r.hits > 0)))
-    return hits.groupBy(key, "category").agg(F.min("ord").alias("ord"), F.sum(10 + F.col("hits")).alias("tenths"))
+    hits = signals.select(key, (F.col(ordinal) if ordinal else F.lit(0)).alias("_at"), F.inline(F.filter(table, lambda r: r.hits > 0)))
+    return hits.groupBy(key, "category").agg(F.min(F.struct(F.col("_at").alias("signal"), F.col("ord").alias("rule"))).alias("first"), F.sum(10 + F.col("hits")).alias("tenths"))
 
 
 def strongest(scored: DataFrame, key: str = "book", top: int = 3) -> DataFrame:
     """(key, categories): the `top` best-scored categories and all attributes."""
     plain = scored.filter(~F.col("category").isin(*ATTRIBUTES))
-    w = W.partitionBy(key).orderBy(F.desc("tenths"), "ord")
+    w = W.partitionBy(key).orderBy(F.desc("tenths"), "first")
     best = plain.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).drop("_r")
     kept = best.unionByName(scored.filter(F.col("category").isin(*ATTRIBUTES)))
     return kept.groupBy(key).agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 
+def tag_categories(tags: Column) -> Column:
+    """The categories that a main-set book's tags stand for."""
+    table = F.create_map(*[x for t, c in TAGS.items() for x in (F.lit(t), F.array(*map(F.lit, c)))])
+    return F.array_distinct(F.flatten(F.transform(tags, lambda t: F.coalesce(table[t], F.array().cast("array<string>")))))
+
+
+def tagged(tags: Column, title: Column) -> Column:
+    """The consistent categories of a main-set book, by its tags and what its title says about food."""
+    food = lambda c: F.when(F.lower(title).rlike(TITLE_FOOD) & ~F.arrays_overlap(c, _arr(["Fiction", "Poetry"])), F.array_union(c, _arr(["Food & Cooking"]))).otherwise(c)
+    hint = lambda c: F.coalesce(*[F.when(F.array_contains(c, f), f) for f in ("Fiction", "Nonfiction", "Poetry")])
+    return let(let(tag_categories(tags), food), lambda c: finish(c, hint(c)))
+
+
+# --- signals and votes, by source ----------------------------------------------------------------
+
+
+def _rows(signal: Column, *votes: tuple[Column, str, int]) -> tuple[Column, Column]:
+    """(array of signals, array of (form, weight)) without the missing ones."""
+    ballot = F.array(*[F.when(when, F.struct(F.lit(form).alias("form"), F.lit(weight).alias("weight"))) for when, form, weight in votes])
+    return F.array_compact(F.array(signal)), F.filter(ballot, lambda v: v.isNotNull())
+
+
+def from_grades(genre: Column, original: Column) -> tuple[Column, Column]:
+    """A graded review's genre, which votes with 3; an original in another language says it is translated."""
+    low = F.lower(genre)
+    votes = [(low.isin(*words.split()), form, 3) for form, words in GENRE_FORMS.items()]
+    signals, ballot = _rows(low, *votes)
+    other = (F.trim(F.coalesce(original, F.lit(""))) != "") & ~F.lower(original).contains("english")
+    return F.when(other, F.concat(signals, _arr(["translated"]))).otherwise(signals), ballot
+
+
+def from_tags(tags: Column) -> tuple[Column, Column]:
+    """A newspaper's tags ('a; b'): the first of fiction, poetry and nonfiction that they name."""
+    own = F.filter(F.split(tags, "; "), lambda t: t.startswith("books/"))
+    fiction, poetry = F.arrays_overlap(own, _arr(["books/fiction", "books/short-stories"])), F.array_contains(own, "books/poetry")
+    return _rows(F.array_join(own, " "), (fiction, "Fiction", 2), (~fiction & poetry, "Poetry", 2), (~fiction & ~poetry & F.arrays_overlap(own, _arr(NONFICTION_TAGS)), "Nonfiction", 1))
+
+
+def from_abstract(subjects: Column, abstract: Column) -> tuple[Column, Column]:
+    """A citation's subjects (array) and the words of its abstract, each of which votes."""
+    told = F.filter(subjects, lambda s: ~s.isin(*DULL_SUBJECTS))
+    low = F.lower(F.coalesce(abstract, F.lit("")))
+    return _rows(F.lower(F.array_join(told, " ")), *[(low.rlike(p), form, 1) for form, p in ABSTRACT_WORDS])
+
+
+def from_subjects(subjects: Column) -> tuple[Column, Column]:
+    """A library's subjects (array)."""
+    low = F.transform(subjects, lambda s: F.lower(s))
+    fiction = F.exists(low, lambda s: s.startswith("fiction") | s.endswith(", fiction"))
+    some = F.size(subjects) > 0
+    return _rows(F.when(some, F.array_join(low, " ")), (some & fiction, "Fiction", 2), (some & ~fiction & F.arrays_overlap(low, _arr(["nonfiction", "biography", "history"])), "Nonfiction", 1))
+
+
+def from_path(url: Column, path: Column) -> tuple[Column, Column]:
+    """The sections of an address (see path_signal); those of one weekly vote."""
+    weekly = url.contains("the-tls.com")
+    fiction, poetry = url.rlike(PATH_FICTION), url.contains("poetry")
+    return _rows(path, (weekly & fiction & ~poetry, "Fiction", 1), (weekly & fiction & poetry, "Poetry", 1), (weekly & ~fiction & url.rlike(PATH_NONFICTION), "Nonfiction", 1))
+
+
+def from_sections(sections: Column) -> tuple[Column, Column]:
+    """A monthly's sections."""
+    poetry = sections.contains("poetry")
+    return _rows(sections, (poetry, "Poetry", 2), (~poetry & sections.contains("fiction"), "Fiction", 2), (~poetry & ~sections.contains("fiction"), "Nonfiction", 1))
+
+
+def from_historical(genres: Column) -> tuple[Column, Column]:
+    """Genres of a society for historical novels: fiction unless they say otherwise."""
+    g = F.replace(F.coalesce(genres, F.lit("")), F.lit("-"), F.lit(" "))
+    non = g.contains("non fiction") | g.contains("nonfiction")
+    return _rows(F.when(non, g).otherwise(F.concat(g, F.lit(" historical fiction"))), (non, "Nonfiction", 3), (~non, "Fiction", 3))
+
+
+def from_trade(genre: Column) -> tuple[Column, Column]:
+    """A trade weekly's genre."""
+    g = F.lower(F.nullif(genre, F.lit("")))
+    non = g.contains("nonfiction")
+    return _rows(g, (non, "Nonfiction", 3), (~non & g.contains("fiction"), "Fiction", 3))
+
+
+def gathered(sources: list[tuple[DataFrame, tuple[Column, Column]]], key: str = "book", ordinal: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """(signals: key, signal, ord; votes: key, form, weight, ord) of sources in turn, each with its rows
+    (key, ord) and what they say."""
+    said = voted = None
+    for i, (df, (signals, ballot)) in enumerate(sources):
+        at = F.struct(F.lit(i).alias("source"), F.col(ordinal).alias("row"))
+        s = df.select(key, at.alias("_at"), F.posexplode(signals).alias("_i", "signal")).select(key, "signal", F.struct("_at", "_i").alias("ord"))
+        v = df.select(key, at.alias("_at"), F.posexplode(ballot).alias("_i", "v")).select(key, "v.form", "v.weight", F.struct("_at", "_i").alias("ord"))
+        said, voted = (s, v) if said is None else (said.unionByName(s), voted.unionByName(v))
+    return said, voted
+
+
 def form_of(votes: DataFrame, key: str = "book") -> DataFrame:
     """(key, form, weight): the form with most weight; of equals the one voted for first (ord)."""
     total = votes.groupBy(key, "form").agg(F.sum("weight").alias("weight"), F.min("ord").alias("_first"))
@@ -80,10 +204,18 @@ def form_of(votes: DataFrame, key: str = "book") -> DataFrame:
 
 
 def title_votes(titles: DataFrame, key: str = "book", title: str = "title", weight: int = 4) -> DataFrame:
+    """(key, form, weight, ord): the forms that words of a title vote for."""
     rows = F.array(*[F.when(F.lower(title).rlike(p), F.struct(F.lit(f).alias("form"), F.lit(weight).alias("weight"), F.lit(i).alias("ord"))) for i, (p, _, f) in enumerate(TITLE_RULES)])
     return titles.select(key, F.inline(F.filter(rows, lambda r: r.isNotNull())))
 
 
+def title_categories(cats: Column, title: Column) -> Column:
+    """Categories with those that words of the title name."""
+    low = F.lower(title)
+    named = F.array(*[F.when(low.rlike(p), c) for p, c in [(TITLE_FOOD, "Food & Cooking"), *[(p, c) for p, c, _ in TITLE_RULES if c]]])
+    return F.array_union(cats, F.array_compact(named))
+
+
 def _arr(names) -> Column:
     return F.array(*map(F.lit, names))
 
@@ -96,11 +228,6 @@ def pruned(cats: Column, hint: Column) -> Column:
     return F.when(hint.isin("Fiction", "Poetry", "Drama"), F.array_remove(out, "Food & Cooking")).otherwise(out)
 
 
-def let(c: Column, f) -> Column:
-    """f(c), with c evaluated once: a column that is named several times is otherwise copied each time."""
-    return F.element_at(F.transform(F.array(c), f), 1)
-
-
 def finish(cats: Column, hint: Column) -> Column:
     """A consistent set in the taxonomy's order: a form where the genres say so, one of fiction and nonfiction."""
     has = lambda c, name: F.array_contains(c, name)

@@ -28,10 +28,10 @@ def title_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), keys.title_key(F.concat("p_type", F.lit(": a story"))).alias("k"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(left(text, 60))), '^[ \"'']+|[ \"'']+$', '', 'g'), '^(the|a|an) ', ''), '([:(]| - )(.|\\n)*$', ''), '[^a-z0-9]', '', 'g') AS k FROM documents WHERE lang = 'fr' AND NOT regexp_matches(left(text, 60), '[œæ]')")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '^[ \"'']+|[ \"'']+$', '', 'g'), '^(the|a|an) ', ''), '([:(]| - )(.|\\n)*$', ''), '[^a-z0-9]', '', 'g') AS k FROM documents")
 def title_key_accents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter((F.col("lang") == "fr") & ~F.substring("text", 1, 60).rlike("[œæ]"))
-    return d.select("doc_id", keys.title_key(F.substring("text", 1, 60)).alias("k"))
+    """The fold over whole texts of all languages; letters that do not decompose fall away on both sides."""
+    return table(spark, sf_dir, "documents").select("doc_id", keys.title_key(F.col("text")).alias("k"))
 
 
 @query("WITH c AS (SELECT c_custkey AS k, 'Prof. ' || c_name || ' Van' || CAST(c_nationkey AS VARCHAR) || CASE c_custkey % 4 WHEN 0 THEN ', edited by X' WHEN 1 THEN ' and B. Other' WHEN 2 THEN ' jr.' ELSE ' Doe' END AS n FROM customer), s AS (SELECT k, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(n), '\\b(edited|translated|trans|ed|by|with)\\b.*$', ''), '(,| and |&|;).*$', '')), ' '), lambda x: x NOT IN ('', 'jr', 'jr.', 'sr', 'iii', 'ii')) AS w FROM c) SELECT k, regexp_replace(w[-1], '[^a-z]', '', 'g') AS author FROM s")

@@ -39,11 +39,10 @@ def restore_stuck(spark, sf_dir):
 
 @query("SELECT l_orderkey AS k, l_linenumber AS line, 'old' AS version FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT l_orderkey, l_linenumber, 'new' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND l_linenumber <= 2")
 def replaced_children(spark, sf_dir):
+    """Refreshed parents have their new rows only; one without new rows loses its old ones."""
     old = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.lit("old").alias("version"))
     fresh = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"))
-    new = old.filter("line <= 2").join(fresh, "k", "left_semi").withColumn("version", F.lit("new"))
-    # a parent whose new rows are none loses its old ones too
-    return old.join(fresh, "k", "left_anti").unionByName(new)
+    return matching.replace_children(old, old.filter("line <= 2").withColumn("version", F.lit("new")), "k", fresh)
 
 
 @query("WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) SELECT user_id, event_id, event_type FROM x WHERE i = 1")
@@ -51,8 +50,9 @@ def refresh_stream(spark, sf_dir):
     return refresh.latest_by_stream(spark, f"{sf_dir}/events.parquet", "user_id", ("ts", "event_id"), ("event_id", "event_type"))
 
 
-@query("WITH RECURSIVE l AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 400 AS b FROM part UNION ALL SELECT p_partkey, (p_partkey * 5 + 1) % 900 FROM part), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT l.b, depth + 1 FROM w JOIN l ON l.a = w.node WHERE depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+@query("WITH RECURSIVE l AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 400 AS b FROM part UNION ALL SELECT p_partkey, (p_partkey * 5 + 1) % 900 FROM part), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT l.b, depth + 1 FROM w JOIN l ON l.a = w.node WHERE depth < (SELECT count(DISTINCT b) FROM l)) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def crawl_bfs(spark, sf_dir):
+    """All that is reachable; in SQL no shortest way is longer than there are nodes."""
     p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "a")
     links = p.select("a", F.explode(F.array((F.col("a") * 7 + 3) % 400, (F.col("a") * 5 + 1) % 900)).alias("b"))
-    return refresh.frontier(spark.range(1, 2).withColumnRenamed("id", "node"), links, rounds=6)
+    return refresh.frontier(spark.range(1, 2).withColumnRenamed("id", "node"), links)

@@ -80,9 +80,8 @@ def union_sources(spark, sf_dir):
 @query("WITH a AS (SELECT p_partkey AS k, p_name AS d FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS k, p_brand AS d2 FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_partkey AS k, p_type AS d3 FROM part WHERE p_partkey % 5 = 0) SELECT coalesce(a.k, b.k, c.k) AS k, coalesce(d, d2, d3) AS description, CASE WHEN d IS NOT NULL THEN 'first' WHEN d2 IS NOT NULL THEN 'second' ELSE 'third' END AS description_source FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k")
 def enrich_full_outer(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k")
-    a, b, c = p.filter("k % 2 = 0").select("k", F.col("p_name").alias("d")), p.filter("k % 3 = 0").select("k", F.col("p_brand").alias("d2")), p.filter("k % 5 = 0").select("k", F.col("p_type").alias("d3"))
-    e = a.join(b, "k", "full_outer").join(c, "k", "full_outer")
-    return e.select("k", F.coalesce("d", "d2", "d3").alias("description"), F.when(F.col("d").isNotNull(), "first").when(F.col("d2").isNotNull(), "second").otherwise("third").alias("description_source"))
+    a, b, c = (p.filter(f"k % {i} = 0").select("k", F.col(n).alias("description")) for i, n in ((2, "p_name"), (3, "p_brand"), (5, "p_type")))
+    return matching.first_described([("first", a), ("second", b), ("third", c)], "k")
 
 
 @query(f"{R}, a AS (SELECT DISTINCT book, critic FROM r WHERE source = 'A' AND v = 4), c AS (SELECT book, outlet, v, n, ord1 FROM r WHERE source <> 'A' AND v IS NOT NULL), x AS (SELECT a.book, a.critic, c.outlet, c.v, row_number() OVER (PARTITION BY a.book, a.critic ORDER BY c.v DESC, c.n DESC, c.outlet, c.ord1) AS k FROM a JOIN c USING (book) WHERE c.n > 25) SELECT book, critic, outlet, v FROM x WHERE k = 1")
@@ -93,9 +92,9 @@ def best_candidate(spark, sf_dir):
     return matching.best_candidate(a, c, ["book"], F.col("n") > 25, [F.desc("v"), F.desc("n"), F.asc("outlet"), F.asc("ord1")], "key").select("book", "critic", "outlet", "v")
 
 
-@query("WITH t AS (SELECT doc_id AS id, lower(regexp_extract(text, '[A-Za-z]+')) AS k, lower(text) AS body FROM documents WHERE lang = 'en'), c AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]+')) AS k, lower(regexp_extract(text, '^\\s*\\S+\\s+([A-Za-z]+)', 1)) AS surname FROM documents WHERE lang = 'en') SELECT DISTINCT id, surname AS book FROM t JOIN c USING (k) WHERE length(surname) > 2 AND regexp_matches(body, '\\b' || surname || '\\b')")
+@query("WITH t AS (SELECT doc_id AS id, lower(regexp_extract(text, '[A-Za-z]+')) AS k, lower(text) AS body FROM documents), c AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]+')) AS k, lower(regexp_extract(text, '^\\s*\\S+\\s+([A-Za-z]+)', 1)) AS surname FROM documents) SELECT DISTINCT id, surname AS book FROM t JOIN c USING (k) WHERE length(surname) > 2 AND list_contains(regexp_extract_all(body, '[0-9A-Za-z_]+'), surname)")
 def theta_title_surname(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     k = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("title_key")
     surname = F.lower(F.regexp_extract("text", r"^\s*\S+\s+([A-Za-z]+)", 1))
     cat = d.select(k, surname.alias("surname"), surname.alias("book")).distinct()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, incremental, matching, modelling, ranking, textual, views
+from . import cleaning, incremental, matching, modelling, parsing, publishing, ranking, textual, views
 
-PARTS = (views, ranking, matching, cleaning, textual, incremental, modelling)
+PARTS = (views, ranking, matching, cleaning, textual, incremental, modelling, publishing, parsing)
 QUERIES = {k: f for m in PARTS for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in PARTS for k, s in m.ORACLES.items()}

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import taxonomy
+from ..sources import articles
 from ._register import registry
 from .binding import table
 
 QUERIES, ORACLES, query = registry()
 
 
-def _list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words))) + "]"
+#: The word lists of the language vote, written out for SQL.
+SQL_ENGLISH = "string_split('the a an and of to in is it that this with as for his her but was he she not are be by on at from which its their have has one more than all', ' ')"
+SQL_FOREIGN = "string_split('der die das und ist nicht mit ein eine einen den dem von zu sich auf auch wie im des le la les et est une dans pour qui que pas du au sur il elle el los las y en por con lo del una che di della non è per si nel het van niet och att som är jest nie się', ' ')"
 
 
-@query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS words, len(list_filter(ws, lambda x: list_contains({_list(text.ENGLISH)}, x))) AS english, len(list_filter(ws, lambda x: list_contains({_list(text.FOREIGN)}, x))) AS foreign FROM w) SELECT doc_id, words, english, \"foreign\", words > 0 AND english >= \"foreign\" AS is_english FROM c".replace(" AS foreign FROM", ' AS "foreign" FROM'))
+@query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS words, len(list_filter(ws, lambda x: list_contains({SQL_ENGLISH}, x))) AS english, len(list_filter(ws, lambda x: list_contains({SQL_FOREIGN}, x))) AS \"foreign\" FROM w) SELECT doc_id, words, english, \"foreign\", words > 0 AND english >= \"foreign\" AS is_english FROM c")
 def lang_vote(spark, sf_dir):
     n, en, other = text.english_votes(F.col("text"))
     c = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("words"), en.cast("long").alias("english"), other.cast("long").alias("foreign"))
@@ -51,28 +53,59 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("heading"))
 
 
-#: Signals that name categories, made from a part's numbers.
-SIGNALS = ("short stories and a novel", "detective fiction, historical crime fiction", "history of science and civil war", "translated poetry", "cooking and wine recipes", "biography of a scientist, science, nature, science")
+#: Signals that name categories, made from a part's numbers; and whole documents, each a book of its own.
+SIGNALS = ("short stories and a novel", "detective fiction, historical crime fiction", "history of science and civil war", "translated poetry", "cooking and wine recipes", "biography of a scientist, science, nature, science fiction")
 _pick = "CASE {} % 6 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIGNALS)) + " END"
-SIGNAL_SQL = f"s AS (SELECT p_partkey AS book, unnest([{_pick.format('p_partkey')}, {_pick.format('p_size')}, lower(p_type)]) AS signal FROM part)"
-#: DuckDB's pattern dialect has no look-ahead; the signals here never have what it would exclude.
-RULE_SQL = "k AS (SELECT unnest([" + ", ".join(f"{{'ord': {i}, 'category': '{c.replace(chr(39), chr(39) * 2)}', 'p': '{p.replace(chr(39), chr(39) * 2).replace('(?![ -]fiction)', '')}'}}" for i, (c, p) in enumerate(taxonomy.RULES)) + "], recursive := true))"
-SCORE_SQL = f"WITH {SIGNAL_SQL}, {RULE_SQL}, h AS (SELECT book, category, ord, least(len(regexp_extract_all(signal, p)), 3) AS hits FROM s, k WHERE regexp_matches(signal, p)), g AS (SELECT book, category, min(ord) AS ord, CAST(sum(10 + hits) AS BIGINT) AS tenths FROM h GROUP BY book, category)"
+SIGNAL_SQL = f"s AS (SELECT p_partkey AS book, unnest([{_pick.format('p_partkey')}, {_pick.format('p_size')}, lower(p_type)]) AS signal, unnest([0, 1, 2]) AS pos FROM part UNION ALL SELECT 1000000 + doc_id, lower(text), 0 FROM documents)"
+#: The rules written out for SQL, whose patterns have no look-ahead: what it would exclude is blotted out first.
+RULE_SQL = """k(ord, category, p) AS (VALUES
+ (0, 'Food & Cooking', '\\bcook(ing|ery|book)|\\brecipes?\\b|\\bfood\\b|gastronom|\\bwine\\b|\\bbaking\\b|\\bkitchen'),
+ (1, 'Mystery & Thriller', 'mystery|detective|thriller|\\bcrime fiction|suspense|books/crime|books/thrillers|espionage'),
+ (2, 'Science Fiction & Fantasy', 'science fiction|science-fiction|\\bfantasy\\b|dystopi|speculative'),
+ (3, 'Horror', '\\bhorror\\b|ghost stories|books/horror'),
+ (4, 'Romance', '\\bromance\\b|love stories'),
+ (5, 'Short Stories', 'short stories|short-stories|\\bstories\\b'),
+ (6, 'Graphic Novels & Comics', 'comic|graphic novel'),
+ (7, 'Children''s & Young Adult', 'juvenile|children|teen-books|young-adult|young adult|picture-books'),
+ (8, 'Historical Fiction', 'fiction, historical|historical fiction'),
+ (9, 'Biography & Memoir', 'biograph|memoir|autobiograph'),
+ (10, 'History', '\\bhistory\\b|world war|civil war|books/history'),
+ (11, 'Politics & Current Affairs', 'politic|government|foreign relations|international relations|terrorism|defense and military|presiden'),
+ (12, 'Society & Culture', 'social|society|sociolog|anthropolog|race and ethnicity|women|immigration|discrimination|civilization|manners and customs'),
+ (13, 'Science & Nature', '\\bscience\\b|scienceandnature|natural history|biology|physics|evolution|ecology|environment|nature'),
+ (14, 'Technology', 'technolog|computers and the internet|computingandthenet|\\binternet\\b'),
+ (15, 'Business & Economics', 'business|econom|finance'),
+ (16, 'Health & Psychology', 'psycholog|medicine|health|mental|healthmindandbody'),
+ (17, 'Philosophy & Religion', 'philosoph|religio|christian|islam|judaism|\\bgod\\b|spiritual'),
+ (18, 'Arts & Entertainment', '\\bart\\b|books/art|music|film|movies|motion pictures|television|tvandradio|theater|theatre|photograph|books/stage|dance'),
+ (19, 'Essays & Criticism', 'essays|criticism|literary-criticism|history and criticism'),
+ (20, 'True Crime & Investigative', 'true crime|true-crime|journalism|investigative'),
+ (21, 'Travel', 'travel|description and travel'),
+ (22, 'Sports', 'sport|baseball|football|basketball|boxing|golf|tennis|cricket'),
+ (23, 'In Translation', 'translat'),
+ (24, 'LGBTQ+', '\\bgay\\b|lesbian|lgbt|queer|transgender|homosexual'))"""
+HITS_SQL = "h AS (SELECT book, category, pos, ord, least(len(regexp_extract_all(CASE WHEN category = 'Science & Nature' THEN regexp_replace(signal, '\\bscience([ -]fiction)', '_\\1', 'g') ELSE signal END, p)), 3) AS hits FROM s, k)"
+SCORE_SQL = f"WITH {SIGNAL_SQL}, {RULE_SQL}, {HITS_SQL}, g AS (SELECT book, category, min((pos, ord)) AS f, CAST(sum(10 + hits) AS BIGINT) AS tenths FROM h WHERE hits > 0 GROUP BY book, category)"
 
 
 def _signals(spark, sf_dir):
     pick = lambda c: F.element_at(F.array(*map(F.lit, SIGNALS)), (F.col(c) % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.explode(F.array(pick("p_partkey"), pick("p_size"), F.lower("p_type"))).alias("signal"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.posexplode(F.array(pick("p_partkey"), pick("p_size"), F.lower("p_type"))).alias("at", "signal"))
+    return parts.unionByName(table(spark, sf_dir, "documents").select((1000000 + F.col("doc_id")).alias("book"), F.lit(0).alias("at"), F.lower("text").alias("signal")))
 
 
 @query(f"{SCORE_SQL} SELECT book, category, tenths FROM g")
 def taxonomy_score(spark, sf_dir):
-    return taxonomy.scores(_signals(spark, sf_dir)).select("book", "category", F.col("tenths").cast("long").alias("tenths"))
+    return taxonomy.scores(_signals(spark, sf_dir), ordinal="at").select("book", "category", F.col("tenths").cast("long").alias("tenths"))
 
 
-@query(f"{SCORE_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY tenths DESC, ord) AS i FROM g WHERE category NOT IN ('In Translation', 'LGBTQ+')), y AS (SELECT book, category FROM x WHERE i <= 3 UNION ALL SELECT book, category FROM g WHERE category IN ('In Translation', 'LGBTQ+')) SELECT book, string_agg(category, '; ' ORDER BY category) AS categories FROM y GROUP BY book")
+BEST_SQL = "x AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY tenths DESC, f) AS i FROM g WHERE category NOT IN ('In Translation', 'LGBTQ+')), y AS (SELECT book, category FROM x WHERE i <= 3 UNION ALL SELECT book, category FROM g WHERE category IN ('In Translation', 'LGBTQ+'))"
+
+
+@query(f"{SCORE_SQL}, {BEST_SQL} SELECT book, string_agg(category, '; ' ORDER BY category) AS categories FROM y GROUP BY book")
 def taxonomy_strongest(spark, sf_dir):
-    return taxonomy.strongest(taxonomy.scores(_signals(spark, sf_dir))).select("book", F.array_join("categories", "; ").alias("categories"))
+    """Of equal scores the category that was scored first is kept: by signal, then by rule."""
+    return taxonomy.strongest(taxonomy.scores(_signals(spark, sf_dir), ordinal="at")).select("book", F.array_join("categories", "; ").alias("categories"))
 
 
 VOTES_SQL = "v AS (SELECT p_partkey AS book, CASE WHEN p_partkey % 3 = 0 THEN 'Fiction' ELSE 'Nonfiction' END AS form, 3 AS weight, 0 AS ord FROM part UNION ALL SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Fiction' ELSE 'Poetry' END, 2, 1 FROM part UNION ALL SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Poetry' ELSE 'Nonfiction' END, 1, 2 FROM part), w AS (SELECT book, form, CAST(sum(weight) AS BIGINT) AS weight, min(ord) AS f FROM v GROUP BY book, form), z AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY weight DESC, f) AS i FROM w)"
@@ -89,30 +122,152 @@ def form_vote(spark, sf_dir):
     return taxonomy.form_of(_votes(spark, sf_dir))
 
 
-_has = "list_contains({}, '{}')"
-FIC, NON, ALL = (_list(x).replace("[", "").replace("]", "") for x in (taxonomy.FICTION, taxonomy.NONFICTION, taxonomy.ORDER))
-FINISH_SQL = (
-    f"{SCORE_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY tenths DESC, ord) AS i FROM g WHERE category NOT IN ('In Translation', 'LGBTQ+')), y AS (SELECT book, category FROM x WHERE i <= 3 UNION ALL SELECT book, category FROM g WHERE category IN ('In Translation', 'LGBTQ+')), cs AS (SELECT book, list(category) AS c FROM y GROUP BY book), {VOTES_SQL}, "
-    f"p0 AS (SELECT book, form AS hint, coalesce(c, []) AS c FROM z LEFT JOIN cs USING (book) WHERE i = 1), p1 AS (SELECT book, hint, CASE hint WHEN 'Fiction' THEN list_filter(c, lambda k: k NOT IN ({NON})) WHEN 'Nonfiction' THEN list_filter(c, lambda k: k NOT IN ({_list(taxonomy.NOT_NONFICTION)[1:-1]})) ELSE list_filter(c, lambda k: k <> 'Food & Cooking') END AS c FROM p0), "
-    f"p2 AS (SELECT book, hint, list_append(c, hint) AS c FROM p1), p3 AS (SELECT book, hint, CASE WHEN list_has_any(c, [{FIC}]) AND NOT {_has.format('c', 'Nonfiction')} AND NOT {_has.format('c', 'Poetry')} THEN list_append(c, 'Fiction') ELSE c END AS c FROM p2), p4 AS (SELECT book, hint, CASE WHEN {_has.format('c', 'Fiction')} AND hint <> 'Nonfiction' THEN list_filter(c, lambda k: k <> 'Biography & Memoir') ELSE c END AS c FROM p3), "
-    f"p5 AS (SELECT book, hint, CASE WHEN list_has_any(c, [{NON}]) AND NOT list_has_any(c, ['Fiction', 'Poetry', 'Drama']) THEN list_append(c, 'Nonfiction') ELSE c END AS c FROM p4), p6 AS (SELECT book, CASE WHEN {_has.format('c', 'Fiction')} AND {_has.format('c', 'Nonfiction')} THEN list_filter(c, lambda k: k <> CASE WHEN hint = 'Fiction' THEN 'Nonfiction' ELSE 'Fiction' END) ELSE c END AS c FROM p5) "
-    f"SELECT book, array_to_string(list_filter([{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in taxonomy.ORDER)}], lambda k: list_contains(c, k)), '; ') AS categories FROM p6"
-)
+#: The taxonomy written out for SQL.
+SQL_FICTION = "['Literary Fiction', 'Historical Fiction', 'Mystery & Thriller', 'Science Fiction & Fantasy', 'Horror', 'Romance', 'Short Stories', 'Graphic Novels & Comics', 'Children''s & Young Adult']"
+SQL_NONFICTION = "['Biography & Memoir', 'History', 'Politics & Current Affairs', 'Society & Culture', 'Science & Nature', 'Technology', 'Business & Economics', 'Health & Psychology', 'Philosophy & Religion', 'Arts & Entertainment', 'Essays & Criticism', 'True Crime & Investigative', 'Food & Cooking', 'Travel', 'Sports']"
+SQL_ORDER = "['Fiction', 'Nonfiction', 'Poetry', 'Drama', 'Literary Fiction', 'Historical Fiction', 'Mystery & Thriller', 'Science Fiction & Fantasy', 'Horror', 'Romance', 'Short Stories', 'Graphic Novels & Comics', 'Children''s & Young Adult', 'Biography & Memoir', 'History', 'Politics & Current Affairs', 'Society & Culture', 'Science & Nature', 'Technology', 'Business & Economics', 'Health & Psychology', 'Philosophy & Religion', 'Arts & Entertainment', 'Essays & Criticism', 'True Crime & Investigative', 'Food & Cooking', 'Travel', 'Sports', 'In Translation', 'LGBTQ+']"
+SQL_NOT_NONFICTION = "['Literary Fiction', 'Mystery & Thriller', 'Science Fiction & Fantasy', 'Horror', 'Romance', 'Short Stories', 'Historical Fiction']"
+
+
+def finish_sql(source: str, out: str = "categories") -> str:
+    """Rows (book, hint, c) of `source` with their consistent sets."""
+    has = lambda name: f"list_contains(c, '{name}')"
+    return (
+        f"f2 AS (SELECT book, hint, CASE WHEN hint IS NULL THEN c ELSE list_append(c, hint) END AS c FROM {source}), f3 AS (SELECT book, hint, CASE WHEN list_has_any(c, {SQL_FICTION}) AND NOT {has('Nonfiction')} AND NOT {has('Poetry')} THEN list_append(c, 'Fiction') ELSE c END AS c FROM f2), "
+        f"f4 AS (SELECT book, hint, CASE WHEN {has('Fiction')} AND hint IS DISTINCT FROM 'Nonfiction' THEN list_filter(c, lambda k: k <> 'Biography & Memoir') ELSE c END AS c FROM f3), f5 AS (SELECT book, hint, CASE WHEN list_has_any(c, {SQL_NONFICTION}) AND NOT list_has_any(c, ['Fiction', 'Poetry', 'Drama']) THEN list_append(c, 'Nonfiction') ELSE c END AS c FROM f4), "
+        f"f6 AS (SELECT book, CASE WHEN {has('Fiction')} AND {has('Nonfiction')} THEN list_filter(c, lambda k: k <> CASE WHEN hint = 'Fiction' OR hint IS NULL THEN 'Nonfiction' ELSE 'Fiction' END) ELSE c END AS c FROM f5) SELECT book, array_to_string(list_filter({SQL_ORDER}, lambda k: list_contains(c, k)), '; ') AS {out} FROM f6"
+    )
+
+
+PRUNED_SQL = f"CASE hint WHEN 'Fiction' THEN list_filter(c, lambda k: NOT list_contains({SQL_NONFICTION}, k)) WHEN 'Nonfiction' THEN list_filter(c, lambda k: NOT list_contains({SQL_NOT_NONFICTION}, k)) WHEN 'Poetry' THEN list_filter(c, lambda k: k <> 'Food & Cooking') WHEN 'Drama' THEN list_filter(c, lambda k: k <> 'Food & Cooking') ELSE c END"
 
 
-@query(FINISH_SQL)
+@query(f"{SCORE_SQL}, {BEST_SQL}, cs AS (SELECT book, list(category) AS c FROM y GROUP BY book), {VOTES_SQL}, p0 AS (SELECT book, form AS hint, coalesce(c, []) AS c FROM z LEFT JOIN cs USING (book) WHERE i = 1), p1 AS (SELECT book, hint, {PRUNED_SQL} AS c FROM p0), " + finish_sql("p1"))
 def taxonomy_finish(spark, sf_dir):
-    cats = taxonomy.strongest(taxonomy.scores(_signals(spark, sf_dir)))
+    cats = taxonomy.strongest(taxonomy.scores(_signals(spark, sf_dir), ordinal="at"))
     both = taxonomy.form_of(_votes(spark, sf_dir)).join(cats, "book", "left")
     c = F.coalesce("categories", F.array().cast("array<string>"))
     return both.select("book", F.array_join(taxonomy.finish(taxonomy.pruned(c, F.col("form")), F.col("form")), "; ").alias("categories"))
 
 
-@query("SELECT p_partkey AS book, array_to_string(list_sort(list_distinct([lower(p_type), lower(split_part(p_type, ' ', 1)), p_type])), '|') AS variants FROM part")
-def title_variants(spark, sf_dir):
-    t = F.col("p_type")
-    v = F.array_distinct(F.array(F.lower(t), F.lower(F.split_part(t, F.lit(" "), F.lit(1))), t))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.array_join(F.array_sort(v), "|").alias("variants"))
+#: The tags of the main set written out for SQL.
+TAG_SQL = """tag(t, cs) AS (VALUES
+ ('Fiction', ['Fiction']),
+ ('Non-Fiction', ['Nonfiction']),
+ ('Literary', ['Literary Fiction']),
+ ('History', ['History']),
+ ('Memoir', ['Biography & Memoir']),
+ ('Mystery, Crime, & Thriller', ['Mystery & Thriller']),
+ ('Biography', ['Biography & Memoir']),
+ ('Politics', ['Politics & Current Affairs']),
+ ('Culture', ['Society & Culture']),
+ ('Historical', ['Historical Fiction']),
+ ('Literature in Translation', ['In Translation']),
+ ('Lit in Translation', ['In Translation']),
+ ('Investigative Journalism', ['True Crime & Investigative']),
+ ('True Crime', ['True Crime & Investigative']),
+ ('Essays', ['Essays & Criticism']),
+ ('Criticism', ['Essays & Criticism']),
+ ('Social Sciences', ['Society & Culture']),
+ ('Story Collections', ['Short Stories']),
+ ('Speculative', ['Science Fiction & Fantasy']),
+ ('Fantasy', ['Science Fiction & Fantasy']),
+ ('Sci-Fi and Fantasy', ['Science Fiction & Fantasy']),
+ ('Science', ['Science & Nature']),
+ ('Nature', ['Science & Nature']),
+ ('LGBTQ Stories', ['LGBTQ+']),
+ ('Music', ['Arts & Entertainment']),
+ ('Film & TV', ['Arts & Entertainment']),
+ ('Art', ['Arts & Entertainment']),
+ ('Poetry', ['Poetry']),
+ ('Romance', ['Romance']),
+ ('Technology', ['Technology']),
+ ('Horror', ['Horror']),
+ ('Sports', ['Sports']),
+ ('Travel', ['Travel']),
+ ('Religion', ['Philosophy & Religion']),
+ ('Graphic Novels', ['Graphic Novels & Comics']),
+ ('Graphic Nonfiction', ['Graphic Novels & Comics', 'Nonfiction']),
+ ('Health', ['Health & Psychology']),
+ ('Business', ['Business & Economics']))"""
+TITLES = ("A Memoir of Rain", "The Life of Ann", "History of Salt", "New Poems", "Rain: A Novel", "Sand and Other Stories", "The Kitchen Recipes", "Plain")
+
+
+@query(f"WITH {TAG_SQL}, n AS (SELECT t, cs, row_number() OVER (ORDER BY t) - 1 AS i FROM tag), b AS (SELECT p_partkey AS book, CASE WHEN p_partkey % 8 = 6 THEN 'Cuisine of Salt' ELSE p_name END AS title FROM part), j AS (SELECT book, title, list_distinct(coalesce(flatten(list(cs)), [])) AS c0 FROM b LEFT JOIN n ON i IN (book % 42, book * 7 % 42) GROUP BY book, title), c1 AS (SELECT book, CASE WHEN regexp_matches(lower(title), '\\b(cookbook|recipes|cooking|kitchen|cuisine)\\b') AND NOT list_has_any(c0, ['Fiction', 'Poetry']) THEN list_append(c0, 'Food & Cooking') ELSE c0 END AS c FROM j), c2 AS (SELECT book, c, CASE WHEN list_contains(c, 'Fiction') THEN 'Fiction' WHEN list_contains(c, 'Nonfiction') THEN 'Nonfiction' WHEN list_contains(c, 'Poetry') THEN 'Poetry' END AS hint FROM c1), " + finish_sql("c2"))
+def tagged_books(spark, sf_dir):
+    """Main-set books by their tags; numbers that name no tag stand for unknown ones."""
+    names, k = F.array(*map(F.lit, sorted(taxonomy.TAGS))), F.col("p_partkey")
+    tags = F.transform(F.array(k % 42, k * 7 % 42), lambda i: F.coalesce(F.get(names, i.cast("int")), F.lit("?")))
+    title = F.when(k % 8 == 6, "Cuisine of Salt").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(k.alias("book"), F.array_join(taxonomy.tagged(tags, title), "; ").alias("categories"))
+
+
+_title = "['" + "', '".join(TITLES) + "'][CAST(p_partkey % 8 AS INTEGER) + 1]"
+
+
+@query(f"WITH t AS (SELECT p_partkey AS book, lower({_title}) AS t FROM part), r(i, p, c, f) AS (VALUES (0, '\\b(a )?memoirs?\\b', 'Biography & Memoir', 'Nonfiction'), (1, '\\b(a )?biography\\b|\\bthe life (and|of)\\b', 'Biography & Memoir', 'Nonfiction'), (2, '\\bhistory of\\b', 'History', 'Nonfiction'), (3, '\\b(collected|selected|new) poems\\b|\\bpoems\\b', 'Poetry', 'Poetry'), (4, '\\ba novel\\b', NULL, 'Fiction'), (5, '\\b(and other )?stories\\b', 'Short Stories', 'Fiction'), (6, '\\b(cookbook|recipes|cooking|kitchen|cuisine)\\b', 'Food & Cooking', NULL)) SELECT book, coalesce(string_agg(c, '; ' ORDER BY c), '') AS categories, coalesce(string_agg(f, '; ' ORDER BY i), '') AS forms FROM t LEFT JOIN r ON regexp_matches(t, p) GROUP BY book")
+def title_rules(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.get(F.array(*map(F.lit, TITLES)), (F.col("p_partkey") % 8).cast("int")).alias("title"))
+    votes = taxonomy.title_votes(t).filter("weight = 4").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("ord", "form"))).alias("v"))
+    cats = taxonomy.title_categories(F.array().cast("array<string>"), F.col("title"))
+    return t.join(votes, "book", "left").select("book", F.array_join(F.array_sort(cats), "; ").alias("categories"), F.coalesce(F.array_join("v.form", "; "), F.lit("")).alias("forms"))
+
+
+#: What sources say about parts: genres, tags, subjects, sections.
+SAID = {
+    "grade_genre": ("Novel", "poems", "Play", "history", "other", "non-fiction"),
+    "original": ("German", "", "English", "American English", " "),
+    "tags": ("books/fiction; tone/reviews", "books/poetry; books/fiction", "books/poetry", "books/history; books/books", "tone/x", "books/politics; books/short-stories"),
+    "subject": ("Reviews", "Whales", "BOOK REVIEWS", "Fiction, general"),
+    "abstract": ("a novel of poems", "an account of a war", "poetry", "nothing", "stories examines"),
+    "url": ("https://www.the-tls.com/fiction/crime-novels/x", "https://www.the-tls.com/poetry/y", "https://www.the-tls.com/literature/modern/poetry-z", "https://www.the-tls.com/arts/w", "https://x.org/history/q", "https://x.org/q"),
+    "sections": ("fiction", "poetry and drama", "history", "fiction poetry"),
+    "hns": ("genre-non-fiction", "genre-mystery", "genre-nonfiction"),
+    "trade": ("Nonfiction", "Fiction", "", "Children"),
+}
+_said_sql = ", ".join("[" + ", ".join(f"'{x}'" for x in v) + f"][CAST(p_partkey * {i + 1} % {len(v)} AS INTEGER) + 1] AS {n}" for i, (n, v) in enumerate(SAID.items()))
+_path = "nullif(replace(array_to_string(list_slice(string_split(regexp_replace(url, '^https?://[^/]+/', ''), '/'), 1, len(string_split(regexp_replace(url, '^https?://[^/]+/', ''), '/')) - 1), ' '), '-', ' '), '')"
+_own = "list_filter(string_split(tags, '; '), lambda t: starts_with(t, 'books/'))"
+_trans = "trim(original) <> '' AND NOT contains(lower(original), 'english')"
+SAID_SQL = f"WITH p AS (SELECT p_partkey AS book, {_said_sql} FROM part), q AS (SELECT *, [subject, 'Salt'] AS subjects, list_filter([subject, 'Salt'], lambda x: x NOT IN ('Books and Literature', 'Reviews', 'BOOK REVIEWS', 'TERMS NOT AVAILABLE')) AS told, {_own} AS own, {_path} AS path, replace(hns, '-', ' ') AS h FROM p)"
+
+
+def _said(spark, sf_dir):
+    pick = lambda i, v: F.get(F.array(*map(F.lit, v)), (F.col("p_partkey") * (i + 1) % len(v)).cast("int"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.lit(0).alias("ord"), *[pick(i, v).alias(n) for i, (n, v) in enumerate(SAID.items())])
+    c, subjects = F.col, F.array("subject", F.lit("Salt"))
+    says = [
+        taxonomy.from_grades(c("grade_genre"), c("original")), taxonomy.from_tags(c("tags")), taxonomy.from_abstract(subjects, c("abstract")), taxonomy.from_subjects(subjects), taxonomy.from_path(c("url"), articles.path_signal(c("url"))),
+        taxonomy.from_sections(c("sections")), taxonomy.from_historical(c("hns")), taxonomy.from_trade(c("trade")),
+    ]
+    return taxonomy.gathered([(p, s) for s in says])
+
+
+@query(f"{SAID_SQL}, u AS (SELECT book, unnest([lower(grade_genre), CASE WHEN {_trans} THEN 'translated' END, array_to_string(own, ' '), lower(array_to_string(told, ' ')), lower(array_to_string(subjects, ' ')), path, sections, CASE WHEN contains(h, 'non fiction') OR contains(h, 'nonfiction') THEN h ELSE h || ' historical fiction' END, lower(nullif(trade, ''))]) AS signal, unnest(range(9)) AS i FROM q) SELECT book, string_agg(signal, ' | ' ORDER BY i) AS signals FROM u WHERE signal IS NOT NULL GROUP BY book")
+def source_signals(spark, sf_dir):
+    signals, _ = _said(spark, sf_dir)
+    return signals.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("ord", "signal"))).alias("s")).select("book", F.array_join("s.signal", " | ").alias("signals"))
+
+
+_fic, _poe = "list_has_any(own, ['books/fiction', 'books/short-stories'])", "list_contains(own, 'books/poetry')"
+_non = "list_has_any(own, ['books/biography', 'books/history', 'books/politics', 'books/society', 'books/scienceandnature', 'books/autobiography-and-memoir'])"
+_tls, _pf = "contains(url, 'the-tls.com')", "regexp_matches(url, '/(fiction|literature/(?:contemporary|modern|classics)|poetry)')"
+BALLOT = (
+    ("lower(grade_genre) IN ('novel', 'fiction', 'novella', 'novellas', 'stories', 'autobiographical')", "Fiction", 3), ("lower(grade_genre) IN ('poetry', 'poems')", "Poetry", 3), ("lower(grade_genre) IN ('drama', 'play', 'plays')", "Drama", 3),
+    ("lower(grade_genre) IN ('non-fiction', 'memoir', 'biography', 'essays', 'history', 'science', 'travel', 'philosophy', 'autobiography', 'biographical', 'interviews')", "Nonfiction", 3),
+    (_fic, "Fiction", 2), (f"NOT {_fic} AND {_poe}", "Poetry", 2), (f"NOT {_fic} AND NOT {_poe} AND {_non}", "Nonfiction", 1),
+    ("regexp_matches(abstract, '\\b(novel|short stories|stories)\\b')", "Fiction", 1), ("regexp_matches(abstract, '\\bpoems|poetry\\b')", "Poetry", 1), ("regexp_matches(abstract, '\\b(biography|memoir|history of|account of|study of|examines)\\b')", "Nonfiction", 1),
+    ("starts_with(lower(subject), 'fiction')", "Fiction", 2), (f"{_tls} AND {_pf} AND NOT contains(url, 'poetry')", "Fiction", 1), (f"{_tls} AND {_pf} AND contains(url, 'poetry')", "Poetry", 1),
+    (f"{_tls} AND NOT {_pf} AND regexp_matches(url, '/(history|politics|science|philosophy|religion|arts|culture|economics|society|biography|memoir|world)')", "Nonfiction", 1),
+    ("contains(sections, 'poetry')", "Poetry", 2), ("NOT contains(sections, 'poetry') AND contains(sections, 'fiction')", "Fiction", 2), ("NOT contains(sections, 'poetry') AND NOT contains(sections, 'fiction')", "Nonfiction", 2 - 1),
+    ("regexp_matches(h, 'non fiction|nonfiction')", "Nonfiction", 3), ("NOT regexp_matches(h, 'non fiction|nonfiction')", "Fiction", 3), ("contains(lower(trade), 'nonfiction')", "Nonfiction", 3), ("contains(lower(trade), 'fiction') AND NOT contains(lower(trade), 'nonfiction')", "Fiction", 3),
+)
+
+
+@query(f"{SAID_SQL}, v AS (" + " UNION ALL ".join(f"SELECT book, '{f}' AS form, {w} AS weight, {i} AS i FROM q WHERE {c}" for i, (c, f, w) in enumerate(BALLOT)) + "), t AS (SELECT book, form, CAST(sum(weight) AS BIGINT) AS weight, min(i) AS i FROM v GROUP BY 1, 2) SELECT book, arg_min(form, (-weight, i)) AS form, max(weight) AS weight FROM t GROUP BY book")
+def source_forms(spark, sf_dir):
+    """The form that all sources together vote for; of equals the one voted for first."""
+    return taxonomy.form_of(_said(spark, sf_dir)[1])
 
 
 @query("SELECT event_id, event_type, length(props) AS size, json_valid(props) AS fine FROM events")

@@ -28,7 +28,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType
 
 
 def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
-    """The place of each row by file and place in it: what decides wherever a first or last row counts."""
+    """The place of each row by file and place in it: what decides wherever a first or last row counts.
+
+    Places rise within a file that one task reads as a whole, as CSV with line ends inside fields and
+    compressed files are; files that Spark splits need an ordinal of their own."""
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias(name))
 
 
@@ -61,11 +64,11 @@ def sitemaps(index: Column, part: str) -> Column:
     return F.filter(F.regexp_extract_all(index, F.lit("<loc>([^<]+)</loc>"), F.lit(1)), lambda u: F.contains(u, F.lit(part)))
 
 
-def sitemap_rows(xml: DataFrame, column: str = "xml") -> DataFrame:
-    """(loc, lastmod) of the pages that sitemaps list; lastmod may be missing."""
-    block = xml.select(F.explode(F.regexp_extract_all(column, F.lit("(?s)<url>(.*?)</url>"), F.lit(1))).alias("b"))
+def sitemap_rows(xml: DataFrame, column: str = "xml", keep: Sequence[str] = ()) -> DataFrame:
+    """(loc, lastmod) of the pages that sitemaps list, and columns to keep; lastmod may be missing."""
+    block = xml.select(*keep, F.explode(F.regexp_extract_all(column, F.lit("(?s)<url>(.*?)</url>"), F.lit(1))).alias("b"))
     first = lambda tag: F.nullif(F.trim(F.regexp_extract("b", f"<{tag}>([^<]+)</{tag}>", 1)), F.lit(""))
-    return block.select(first("loc").alias("loc"), first("lastmod").alias("lastmod")).filter("loc IS NOT NULL")
+    return block.select(*keep, first("loc").alias("loc"), first("lastmod").alias("lastmod")).filter("loc IS NOT NULL")
 
 
 def links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
