@@ -212,7 +212,7 @@ def joined_text(df: DataFrame, key: str, c: str, ordinal: str, most: int = 3000)
 
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns less their mean, over their population standard deviation."""
+    """Columns less their mean, over their population standard deviation; 0 where a column is constant."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()  # two numbers a column
-    scaled = lambda c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or None)
+    scaled = lambda c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else F.when(F.col(c).isNotNull(), 0.0)
     return df.withColumns({c: scaled(c) for c in columns})

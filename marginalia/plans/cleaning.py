@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
+from ..sources import sinks
 from ._register import registry
 from .binding import REVIEWS, reviews, table
 
@@ -127,8 +128,7 @@ def standfirst(spark, sf_dir):
 
 @query(f"WITH {REVIEWS} SELECT ord1, ord2, ord3, CASE WHEN coalesce(CASE WHEN n % 13 <> 0 THEN date END, '') < '1997' THEN 'old' ELSE 'new' END AS half FROM r")
 def split_by_year(spark, sf_dir):
-    d = F.coalesce(F.when(F.col("n") % 13 != 0, F.col("date")), F.lit(""))
-    return reviews(spark, sf_dir).select("ord1", "ord2", "ord3", F.when(F.substring(d, 1, 4) < "1997", "old").otherwise("new").alias("half"))
+    return reviews(spark, sf_dir).select("ord1", "ord2", "ord3", sinks.half(F.when(F.col("n") % 13 != 0, F.col("date")), "1997").alias("half"))
 
 
 @query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y') ELSE NULL END AS date FROM orders")

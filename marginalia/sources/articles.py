@@ -230,7 +230,7 @@ def italics(html: Column) -> Column:
 
 def page_link(href: Column, allow: str, deny: str) -> Column:
     """A link in its plain form, or missing where it is not one to follow."""
-    u = F.regexp_replace(F.regexp_replace(href, "[?#].*$", ""), "/*$", "/")
+    u = F.concat(F.regexp_replace(F.regexp_replace(href, "[?#].*$", ""), "/+$", ""), F.lit("/"))
     return F.when(u.rlike(allow) & ~u.rlike(deny), u)
 
 

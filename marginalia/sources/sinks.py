@@ -61,3 +61,29 @@ def merged_metrics(old: str | None, new: dict) -> str:
 def snapshot(df: DataFrame, path: str) -> None:
     """A full copy of a table."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_halves(df: DataFrame, path: str, date: str, year: str, order: list[Column]) -> None:
+    """Two files: rows dated before the year, or not dated, and the rest."""
+    late = F.substring(F.coalesce(date, F.lit("")), 1, 4) >= year
+    write_csv(df.filter(~late), f"{path}/before_{year}", order)
+    write_csv(df.filter(late), f"{path}/{year}_onward", order)
+
+
+def half(date: Column, year: str) -> Column:
+    """Which of the two files a row goes to."""
+    return F.when(F.substring(F.coalesce(date, F.lit("")), 1, 4) < year, "old").otherwise("new")
+
+
+def site_index(reviews: DataFrame, books: DataFrame, ordinal: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: book, v, critic, outlet, src as numbers in order; critics; outlets: number, name): the index
+    that an explorer loads. Numbers are places of first appearance; -1 stands for none. books: slug, i."""
+    from ..operators.matching import interned
+
+    known = reviews.join(books.select("slug", F.col("i").alias("book")), "slug")
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    known = known.withColumns({"critic": blank("critic"), "outlet": blank("outlet")})
+    critics, outlets = interned(known, "critic", ordinal, "c"), interned(known, "outlet", ordinal, "o")
+    rows = known.join(critics, "critic", "left").join(outlets, "outlet", "left")
+    number = lambda c: F.coalesce(c, F.lit(-1))
+    return rows.select(ordinal, "book", F.coalesce("v", F.lit(0)).alias("v"), number("c").alias("critic"), number("o").alias("outlet"), "src"), critics.select("c", "critic"), outlets.select("o", "outlet")

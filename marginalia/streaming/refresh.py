@@ -24,29 +24,35 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], sta
     stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_by_stream(spark: SparkSession, path: str, key: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions of a state's table."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+
+def latest_by_stream(spark: SparkSession, path: str, key: str, order: Sequence[str], values: Sequence[str], root: str | None = None) -> DataFrame:
     """(key, values) of the last row of each key, kept up to date by a file stream.
 
-    Each batch merges its own last rows with the state written by the batch before; a batch that is run
-    again after a failure writes the same version again."""
-    root = shared(spark, "latest")
+    Each batch merges its own last rows with the version that the batch before wrote; a batch that is run
+    again after a failure writes its version again. Versions lie beside the stream's checkpoint under
+    `root`, so a later run under the same folder goes on where the last one stopped."""
+    root = root or shared(spark, "latest")
     cols = list(dict.fromkeys([key, *order, *values]))
-    names = {"version": None}
     schema = spark.read.parquet(path).schema
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select(*cols)
-        before = names["version"]
-        if before is not None:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(before))
-        last = keep_by(rows, [key], [F.col(c).desc() for c in order])
-        last.write.mode("overwrite").parquet(f"{root}/v{number}")
-        names["version"] = f"{root}/v{number}"
+        earlier = [v for v in _versions(batch.sparkSession, root) if v < number]
+        if earlier:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{root}/v{earlier[-1]}"))
+        keep_by(rows, [key], [F.col(c).desc() for c in order]).write.mode("overwrite").parquet(f"{root}/v{number}")
 
     folder, glob = (path.rsplit("/", 1)[0], path.rsplit("/", 1)[1]) if path.endswith(".parquet") else (path, "*.parquet")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(folder if glob != "*.parquet" else path)
     run_available(stream, merge, f"{root}/state")
-    return spark.read.parquet(names["version"]).select(key, *values)
+    return spark.read.parquet(f"{root}/v{_versions(spark, root)[-1]}").select(key, *values)
 
 
 def frontier(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
