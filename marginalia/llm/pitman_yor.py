@@ -1,23 +1,34 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The word restaurant seats every training token; its base measure spells words out with a second
-hierarchy of restaurants over bytes: one for each pair of preceding bytes and slot of the two before
-those, which share parents (one for each pair), which share theirs (one for each byte), which share
-the root, over a uniform base. A new table in the word
-restaurant sends its word to the spelling restaurants, a new table in any of those sends a byte to
-its parent. Below the word restaurant each text has one of its own, which seats its tokens in order. Seatings are sampled by Gibbs sweeps: the tables of each dish are drawn anew given the
-parents' current predictions and the other dishes' tables. Predictive probabilities are averaged over
-the retained sweeps, so every word, seen or not, has a probability; a text's score is the sum of the
-logarithms of its tokens'.
-
-Counts cover all training texts. A task gathers the distinct words of a group of its texts; words and
-counts meet in one shuffle, what was found goes back to the groups in another, and texts themselves
-are not shuffled: a group keeps its token sequence packed. The same model is fitted at any size: the
-driver holds the spelling counts, 16 bytes for each distinct code.
+Three levels of restaurants, in each of which a dish is a word:
+
+* one for each context, which is the word before (65,536 slots by its hash; the beginning of a text is a
+  context too). Every training token is a customer of its context's restaurant;
+* their shared parent, the word restaurant: each table of a context restaurant is a customer there;
+* below it the base measure, which spells words out with restaurants over bytes: one for each pair of
+  preceding bytes and slot of the two before those, which share parents (one for each pair), which share
+  theirs (one for each byte), which share the root, over a uniform base. Each table of the word restaurant
+  sends its word's bytes and the word's end there.
+
+Seatings are sampled by Gibbs sweeps over the numbers of tables, the only part of a seating that
+predictions depend on: the tables of a dish are drawn from their distribution given its customers, the
+parent's current prediction and the tables of the other dishes (exactly, by generalised Stirling numbers,
+up to EXACT customers; beyond, customers are seated one after the other and then in runs). In a sweep all
+dishes are drawn at once, given the totals of the sweep before. Sweeps after BURN_IN are retained, and the
+predictive probabilities that they give are averaged. So every word, seen or not, has a probability in
+every context; a text's score is the sum of the logarithms of its tokens'.
+
+Counts cover all training texts and the model is the same at any size. A task gathers a group of its texts
+as one packed row. Each group sends its distinct words, with the contexts they stand in, to buckets by the
+word's hash: one shuffle. A bucket holds all customers of its words and is written once; a sweep is a map
+over the buckets, since contexts only need the totals of each slot, a vector of fixed size. Draws depend on
+word, context and sweep alone, so a bucket recomputes its state instead of storing it, and a repeated task
+draws the same. Probabilities go back to the groups in a second shuffle. The driver holds the totals and the
+spelling counts, 16 bytes for each distinct code; a common word is one entry of a group however frequent.
 
 Null text counts as empty: it has the end token only. A row with a null identifier is a training row.
 Repeated rows count each. Other columns are ignored. Without training texts all words get the base
-measure's probability."""
+measure's probability. An empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -32,41 +43,82 @@ from .textkit import U
 
 S = 257  # 256 bytes, and the end of a word; as context the same number means its beginning
 EDGE = 256
-#: Bytes of text in a group.
-GROUP_BYTES = 16 << 20
-SWEEPS = 2
-#: Discount and strength of a text's own restaurant.
-TEXT_DISCOUNT, TEXT_STRENGTH = 0.85, 100.0
+#: Bytes of text in a group, and for each bucket of words; the least number of buckets.
+GROUP_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64 << 20, 48
+#: Context restaurants: the word before, by this many bits of its hash.
+CONTEXT_BITS = 16
+CONTEXTS = 1 << CONTEXT_BITS
+#: Sweeps, and how many of the first are not retained.
+SWEEPS, BURN_IN = 4, 1
+#: Customers up to which the number of tables is drawn from its exact distribution.
+EXACT = 48
 #: Slots of the third and fourth preceding byte, for every size of input.
 SLOTS = 64
+STRENGTH = 1.0
 
 
 # --- seating ----------------------------------------------------------------------------------
 
 
-def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with `count` customers, seated one after the other; mass is (strength +
-    discount * tables of the restaurant) * the parent's probability of the dish. The first 48
-    customers are seated singly, later ones in runs of a quarter of those seated, with the chance of a
-    new table held over a run."""
-    tables = (count > 0).astype(np.int64)
-    live = np.flatnonzero(count > 1)
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """log of the generalised Stirling numbers: seatings of c customers at t tables, in [c, t]."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(2, most + 1):
+            t = np.arange(1, c + 1)
+            out[c, 1 : c + 1] = np.logaddexp(out[c - 1, t - 1], np.log(np.maximum(c - 1 - discount * t, 0)) + out[c - 1, t])
+    return out
+
+
+def _uniform(key: np.ndarray, number: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the key and the number only."""
+    with np.errstate(over="ignore"):
+        x = textkit.mix(key + U(number + 1) * U(0x9E3779B97F4A7C15))
+    return ((x >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def draw_tables(count: np.ndarray, prob: np.ndarray, others: np.ndarray, discount: float, strength: float, key: np.ndarray) -> np.ndarray:
+    """Tables of dishes with `count` customers and the parent's probability `prob`, in restaurants where
+    the other dishes have `others` tables. P(t) is in proportion to S(count, t) * prob**t * the product of
+    strength + discount * (others + i) for i < t."""
+    out = (count > 0).astype(np.int64)
+    table = log_stirling(discount)
+    small = np.flatnonzero((count > 1) & (count <= EXACT))
+    order = small[np.argsort(count[small], kind="stable")]
+    sizes, at = np.unique(count[order], return_index=True)
+    for c, a, b in zip(sizes.tolist(), at.tolist(), [*at[1:].tolist(), len(order)]):
+        for part in np.array_split(order[a:b], max(1, (b - a) * c // 2_000_000)):
+            logs = np.log(strength + discount * (others[part][:, None] + np.arange(c)[None, :])) + np.log(prob[part])[:, None]
+            weight = np.cumsum(logs, 1) + table[c, 1 : c + 1][None, :]
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            out[part] = 1 + (weight < (_uniform(key[part], 0) * weight[:, -1])[:, None]).sum(1)
+    large = np.flatnonzero(count > EXACT)
+    if len(large):
+        out[large] = _in_turn(count[large], (strength + discount * others[large]) * prob[large], discount, key[large])
+    return out
+
+
+def _in_turn(count: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
+    """Tables when customers are seated one after the other, from EXACT on in runs of a quarter of those
+    seated; a run takes its mean, rounded up with the chance of its fraction."""
+    tables = np.ones(len(count), np.int64)
+    live = np.arange(len(count))
     j = 1
     while len(live):
-        step = 1 if j < 48 else j // 4
-        n = np.minimum(step, count[live] - j)
+        n = np.minimum(1 if j < EXACT else j // 4, count[live] - j)
         p = mass[live] / (mass[live] + np.maximum(j - discount * tables[live], 1e-9))
-        tables[live] += rng.binomial(n, np.minimum(p, 1.0)) if step > 1 else rng.random(len(live)) < p
-        j += step
+        tables[live] += np.floor(n * p + _uniform(key[live], j)).astype(np.int64)
+        j += 1 if j < EXACT else j // 4
         live = live[count[live] > j]
-    return np.minimum(tables, np.maximum(count, 0))
+    return np.minimum(tables, count)
 
 
 class Speller:
     """Spelling restaurants, kept sparse: one for each pair of preceding bytes and slot of the two
     bytes before them; their parents for each pair; those' parents for each preceding byte; the root."""
 
-    def __init__(self, code: np.ndarray, count: np.ndarray, slots: int, rng: np.random.Generator, sweeps: int = 3, discounts=(0.4, 0.5, 0.6, 0.7), strength: float = 1.0):
+    def __init__(self, code: np.ndarray, count: np.ndarray, slots: int = SLOTS, seed: int = 0, sweeps: int = 3, discounts=(0.4, 0.5, 0.6, 0.7), strength: float = 1.0):
         order = np.argsort(code)
         self.slots = slots
         self.code, c3 = code[order], count[order].astype(np.int64)
@@ -74,44 +126,50 @@ class Speller:
         self.code2, up = np.unique((ctx3 // slots) * S + sym3, return_inverse=True)
         ctx2, sym2 = self.code2 // S, self.code2 % S
         par = (ctx2 % S) * S + sym2
-        n3 = S * S * slots
+        self.ctx3, at3 = np.unique(ctx3, return_inverse=True)  # contexts that were seen; others pass everything to their parent
         p2 = np.full(len(self.code2), 1.0 / S)
         self.p1 = np.full((S, S), 1.0 / S)
-        t3, t2 = np.ones(len(c3), np.int64), np.ones(len(self.code2), np.int64)
-        for _ in range(sweeps):
-            of = np.bincount(ctx3, t3, n3)
-            t3 = seat(c3, (strength + discounts[3] * of[ctx3]) * p2[up], discounts[3], rng)
+        t3, t2 = np.minimum(c3, 1), np.minimum(np.bincount(up, c3, len(self.code2)).astype(np.int64), 1)
+        t1, t0 = np.zeros(S * S, np.int64), np.zeros(S, np.int64)
+        flat = np.arange(S * S)
+        for i in range(sweeps):
+            salts = [U((((seed * 64 + i) * 8 + level + 1) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF) for level in range(4)]
+            key = lambda x, level: textkit.mix(x.astype(U) + salts[level])  # noqa: B023, E731
+            of = np.bincount(at3, t3, len(self.ctx3))
+            t3 = draw_tables(c3, p2[up], of[at3] - t3, discounts[3], strength, key(self.code, 3))
             c2 = np.bincount(up, t3, len(self.code2)).astype(np.int64)
+            t2 = np.minimum(t2, c2)
             of = np.bincount(ctx2, t2, S * S)
-            t2 = seat(c2, (strength + discounts[2] * of[ctx2]) * self.p1.ravel()[par], discounts[2], rng)
-            c1 = np.bincount(par, t2, S * S).astype(np.int64).reshape(S, S)
-            t1, p0 = (c1 > 0).astype(np.int64), np.full(S, 1.0 / S)
+            t2 = draw_tables(c2, self.p1.ravel()[par], of[ctx2] - t2, discounts[2], strength, key(self.code2, 2))
+            c1 = np.bincount(par, t2, S * S).astype(np.int64)
+            t1 = np.minimum(np.maximum(t1, (c1 > 0).astype(np.int64)), c1)
+            p0 = np.full(S, 1.0 / S)
             for _ in range(2):
-                mass = (strength + discounts[1] * t1.sum(1, keepdims=True)) * p0[None, :]
-                t1 = seat(c1.ravel(), mass.ravel(), discounts[1], rng).reshape(S, S)
-                c0 = t1.sum(0)
-                t0 = (c0 > 0).astype(np.int64)
-                t0 = seat(c0, (strength + discounts[0] * t0.sum()) * np.full(S, 1.0 / S), discounts[0], rng)
+                of = t1.reshape(S, S).sum(1)
+                t1 = draw_tables(c1, np.tile(p0, S), np.repeat(of, S) - t1, discounts[1], strength, key(flat, 1))
+                c0 = t1.reshape(S, S).sum(0)
+                t0 = np.minimum(np.maximum(t0, (c0 > 0).astype(np.int64)), c0)
+                t0 = draw_tables(c0, np.full(S, 1.0 / S), t0.sum() - t0, discounts[0], strength, key(flat[:S], 0))
                 p0 = (c0 - discounts[0] * t0 + (strength + discounts[0] * t0.sum()) / S) / (strength + c0.sum())
-            self.p1 = (c1 - discounts[1] * t1 + (strength + discounts[1] * t1.sum(1, keepdims=True)) * p0[None, :]) / (strength + c1.sum(1, keepdims=True))
+            c1_, t1_ = c1.reshape(S, S), t1.reshape(S, S)
+            self.p1 = (c1_ - discounts[1] * t1_ + (strength + discounts[1] * t1_.sum(1, keepdims=True)) * p0[None, :]) / (strength + c1_.sum(1, keepdims=True))
             all2 = strength + np.bincount(ctx2, c2, S * S)
             self.back2 = (strength + discounts[2] * np.bincount(ctx2, t2, S * S)) / all2
             self.own2 = (c2 - discounts[2] * t2) / all2[ctx2]
             p2 = self.own2 + self.back2[ctx2] * self.p1.ravel()[par]
-        # contexts that were seen, sorted; others pass everything to their parent
-        self.ctx3, at = np.unique(ctx3, return_inverse=True)
-        all3 = strength + np.bincount(at, c3, len(self.ctx3))
-        self.back3 = (strength + discounts[3] * np.bincount(at, t3, len(self.ctx3))) / all3
-        self.own3 = (c3 - discounts[3] * t3) / all3[at]
+        all3 = strength + np.bincount(at3, c3, len(self.ctx3))
+        self.back3 = (strength + discounts[3] * np.bincount(at3, t3, len(self.ctx3))) / all3
+        self.own3 = (c3 - discounts[3] * t3) / all3[at3]
 
     def log_prob(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each word's spelling, its end included."""
         code3, to = spelled(data, off, self.slots)
-        ctx3, sym = code3 // S, code3 % S
+        codes, back = np.unique(code3, return_inverse=True)
+        ctx3, sym = codes // S, codes % S
         ctx2 = ctx3 // self.slots
         p = self.back2[ctx2] * self.p1.ravel()[(ctx2 % S) * S + sym] + _look(self.code2, self.own2, ctx2 * S + sym, 0.0)
-        p = p * _look(self.ctx3, self.back3, ctx3, 1.0) + _look(self.code, self.own3, code3, 0.0)
-        total = np.concatenate(([0.0], np.cumsum(np.log(p))))
+        p = p * _look(self.ctx3, self.back3, ctx3, 1.0) + _look(self.code, self.own3, codes, 0.0)
+        total = np.concatenate(([0.0], np.cumsum(np.log(p)[back])))
         return total[to[1:]] - total[to[:-1]]
 
 
@@ -140,196 +198,325 @@ def spelled(data: np.ndarray, off: np.ndarray, slots: int = SLOTS) -> tuple[np.n
     return ((back[1] * S + back[0]) * slots + slot) * S + sym, to
 
 
+class Totals:
+    """What a sweep needs of the one before: tables of each context, customers and tables of the word
+    restaurant, and the number of the speller in use."""
+
+    def __init__(self, context_tables: np.ndarray, customers: int, tables: int, speller: int):
+        self.context_tables, self.customers, self.tables, self.speller = context_tables, customers, tables, speller
+
+
 class Model:
-    """What is needed to give a word with its count a probability: one entry for each retained sweep."""
+    """Discounts, customers of each context, and the totals of each sweep."""
 
-    def __init__(self, tokens: int, discount: float, strength: float):
-        self.tokens, self.discount, self.strength = tokens, discount, strength
+    def __init__(self, context_customers: np.ndarray, discounts: tuple[float, float], strength: float = STRENGTH):
+        self.context_customers, self.discounts, self.strength = context_customers, discounts, strength
+        self.totals: list[Totals] = []
         self.spellers: list[Speller] = []
-        self.tables: list[int] = []
-
-    def base(self, i: int, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return np.exp(self.spellers[i].log_prob(data, off))
-
-    def draw(self, i: int, data: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Tables of each word in sweep i + 1, the same wherever the word is looked at."""
-        mass = (self.strength + self.discount * self.tables[i]) * self.base(i, data, off)
-        key = textkit.span_hash(textkit.prefix_hash(data), off[:-1], off[1:])
-        return _seat_by_key(count, mass, self.discount, key + U(i + 1))
-
-    def prob(self, data: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Averaged predictive probability of words seen `count` times."""
-        total = np.zeros(len(count))
-        all_ = self.strength + self.tokens
-        for i in range(1, len(self.spellers)):
-            t = self.draw(i - 1, data, off, count)
-            total += (count - self.discount * t + (self.strength + self.discount * self.tables[i]) * self.base(i, data, off)) / all_
-        return total / (len(self.spellers) - 1)
-
-
-def _seat_by_key(count: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
-    """seat() with random numbers that depend on the key only."""
-    tables = (count > 0).astype(np.int64)
-    live = np.flatnonzero(count > 1)
-    j = 1
-    while len(live):
-        step = 1 if j < 48 else j // 4
-        n = np.minimum(step, count[live] - j)
-        p = np.minimum(mass[live] / (mass[live] + np.maximum(j - discount * tables[live], 1e-9)), 1.0)
-        with np.errstate(over="ignore"):
-            u = (textkit.mix(key[live] + U(j) * U(0x9E3779B97F4A7C15)) >> U(11)).astype(np.float64) / float(1 << 53)
-        mean = n * p
-        # one draw: exact for one customer; for a run the mean, rounded up with the chance of its fraction
-        tables[live] += np.floor(mean + u).astype(np.int64)
-        j += step
-        live = live[count[live] > j]
-    return np.minimum(tables, count)
 
+    def chain(self, words: "Words"):
+        """The state of a bucket's words after each sweep whose predecessor's totals are known:
+        (tables of each entry, customers and tables of each word)."""
+        t2 = np.minimum(words.c, 1)
+        c1 = np.bincount(words.of, t2, words.n).astype(np.int64)
+        t1 = np.minimum(c1, 1)
+        yield t2, c1, t1
+        base: dict[int, np.ndarray] = {}
+        d1, d2 = self.discounts
+        for i, g in enumerate(self.totals):
+            if g.speller not in base:
+                base[g.speller] = np.maximum(np.exp(self.spellers[g.speller].log_prob(words.data, words.off)), 1e-300)
+            p0 = base[g.speller]
+            p1 = (c1 - d1 * t1 + (self.strength + d1 * g.tables) * p0) / (self.strength + g.customers)
+            key = textkit.mix(words.hash + U(2 * i + 1))
+            t2 = draw_tables(words.c, p1[words.of], g.context_tables[words.k] - t2, d2, self.strength, textkit.mix(key[words.of] + words.k.astype(U) + U(1)))
+            c1 = np.bincount(words.of, t2, words.n).astype(np.int64)
+            t1 = draw_tables(c1, p0, np.maximum(g.tables - np.minimum(t1, c1), 0), d1, self.strength, key)
+            yield t2, c1, t1
+
+    def log_prob(self, words: "Words") -> np.ndarray:
+        """Logarithm of each entry's predictive probability, averaged over the retained sweeps."""
+        kept = []
+        d1, d2 = self.discounts
+        base: dict[int, np.ndarray] = {}
+        with np.errstate(divide="ignore"):
+            for i, (g, (t2, c1, t1)) in enumerate(zip(self.totals, self.chain(words))):
+                if i <= BURN_IN:
+                    continue
+                if g.speller not in base:
+                    base[g.speller] = self.spellers[g.speller].log_prob(words.data, words.off)
+                word = np.logaddexp(np.log(c1 - d1 * t1), np.log(self.strength + d1 * g.tables) + base[g.speller]) - np.log(self.strength + g.customers)
+                back = np.log(self.strength + d2 * g.context_tables[words.k]) + word[words.of]
+                kept.append(np.logaddexp(np.log(words.c - d2 * t2), back) - np.log(self.strength + self.context_customers[words.k]))
+        return np.logaddexp.reduce(kept, 0) - np.log(len(kept))
+
+
+class Words:
+    """The words of a bucket with their entries: (word, context) and training customers."""
+
+    def __init__(self, blob: bytes, lens: np.ndarray, per: np.ndarray, k: np.ndarray, c: np.ndarray):
+        self.data = np.frombuffer(blob, np.uint8)
+        self.off = np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
+        self.n = len(lens)
+        self.hash = textkit.span_hash(textkit.prefix_hash(self.data), self.off[:-1], self.off[1:])
+        self.of = np.repeat(np.arange(self.n), per)
+        self.k, self.c = k.astype(np.int64), c.astype(np.int64)
+
+
+# --- packing ----------------------------------------------------------------------------------
+
+
+def _zip(raw: bytes) -> bytes:
+    import zstandard
 
-def in_text(ids: np.ndarray, sizes: np.ndarray, parent: np.ndarray, discount: float = TEXT_DISCOUNT, strength: float = TEXT_STRENGTH) -> np.ndarray:
-    """Probability of each token given those before it in its text.
+    return zstandard.compress(raw, 3)
 
-    Each text is a restaurant whose parent is the word restaurant; its tokens are seated in order, a
-    word it has served already joins that word's table, so a token costs no look at later ones."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    before = np.arange(len(ids)) - at[text]
-    key = text * (int(ids.max(initial=0)) + 1) + ids.astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    run = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    served = np.empty(len(ids), np.int64)
-    served[order] = np.arange(len(ids)) - np.repeat(run, np.diff(np.append(run, len(ids))))
-    fresh = np.cumsum(served == 0)
-    tables = fresh - (served == 0) - np.repeat(np.concatenate(([0], fresh))[at], sizes)
-    return (np.where(served > 0, served - discount, 0.0) + (strength + discount * tables) * parent) / (strength + before)
 
+def _unzip(raw: bytes) -> bytes:
+    import zstandard
 
-# --- gathering --------------------------------------------------------------------------------
+    return zstandard.decompress(raw)
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    import zstandard
+def _pack(x: np.ndarray, up: bool = False) -> bytes:
+    """Whole numbers (up: ascending ones) as zipped planes of bytes, four or, where they need them, eight;
+    floats with four bytes."""
+    if x.dtype.kind == "f":
+        x = x.astype("<f4").view("<u4")
+    elif up:
+        x = np.diff(x.astype(np.int64), prepend=0)
+    width = 4 if x.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + _zip(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
+def _unpack(raw: bytes, up: bool = False, floats: bool = False) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(_unzip(raw[1:]), np.uint8).reshape(width, -1)
+    x = np.ascontiguousarray(planes.T).view("<f4" if floats else f"<u{width}").ravel()
+    return x if floats else np.cumsum(x.astype(np.int64)) if up else x.astype(np.int64)
 
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(raw, 4 * n + 1), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def slot_of(h: np.ndarray) -> np.ndarray:
+    """The context that a word is, by its hash."""
+    return (textkit.mix(h + U(0x5107)) >> U(64 - CONTEXT_BITS)).astype(np.int64)
+
 
+#: The context of a text's first token.
+BEGIN = int(slot_of(np.array([1], U))[0])
 
-GATHERED = "grp long, lid int, word binary, n long, keys array<{kind}>, out array<boolean>, sizes array<int>, seq binary"
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U(20)) % U(buckets)).astype(np.int64)
 
-def _gather(docs: DataFrame, text: str, key: str, parts: int, part: int) -> DataFrame:
-    """For each group of texts: a row for each distinct word (grp, lid, word, n in training texts), and
-    rows that hold the texts (grp, keys, out, sizes, seq). The end token is the empty word."""
+
+# --- gathering --------------------------------------------------------------------------------
+
+
+def _gather(docs: DataFrame, text: str, key: str, parts: int, part: int, buckets: int) -> DataFrame:
+    """One row for each group of texts: their keys, whether they are held out, sizes in tokens, and the
+    tokens as numbers in order of frequency; place: each number's place among the group's distinct words
+    in order of bucket and hash, in which words, lens and slots are. The end token is the empty word."""
     src = docs.select(F.col(key).alias("key"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False)).alias("out"), F.col(text).cast("string").alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    schema = GATHERED.format(kind=kind)
+    schema = f"grp long, keys array<{kind}>, out array<boolean>, sizes binary, seq binary, place binary, slots binary, words binary, lens binary"
     names = common.arrow_schema(schema)
 
+    def flush(grp, held):
+        keys, out, sizes, hashes, starts, lens, raw = (list(x) for x in zip(*held))
+        n = np.concatenate(sizes)
+        base = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+        h, start, size = np.concatenate(hashes), np.concatenate([s + b for s, b in zip(starts, base)]), np.concatenate(lens)
+        data = np.concatenate(raw)
+        uniq, first, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        order = np.lexsort((uniq, bucket_of(uniq, buckets)))  # by bucket and hash
+        place = np.empty(len(uniq), np.int64)
+        place[order] = np.arange(len(uniq))
+        often = np.argsort(-times, kind="stable")
+        number = np.empty(len(uniq), np.int64)
+        number[often] = np.arange(len(uniq))
+        pick = first[order]
+        blob = data[textkit.ragged_index(start[pick], size[pick])].tobytes()
+        cols = [[grp], [sum(keys, [])], [sum(out, [])], [_pack(n)], [_pack(number[inverse])], [_pack(place[often])], [_pack(slot_of(uniq[order]))], [_zip(blob)], [_pack(size[pick])]]
+        return pa.RecordBatch.from_arrays([pa.array(c, names.field(i).type) for i, c in enumerate(cols)], schema=names)
+
     def run(batches):
         number = TaskContext.get().partitionId() << 24
-        state: dict = {}
-
-        def clear():
-            state.update(lid={}, words=[b""], count=np.zeros(1, np.int64), held=[], size=0)
-
-        def flush(grp):
-            words, count = state["words"], state["count"]
-            order = np.argsort(-state["seen"][: len(words)], kind="stable")  # frequent words get small numbers
-            new = np.empty(len(words), np.uint32)
-            new[order] = np.arange(len(words), dtype=np.uint32)
-            for a in range(0, len(words), 50_000):
-                o = order[a : a + 50_000]
-                m = len(o)
-                cols = [pa.array(np.full(m, grp)), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array([words[i] for i in o.tolist()], pa.binary()), pa.array(count[o]), *(pa.nulls(m, names.field(i).type) for i in range(4, 8))]
-                yield pa.RecordBatch.from_arrays(cols, schema=names)
-            for keys, out, sizes, ids in state["held"]:
-                one = [pa.array([grp]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([keys], names.field(4).type), pa.array([out], names.field(5).type), pa.array([sizes], names.field(6).type), pa.array([_pack(new[ids])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(one, schema=names)
-
-        clear()
-        state["seen"] = np.zeros(1 << 16, np.int64)
+        held, size = [], 0
         for b in common.chunks(batches, "text"):
             data, off = common.string_parts(b.column(2))
             low = textkit.LOWER[data]
             start, end, words = textkit.word_spans(low, off)
-            h = textkit.span_hash(textkit.prefix_hash(low), start, end)
-            uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            lid, known = state["lid"], state["words"]
-            raw, ids = low.tobytes(), np.empty(len(uniq), np.int64)
-            for i, (k, a, e) in enumerate(zip(uniq.tolist(), start[first].tolist(), end[first].tolist())):
-                got = lid.get(k)
-                if got is None:
-                    got = lid[k] = len(known)
-                    known.append(raw[a:e])
-                ids[i] = got
-            if len(state["seen"]) < len(known):
-                state["seen"] = np.concatenate((state["seen"], np.zeros(2 * len(known), np.int64)))
-            if len(state["count"]) < len(known):
-                state["count"] = np.concatenate((state["count"], np.zeros(len(known), np.int64)))
             n = np.diff(words)
-            out = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            seq = np.zeros(len(h) + len(n), np.int64)  # the end token, 0, behind each text's words
-            seq[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = ids[inverse]
-            train = np.repeat(~out, n + 1)
-            state["count"] += np.bincount(seq[train], minlength=len(state["count"]))
-            state["seen"][: len(known)] += np.bincount(seq, minlength=len(known))
-            state["held"].append((b.column(0).to_pylist(), out.tolist(), (n + 1).astype(np.int32).tolist(), seq.astype(np.uint32)))
-            state["size"] += len(data)
-            if state["size"] >= GROUP_BYTES:
-                yield from flush(number)
-                number += 1
-                clear()
-                state["seen"] = np.zeros(1 << 16, np.int64)
-        if state["held"]:
-            yield from flush(number)
+            to = np.arange(len(start)) + np.repeat(np.arange(len(n)), n)
+            h, at, lens = np.zeros(len(start) + len(n), U), np.zeros(len(start) + len(n), np.int64), np.zeros(len(start) + len(n), np.int64)
+            h[to], at[to], lens[to] = textkit.span_hash(textkit.prefix_hash(low), start, end), start, end - start  # the end token, of hash 0, behind each text's words
+            held.append((b.column(0).to_pylist(), b.column(1).to_pylist(), n + 1, h, at, lens, low))
+            size += len(data)
+            if size >= GROUP_BYTES:
+                yield flush(number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield flush(number, held)
 
     return common.map_arrow(src, run, schema)
 
 
-def _vocab_pass(vocab: DataFrame, model, sweep: int | None, slots: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(tables, spelling codes, their counts) over all words; sweep None: one table for each word."""
-    shared = vocab.sparkSession.sparkContext.broadcast(model)
+def _entries(seq: np.ndarray, sizes: np.ndarray, place: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """For each token its word's place and its context, as one number."""
+    at = place[seq]
+    context = np.empty(len(at), np.int64)
+    context[1:] = slots[at[:-1]]
+    context[np.concatenate(([0], np.cumsum(sizes)))[:-1]] = BEGIN
+    return (at << CONTEXT_BITS) | context
+
+
+DEALT = "bucket int, grp long, words binary, lens binary, per binary, k binary, c binary"
+
+
+def _deal(gathered: DataFrame, buckets: int) -> DataFrame:
+    """For each group and bucket: its words there, and of each the contexts with training customers."""
 
     def run(batches):
-        tables = 0
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {n: b.column(n)[i].as_py() for n in ("grp", "out", "sizes", "seq", "place", "slots", "words", "lens")}
+                sizes, lens = _unpack(row["sizes"]), _unpack(row["lens"])
+                entry = _entries(_unpack(row["seq"]), sizes, _unpack(row["place"]), _unpack(row["slots"]))
+                train = np.repeat(~np.array(row["out"], bool), sizes)
+                uniq, inverse = np.unique(entry, return_inverse=True)
+                c = np.bincount(inverse, train, len(uniq)).astype(np.int64)
+                blob = np.frombuffer(_unzip(row["words"]), np.uint8)
+                off = np.concatenate(([0], np.cumsum(lens)))
+                of = bucket_of(textkit.span_hash(textkit.prefix_hash(blob), off[:-1], off[1:]), buckets)
+                at = np.searchsorted(of, np.arange(buckets + 1))
+                word = uniq >> CONTEXT_BITS
+                cut = np.searchsorted(word, at)
+                per = np.bincount(word, minlength=len(lens))
+                cols: list[list] = [[] for _ in range(7)]
+                for j in np.flatnonzero(np.diff(at)).tolist():
+                    x, y, e, f = at[j], at[j + 1], cut[j], cut[j + 1]
+                    for col, v in zip(cols, (j, row["grp"], _zip(blob[off[x] : off[y]].tobytes()), _pack(lens[x:y]), _pack(per[x:y]), _pack(uniq[e:f] & (CONTEXTS - 1)), _pack(c[e:f]))):
+                        col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, names.field(i).type) for i, x in enumerate(cols)], schema=names)
+
+    names = common.arrow_schema(DEALT)
+    return common.map_arrow(gathered.select("grp", "out", "sizes", "seq", "place", "slots", "words", "lens"), run, DEALT)
+
+
+BUCKET = "words binary, lens binary, per binary, k binary, c binary, grps binary, own binary, ask binary, bucket int, tokens long, vocabulary long, once long, twice long, singles long, pairs long"
+
+
+def _meet(dealt: DataFrame) -> DataFrame:
+    """One row for each bucket: its words, their entries with the customers of all groups, and which of
+    them each group asks for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("grp")
+        blobs = [_unzip(x.as_py()) for x in table.column("words")]
+        lens, per, k, c = ([_unpack(x.as_py()) for x in table.column(n)] for n in ("lens", "per", "k", "c"))
+        data = np.frombuffer(b"".join(blobs), np.uint8)
+        size = np.concatenate(lens)
+        off = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        h = textkit.span_hash(textkit.prefix_hash(data), off[:-1], off[1:])
+        uniq, first, word = np.unique(h, return_index=True, return_inverse=True)
+        entry = (np.repeat(word, np.concatenate(per)) << CONTEXT_BITS) | np.concatenate(k)
+        entries, ask = np.unique(entry, return_inverse=True)
+        count = np.bincount(ask, np.concatenate(c), len(entries)).astype(np.int64)
+        of = entries >> CONTEXT_BITS
+        cw = np.bincount(of, count, len(uniq)).astype(np.int64)
+        types = np.bincount(of, count > 0, len(uniq))  # customers of the word restaurant when each entry has one table
+        own_off, ask_off = np.concatenate(([0], np.cumsum([len(x) for x in lens]))), np.concatenate(([0], np.cumsum([len(x) for x in k])))
+        own = b"".join(_framed(_pack(word[a:b], True)) for a, b in zip(own_off, own_off[1:]))
+        ask = b"".join(_framed(_pack(ask[a:b], True)) for a, b in zip(ask_off, ask_off[1:]))
+        blob = data[textkit.ragged_index(off[first], size[first])].tobytes()
+        values = (_zip(blob), _pack(size[first]), _pack(np.bincount(of, minlength=len(uniq))), _pack(entries & (CONTEXTS - 1)), _pack(count), _zip(table.column("grp").to_numpy().astype("<i8").tobytes()), own, ask, table.column("bucket")[0].as_py())
+        sums = (int(cw.sum()), int((cw > 0).sum()), int((types == 1).sum()), int((types == 2).sum()), int((count == 1).sum()), int((count == 2).sum()))
+        return pa.table([pa.array([v], f.type) for v, f in zip((*values, *sums), names)], schema=names)
+
+    names = common.arrow_schema(BUCKET)
+    return dealt.groupBy("bucket").applyInArrow(run, BUCKET)
+
+
+def _framed(x: bytes) -> bytes:
+    return len(x).to_bytes(4, "little") + x
+
+
+def _frames(raw: bytes):
+    at = 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        yield raw[at + 4 : at + 4 + n]
+        at += 4 + n
+
+
+def _words(b: pa.RecordBatch, i: int) -> Words:
+    get = lambda n: b.column(n)[i].as_py()
+    return Words(_unzip(get("words")), *(_unpack(get(n)) for n in ("lens", "per", "k", "c")))
+
+
+# --- sampling ---------------------------------------------------------------------------------
+
+TOLD = ("words", "lens", "per", "k", "c")
+
+
+def _sweep(buckets: DataFrame, model: Model, spell: bool) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
+    """(tables of each context, customers and tables of the word restaurant, spelling codes, their counts)
+    after the sweep that follows the model's last totals."""
+    shared = buckets.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        contexts = np.zeros(CONTEXTS, np.int64)
+        customers = tables = 0
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            data, off = common.string_parts(b.column(0))
-            n = b.column(1).to_numpy()
-            t = np.ones(len(n), np.int64) if sweep is None else shared.value.draw(sweep, data, off, n)
-            tables += int(t.sum())
-            code, to = spelled(data, off, slots)
-            codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, np.repeat(t, np.diff(to)))), len(codes)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(counts, tables))], names=["code", "n"])
-
-    got = common.map_arrow(vocab.select("word", "c"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    told = got.toArrow()  # flat columns: millions of codes take 16 bytes each
-    code, n = told.column("code").to_numpy(), told.column("n").to_numpy()
-    return int(n[code < 0].sum()), code[code >= 0], n[code >= 0]
-
-
-def train(vocab: DataFrame, tokens: int, sweeps: int = SWEEPS, seed: int = 7, slots: int = SLOTS) -> Model:
-    """vocab: (word, c) with c > 0."""
-    once = vocab.agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    discount = min(0.9, max(0.1, once.n1 / (once.n1 + 2 * once.n2))) if once.n1 else 0.5
-    model = Model(tokens, discount, 1.0)
-    rng = np.random.default_rng(seed)
-    tables, code, n = _vocab_pass(vocab, model, None, slots)
-    model.tables.append(tables)
-    model.spellers.append(Speller(code, n, slots, rng))
-    for i in range(sweeps):
-        tables, code, n = _vocab_pass(vocab, model, i, slots)
-        model.tables.append(tables)
-        model.spellers.append(Speller(code, n, slots, rng))
+            for i in range(b.num_rows):
+                words = _words(b, i)
+                for t2, c1, t1 in shared.value.chain(words):
+                    pass
+                contexts += np.bincount(words.k, t2, CONTEXTS).astype(np.int64)
+                customers, tables = customers + int(c1.sum()), tables + int(t1.sum())
+                if spell:
+                    code, to = spelled(words.data, words.off)
+                    codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate((counts, np.repeat(t1, np.diff(to)))), len(codes)).astype(np.int64)
+        held = np.flatnonzero(contexts)
+        seen = counts > 0
+        kinds = np.concatenate((np.zeros(len(held), np.int8), np.ones(2, np.int8), np.full(seen.sum(), 2, np.int8)))
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate((held, [0, 1], codes[seen]))), pa.array(np.concatenate((contexts[held], [customers, tables], counts[seen])).astype(np.int64))], names=["kind", "code", "n"])
+
+    got = common.map_arrow(buckets.select(*TOLD), run, "kind tinyint, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    told = got.toArrow()  # flat columns: CONTEXTS rows at most, and 16 bytes for each spelling code
+    kind, code, n = (told.column(c).to_numpy() for c in ("kind", "code", "n"))
+    contexts = np.zeros(CONTEXTS, np.int64)
+    contexts[code[kind == 0]] = n[kind == 0]
+    both = dict(zip(code[kind == 1].tolist(), n[kind == 1].tolist()))
+    return contexts, both.get(0, 0), both.get(1, 0), code[kind == 2], n[kind == 2]
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def train(buckets: DataFrame, sums, sweeps: int = SWEEPS) -> Model:
+    """buckets: as _meet gives them; sums: numbers of entries and words with one and two customers."""
+    def customers(batches):
+        total = np.zeros(CONTEXTS, np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                total += np.bincount(_unpack(b.column(0)[i].as_py()), _unpack(b.column(1)[i].as_py()), CONTEXTS).astype(np.int64)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["k", "n"])
+
+    told = common.map_arrow(buckets.select("k", "c"), customers, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(CONTEXTS, np.int64)
+    total[told.column("k").to_numpy()] = told.column("n").to_numpy()
+    model = Model(total, (_discount(sums["once"], sums["twice"]), _discount(sums["singles"], sums["pairs"])))
+    for i in range(sweeps + 1):
+        spell = i <= BURN_IN  # the spelling restaurants are drawn at the start and after the burn-in
+        contexts, customers_, tables, code, n = _sweep(buckets, model, spell)
+        if spell:
+            model.spellers.append(Speller(code, n, SLOTS, seed=i))
+        model.totals.append(Totals(contexts, customers_, tables, len(model.spellers) - 1))
     return model
 
 
@@ -337,44 +524,47 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int =
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "pitman-yor")
-    gathered = scratch.keep(_gather(docs, text, key, parts, part), "gathered")
-    words = gathered.filter("lid IS NOT NULL").select("grp", "lid", "word", "n")
-    texts = gathered.filter("lid IS NULL").select("grp", "keys", "out", "sizes", "seq")
-    vocab = scratch.keep(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "vocab")
-    sums = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, size = int(sums.n), int(sums.v)
-    model = spark.sparkContext.broadcast(train(vocab, tokens))
-
-    def told(batches):
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("n")).first().n
+    buckets = max(LEAST_BUCKETS, -(-int(size) // BUCKET_BYTES))
+    gathered = scratch.keep(_gather(docs, text, key, parts, part, buckets), "gathered")
+    met = scratch.keep(_meet(_deal(gathered, buckets)), "buckets")
+    names = ("tokens", "vocabulary", "once", "twice", "singles", "pairs")
+    sums = met.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
+    model = spark.sparkContext.broadcast(train(met, sums))
+    tokens = sums["tokens"]
+
+    def tell(batches):
         for b in batches:
-            data, off = common.string_parts(b.column(2))
-            c = b.column(3).fill_null(0).to_numpy()
-            p = model.value.prob(data, off, c)
-            base = np.log10((c + 1) / (tokens + size + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c > 0), pa.array(base), pa.array(p)], names=["grp", "lid", "known", "base", "p"])
-
-    # each word's probability is found once, then told to the groups that hold it
-    answered = words.select("grp", "lid", "word").join(vocab, "word", "left").select("grp", "lid", "word", "c")
-    answers = common.map_arrow(answered, told, "grp long, lid int, known boolean, base double, p double")
+            for i in range(b.num_rows):
+                words = _words(b, i)
+                p = model.value.log_prob(words)
+                cw = np.bincount(words.of, words.c, words.n).astype(np.int64)
+                grps = np.frombuffer(_unzip(b.column("grps")[i].as_py()), "<i8")
+                own, ask = _frames(b.column("own")[i].as_py()), _frames(b.column("ask")[i].as_py())
+                rows = [(int(g), _pack(cw[_unpack(x, True)]), _pack(p[_unpack(y, True)])) for g, x, y in zip(grps, own, ask)]
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([b.column("bucket")[i].as_py()] * len(rows), pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["grp", "bucket", "c", "p"])
+
+    answers = common.map_arrow(met.select(*TOLD, "grps", "own", "ask", "bucket"), tell, "grp long, bucket int, c binary, p binary")
+    texts = gathered.select("grp", "keys", "out", "sizes", "seq", "place", "slots")
     kind = texts.schema["keys"].dataType.elementType.simpleString()
+    vocabulary = sums["vocabulary"]
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        lid = right.column("lid").to_numpy()
-        table = np.zeros((3, int(lid.max(initial=-1)) + 1))
-        table[2] = 1.0
-        for i, name in enumerate(("known", "base", "p")):
-            table[i, lid] = right.column(name).to_numpy()
-        cols: list[list] = [[] for _ in range(6)]
-        for keys, out, sizes, seq in zip(*(left.column(c) for c in ("keys", "out", "sizes", "seq"))):
-            n = np.array(sizes.as_py(), np.int64)
-            ids = _unpack(seq.as_py(), int(n.sum()))
-            at = np.concatenate(([0], np.cumsum(n)))[:-1]
-            per = [np.add.reduceat(t, at) for t in (table[0][ids], table[1][ids], np.log10(in_text(ids, n, table[2][ids])))]
-            for c, v in zip(cols, (keys.as_py(), out.as_py(), n.tolist(), np.rint(per[0]).astype(np.int64).tolist(), per[1].tolist(), per[2].tolist())):
-                c.extend(v)
-        names = ("key", "held_out", "n_tokens", "n_known", "base_score", "score")
+        right = right.sort_by("bucket")
+        c = np.concatenate([_unpack(x.as_py()) for x in right.column("c")])
+        p = np.concatenate([_unpack(x.as_py(), floats=True) for x in right.column("p")]).astype(np.float64)
+        row = {n: left.column(n)[0].as_py() for n in ("keys", "out", "sizes", "seq", "place", "slots")}
+        sizes, seq, place = _unpack(row["sizes"]), _unpack(row["seq"]), _unpack(row["place"])
+        _, inverse = np.unique(_entries(seq, sizes, place, _unpack(row["slots"])), return_inverse=True)
+        count = c[place[seq]]
+        at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        known = np.add.reduceat((count > 0).astype(np.int64), at)
+        base = np.add.reduceat(np.log10((count + 1) / (tokens + vocabulary + 1)), at)
+        own = np.add.reduceat(p[inverse] / np.log(10), at)
+        cols = (row["keys"], row["out"], sizes, known, base, own)
         kinds = (left.schema.field("keys").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("key", "held_out", "n_tokens", "n_known", "base_score", "score"), cols, kinds)})
 
     out = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(sum_up, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
