@@ -78,7 +78,7 @@ def reader(base: Baseline, shelf: DataFrame, k: Weights = DEFAULT) -> tuple[floa
 
 def similar(base: Baseline, mine: DataFrame, k: Weights = DEFAULT) -> DataFrame:
     """(entity, shared, sim) of all reviewers who share a rated book."""
-    both = base.residuals.join(F.broadcast(mine), "book")  # one reader's shelf
+    both = base.residuals.join(mine, "book")
     s = both.groupBy("entity").agg(F.sum(F.col("e") * F.col("res")).alias("num"), F.sum(F.col("e") * F.col("e")).alias("xu"), F.sum(F.col("res") * F.col("res")).alias("xc"), F.count(F.lit(1)).alias("shared"))
     sim = F.col("num") / F.sqrt((F.col("xu") + k.alpha) * (F.col("xc") + k.alpha)) * F.col("shared") / (F.col("shared") + k.shared)
     return s.select("entity", "shared", sim.alias("sim"))
@@ -86,7 +86,7 @@ def similar(base: Baseline, mine: DataFrame, k: Weights = DEFAULT) -> DataFrame:
 
 def taste(base: Baseline, mine: DataFrame) -> DataFrame:
     """(entity, shared, agreed, thirds, weight): how closely reviewers matched the reader's ratings, damped by how much they review."""
-    both = base.residuals.join(F.broadcast(mine), "book")
+    both = base.residuals.join(mine, "book")
     apart = F.abs(F.col("u") - F.col("v"))
     s = both.groupBy("entity").agg(F.sum(3 - apart).alias("thirds"), F.count(F.lit(1)).alias("shared"), F.count_if(apart <= 1).alias("agreed"))
     return s.join(base.entities.select("entity", "ne"), "entity").select("entity", "shared", "agreed", "thirds", "ne", (F.col("thirds") / 3 / F.sqrt(1 + F.col("ne"))).alias("weight"))
@@ -97,17 +97,17 @@ def recommend(base: Baseline, shelf: DataFrame, books: DataFrame, k: Weights = D
     books: book, author, genres (array), ord."""
     bu, mine = reader(base, shelf, k)
     size = shelf.count()
-    open_ = base.residuals.join(F.broadcast(shelf.select("book")), "book", "left_anti")
+    open_ = base.residuals.join(shelf.select("book"), "book", "left_anti")
     near = similar(base, mine, k).filter((F.col("shared") >= k.least_shared) & (F.col("sim") > 0))
     pull = open_.join(near, "entity").groupBy("book").agg(F.sum(F.col("sim") * F.col("res")).alias("s"), F.sum("sim").alias("w"))
     votes = open_.join(taste(base, mine).select("entity", "weight"), "entity").groupBy("book").agg(F.sum(F.col("weight") * (F.col("v") - 2.5) / 1.5).alias("c"))
     votes = votes.join(base.books.select("book", "nb"), "book").select("book", (F.col("c") / F.pow(F.col("nb") + 1, F.lit(0.15))).alias("vote"))
     top = votes.agg(F.max(F.abs("vote"))).first()[0] or 0.0
-    shelved = books.join(F.broadcast(shelf), "book")
+    shelved = books.join(shelf, "book")
     per_genre = shelved.select(F.explode("genres").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("gn"))
-    genre = books.select("book", F.explode("genres").alias("g")).join(F.broadcast(per_genre), "g").groupBy("book").agg(F.max("gn").alias("gn"))
-    fond = books.join(F.broadcast(mine), "book").filter("author IS NOT NULL").groupBy("author").agg(F.sum("e").alias("fond")).filter("fond > 0").select("author", F.lit(1).alias("liked"))
-    rows = base.books.filter("nb >= 3").join(F.broadcast(shelf.select("book")), "book", "left_anti").join(books, "book").join(pull, "book", "left").join(votes, "book", "left").join(genre, "book", "left").join(F.broadcast(fond), "author", "left")
+    genre = books.select("book", F.explode("genres").alias("g")).join(per_genre, "g").groupBy("book").agg(F.max("gn").alias("gn"))
+    fond = books.join(mine, "book").filter("author IS NOT NULL").groupBy("author").agg(F.sum("e").alias("fond")).filter("fond > 0").select("author", F.lit(1).alias("liked"))
+    rows = base.books.filter("nb >= 3").join(shelf.select("book"), "book", "left_anti").join(books, "book").join(pull, "book", "left").join(votes, "book", "left").join(genre, "book", "left").join(fond, "author", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     pred = F.least(F.lit(4.0), F.greatest(F.lit(1.0), base.mu + bu + F.col("bb") + zero("s") / (zero("w") + k.beta)))
     tv = zero("vote") / top if top else F.lit(0.0)
@@ -121,7 +121,7 @@ def recommend(base: Baseline, shelf: DataFrame, books: DataFrame, k: Weights = D
 def reasons(base: Baseline, shelf: DataFrame, k: Weights = DEFAULT, top: int = 2) -> DataFrame:
     """(book, place, entity, weight, v): the reviewers who speak most for a book, each once."""
     _, mine = reader(base, shelf, k)
-    open_ = base.residuals.join(F.broadcast(shelf.select("book")), "book", "left_anti")
+    open_ = base.residuals.join(shelf.select("book"), "book", "left_anti")
     near = similar(base, mine, k).filter((F.col("shared") >= k.least_shared) & (F.col("sim") > 0))
     one = open_.filter("res > 0").join(near, "entity").select("book", "entity", "v", F.col("sim").alias("weight"))
     two = open_.filter("v >= 3").join(taste(base, mine).select("entity", "weight"), "entity").select("book", "entity", "v", (F.col("weight") * (F.col("v") - 2.5) / 1.5).alias("weight"))
@@ -134,7 +134,7 @@ def to_follow(base: Baseline, shelf: DataFrame, k: Weights = DEFAULT, least: int
     """(entity, score, more, raves): signed reviewers within a step of the reader on every shared book, with
     their best raves that are not on the shelf."""
     _, mine = reader(base, shelf, k)
-    open_ = base.residuals.filter("signed AND v = 4").join(F.broadcast(shelf.select("book")), "book", "left_anti").join(base.books.select("book", "bb"), "book")
+    open_ = base.residuals.filter("signed AND v = 4").join(shelf.select("book"), "book", "left_anti").join(base.books.select("book", "bb"), "book")
     w = W.partitionBy("entity").orderBy(F.desc(F.round("bb", 9)), "book")
     best = open_.withColumn("r", F.row_number().over(w)).groupBy("entity").agg(F.count(F.lit(1)).alias("more"), F.array_sort(F.collect_list(F.when(F.col("r") <= raves, F.struct("r", "book")))).alias("b"))
     found = taste(base, mine).filter((F.col("ne") >= least) & (F.col("agreed") == F.col("shared")))

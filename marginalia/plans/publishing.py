@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cleanup, dedup, matching, models, tallies
+from ..operators import cleanup, dedup, explorer, matching, models, tallies
 from ._register import registry
 from .binding import BOOKS, ORDER_SQL, REVIEWS, books, order, reviews, table
 
@@ -285,3 +285,41 @@ def shelf_import(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("b"), i % 300).alias("slug"), F.concat(F.lit('{"v": '), F.when(i % 10 == 3, F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v), F.lit(', "t": 7}')).alias("entry"))
     known = table(spark, sf_dir, "part").select(F.concat(F.lit("b"), "p_partkey").alias("slug"))
     return matching.valid_shelf(rows, known).select("event_id", "slug", "v")
+
+
+EXPLORED = f"WITH {REVIEWS}, {BOOKS}, t AS (SELECT book, count(*) AS n, min(date) AS first FROM r GROUP BY book), x AS (SELECT b.book, title, 'Author ' || author AS author, publisher, '978' || b.book AS isbn, substr(first, 1, 4) AS year, n, string_split(genre, ' ') AS genres FROM b JOIN t ON b.book = t.book)"
+
+
+def _explored(spark, sf_dir):
+    t = reviews(spark, sf_dir).groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"))
+    b = books(spark, sf_dir).join(t, "book")
+    return b.select("book", "title", F.concat(F.lit("Author "), F.col("author").cast("string")).alias("author"), "publisher", F.concat(F.lit("978"), F.col("book").cast("string")).alias("isbn"), F.substring("first", 1, 4).alias("year"), "n", F.split("genre", " ").alias("genres"))
+
+
+@query(f"{EXPLORED} SELECT book, title, n FROM x WHERE list_contains(genres, 'BRASS') AND year BETWEEN '1992' AND '1995' AND n >= 25")
+def books_filtered(spark, sf_dir):
+    return explorer.filtered(_explored(spark, sf_dir), genre="BRASS", years=("1992", "1995"), least=25).select("book", "title", "n")
+
+
+@query(f"{EXPLORED} SELECT book, author, publisher FROM x WHERE publisher = 'Brand#13' AND author = 'Author 7' OR contains(lower(title || ' ' || author || ' ' || publisher || ' ' || isbn), 'author 12 brand#2')")
+def books_searched(spark, sf_dir):
+    x = _explored(spark, sf_dir)
+    one = explorer.filtered(x, publisher="Brand#13", author="Author 7")
+    return one.unionByName(explorer.filtered(x, words="Author 12 BRAND#2")).select("book", "author", "publisher").distinct()
+
+
+@query(f"WITH {REVIEWS}, k AS (SELECT book, max(v) AS v FROM r WHERE critic IN (SELECT min(critic) FROM r WHERE v IS NOT NULL) GROUP BY book QUALIFY row_number() OVER (ORDER BY book) <= 4), t AS (SELECT book, count(*) AS n FROM r WHERE book NOT IN (SELECT book FROM k) GROUP BY book) SELECT book, n FROM t ORDER BY n DESC, book LIMIT 20")
+def starters_until_rated(spark, sf_dir):
+    """A reader with four books is still asked; one with five is not."""
+    r = reviews(spark, sf_dir)
+    one = r.filter("v IS NOT NULL").agg(F.min("critic").alias("critic"))
+    read = r.join(one, "critic").groupBy("book").agg(F.max("v").alias("v")).orderBy("book")
+    t = r.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
+    return explorer.starters(t, read.limit(4)).unionByName(explorer.starters(t, read.withColumn("v", F.lit(4)).limit(5)).filter("n < 0"))
+
+
+@query(f"{CLEANED} SELECT ord1, ord2, ord3, source, review_date FROM (SELECT *, row_number() OVER (ORDER BY source, CASE WHEN n % 7 <> 0 THEN review_date END NULLS LAST, ord) AS i FROM cleaned) WHERE i <= 300".replace("source, review_date FROM (", "source, CASE WHEN n % 7 <> 0 THEN review_date END AS review_date FROM ("))
+def published_rows(spark, sf_dir):
+    """The first rows of the published files: by source and date, undated last."""
+    rows = cleanup.clean_up(backfill(spark, sf_dir)).withColumn("review_date", F.when(F.col("n") % 7 != 0, F.col("review_date")))
+    return matching.page(rows, [*explorer.published_order(), F.asc("ord")], 0, 300).select("ord1", "ord2", "ord3", "source", "review_date")

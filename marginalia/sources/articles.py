@@ -224,6 +224,13 @@ def books_in_slug(slug: Column, titles: Column, most: int = 4) -> Column:
     return run(slug, titles)
 
 
+def spelled_as_in(books: Column, body: Column) -> Column:
+    """Books out of a slug with their authors written as they are in the text, where it names them."""
+    pattern = lambda a: F.concat(F.lit(r"(?iU)\b"), F.replace(a, F.lit(" "), F.lit(r"[\s.]*")), F.lit(r"\b"))
+    found = lambda b: F.call_function("regexp_extract", body, pattern(b["author"]), F.lit(0))
+    return F.transform(books, lambda b: F.struct(b["title"].alias("title"), F.when(found(b) != "", found(b)).otherwise(b["author"]).alias("author")))
+
+
 def italics(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)>"), F.lit(1))
 

@@ -63,3 +63,17 @@ def test_books_in_slug(spark):
 def test_links(spark):
     assert run(spark, lambda c: a.page_link(c, "/book-reviews/", "/lists/"), ["https://k.test/book-reviews/x?y", "https://k.test/lists/book-reviews/", "/about"]) == ["https://k.test/book-reviews/x/", None, None]
     assert run(spark, a.italics, ["<i>A</i> and <em class='x'>B</em>"]) == [["A", "B"]]
+
+
+def test_authors_as_in_the_text(spark):
+    df = spark.createDataFrame([("the-sea-ann-o-lee-salt-jo-roe", ["The Sea", "Salt"], "Of Ann O. Lee, and others")], "s string, t array<string>, b string")
+    df = df.withColumn("k", a.books_in_slug(F.col("s"), F.col("t")))
+    got = df.select(a.spelled_as_in(F.col("k"), F.col("b")).alias("x")).first().x
+    assert [(b.title, b.author) for b in got] == [("The Sea", "Ann O. Lee"), ("Salt", "Jo Roe")]
+
+
+def test_quotes_need_their_reviewer(spark):
+    """A row with a reviewer takes no other reviewer's quotation of the same paper."""
+    q = "array(named_struct('quote', 'one', 'by', 'Bob Roe, The Guardian'), named_struct('quote', 'two', 'by', 'A. Lee, guardian'))"
+    df = spark.sql(f"SELECT {q} AS q, 'The Guardian Review' AS s, r FROM VALUES ('Ann Lee'), ('Zoe Fox'), ('') AS t(r)")
+    assert [x[0] for x in df.select(a.quote_of(F.col("q"), F.col("s"), F.col("r"))).collect()] == ["two", None, "one"]
