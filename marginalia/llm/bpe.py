@@ -213,6 +213,13 @@ class Codec:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         keys = textkit.span_hash(textkit.prefix_hash(data), bounds[:-1], bounds[1:])
         uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # pre-tokens with one hash are compared byte by byte with the first of them
+        size = np.diff(bounds)
+        lead = first[inverse]
+        same = size == size[lead]
+        at = textkit.ragged_index(bounds[:-1][same], size[same])
+        if not same.all() or not np.array_equal(data[at], data[textkit.ragged_index(bounds[:-1][lead[same]], size[same])]):
+            raise ValueError("two pre-tokens share a hash")
         raw = data.tobytes()
         tokens, place = self.tokens, self.hash.find(uniq)
         memo, packed = self.memo, []

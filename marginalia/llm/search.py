@@ -127,6 +127,8 @@ def _block(index: DataFrame, qid: np.ndarray, q: np.ndarray, pivots: np.ndarray,
     # where a query lies among the rows: its own place in the index, as a row
     as_row = _distances(_lift(q, length2), pivots)
     q2 = (flat * flat).sum(1)
+    # what rounding can add to a distance, in proportion to the vectors' lengths
+    slack = 1e-6 + 1e-7 * float(np.sqrt(q2.max(initial=0.0) + length2))
     shared = spark.sparkContext.broadcast((qid, q, to_pivot, q2, as_row.argmin(1), as_row.min(1)))  # one block of queries
     del home
 
@@ -156,7 +158,7 @@ def _block(index: DataFrame, qid: np.ndarray, q: np.ndarray, pivots: np.ndarray,
         qid, q, _, _, home, at = shared.value
         best: dict = {}
         for j, d, ids, x in rings(batches):
-            mine = np.flatnonzero((home == j) & (at >= d[0] - 1e-6) & (at <= d[-1] + 1e-6))
+            mine = np.flatnonzero((home == j) & (at >= d[0] - slack) & (at <= d[-1] + slack))
             if not len(mine):
                 continue
             s = scores_of(q[mine], x)
@@ -184,7 +186,7 @@ def _block(index: DataFrame, qid: np.ndarray, q: np.ndarray, pivots: np.ndarray,
         |q - x|**2 = |q|**2 + length2 - 2 * score, and |q - x| >= | |q - pivot| - |x - pivot| |."""
         qid, q, to_pivot, q2, _, _ = shared.value
         low = limit.value.copy()
-        radius = np.sqrt(np.maximum(q2 + length2 - 2.0 * low, 0)) + 1e-6
+        radius = np.sqrt(np.maximum(q2 + length2 - 2.0 * low, 0)) + slack
         best: dict = {}
         for j, d, ids, x in rings(batches):
             dq = to_pivot[:, j]
@@ -204,7 +206,7 @@ def _block(index: DataFrame, qid: np.ndarray, q: np.ndarray, pivots: np.ndarray,
                 best[qid[i]] = (a[t], b[t])
                 if len(t) == k and b[t[-1]] > low[i]:
                     low[i] = b[t[-1]]
-                    radius[i] = np.sqrt(max(q2[i] + length2 - 2.0 * low[i], 0)) + 1e-6
+                    radius[i] = np.sqrt(max(q2[i] + length2 - 2.0 * low[i], 0)) + slack
         if best:
             yield out(best)
 
