@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import components, dedup, matching, models, recommend, tallies, taxonomy
+from marginalia.operators import components, dedup, matching, models, ordering, recommend, tallies, taxonomy
 from marginalia.plans import modelling
 from marginalia.streaming import refresh
 
@@ -118,3 +118,91 @@ def test_models_read_whole_texts(spark, sf_dir):
     got = modelling._labelled(spark, sf_dir).collect()
     assert all(r.text == whole[r.id] for r in got)
     assert max(len(r.text) for r in got) > 4000
+
+
+def test_numbers_over_ranges(spark):
+    import random
+
+    values = random.Random(4).sample(range(10_000), 500)
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(7)
+    got = {r.v: r.n for r in ordering.numbered(df, ["v"], "n").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values))}
+    assert ordering.numbered(df.limit(0), ["v"], "n").count() == 0
+    page = ordering.page(df, [F.desc("v")], 10, 5)
+    assert [(r.place, r.v) for r in page.orderBy("place").collect()] == list(zip(range(11, 16), sorted(values, reverse=True)[10:15]))
+
+
+def test_cuts_are_quantiles(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    x, y = rnd.normal(size=301), rnd.integers(1, 5, 301)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "s double, v int")
+    want = np.quantile(x, [np.mean(y <= k) for k in (1, 2, 3)])
+    assert np.allclose(tuple(tallies.label_cuts(df, "s", "v").first()), want)
+    assert models.recalibrated(df, "s", "v") != models.QUOTE_CUTS and models.recalibrated(df.limit(200), "s", "v") == models.QUOTE_CUTS
+
+
+def test_weights_of_words(spark):
+    """TF-IDF of word grams against plain sums."""
+    import math
+
+    texts = ["a b", "salt salt salt sea", "salt sea", "sea wind sea wind", "wind salt sea"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = models.terms(df, False)
+    t = models.Tfidf(rows, "_words", "out", 2)
+    names = t.counter.vocabulary
+    grams = [r._words for r in rows.orderBy("id").collect()]
+    df_of = {w: sum(w in g for g in grams) for w in names}
+    assert set(names) == {"salt", "sea", "salt sea"} | ({"wind"} if df_of.get("wind") else set())
+    for g, r in zip(grams, t.transform(rows).orderBy("id").collect()):
+        want = {w: (1 + math.log(g.count(w))) * (math.log((1 + len(texts)) / (1 + df_of[w])) + 1) for w in names if w in g}
+        norm = math.sqrt(sum(x * x for x in want.values())) or 1.0
+        got = {names[i]: v for i, v in zip(r.out.indices.tolist(), r.out.values.tolist())}
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w] / norm) < 1e-9 for w in want)
+
+
+def test_character_grams(spark):
+    df = spark.createDataFrame([("Ab c",)], "text string")
+    assert df.select(models.char_grams(F.col("text")).alias("g")).first().g == [" ab", "ab ", " c ", " ab "]
+
+
+def test_sentence_features_against_numpy(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    texts = {i: rnd.normal(size=n).tolist() for i, n in enumerate((0, 1, 4, 5, 12))}
+    scored = spark.createDataFrame([(i, k, v) for i, p in texts.items() for k, v in enumerate(p)], "id int, i int, score double")
+    got = {r.id: tuple(r)[1:] for r in models.sentence_features(scored, spark.createDataFrame([(i,) for i in texts], "id int")).collect()}
+    for i, p in texts.items():
+        n = len(p)
+        want = [3.0] * 5 if not n else [np.mean(p), np.percentile(p, 10), np.percentile(p, 90), np.mean(p[int(n * 0.8) :] if n >= 5 else p), np.mean(p[: max(1, n // 5)])]
+        assert np.allclose(got[i], want)
+
+
+def test_quote_model_reads_words_and_characters(spark):
+    rows = spark.createDataFrame([(i, ("splendid marvel " if i % 2 else "tedious muddle ") * 2 + str(i), float(3 * (i % 2))) for i in range(40)], "id int, text string, label double")
+    m = models.quote_model(rows)
+    assert m.names == ["words", "chars"]
+    got = models.expected(m, spark.createDataFrame([(1, "splendidly"), (2, "tediously")], "id int, text string")).orderBy("id").collect()
+    assert got[0].score > got[1].score  # known by its characters only
+
+
+def test_refreshed_gives_up_on_errors(spark):
+    kind = "slug string, lastmod string, status string, fetched_at string"
+    before = spark.createDataFrame([("a", "1", "ok", "t")], kind)
+    fine = matching.refreshed(spark.createDataFrame([("a", "2", "pending", None), ("b", "2", "pending", None)], kind), before)
+    assert sorted(map(tuple, fine.collect())) == [("a", "1", "ok", "t"), ("b", "2", "pending", None)]
+    with pytest.raises(RuntimeError):
+        matching.refreshed(spark.createDataFrame([("a", "2", "error", None)], kind), before)
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    folder, root = str(tmp_path / "in"), f"file://{tmp_path}/state"
+    kind = "k int, at int, v string"
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], kind).write.mode("append").parquet(folder)
+    first = refresh.latest_by_stream(spark, folder, "k", ("at",), ("v",), root)
+    assert sorted(map(tuple, first.collect())) == [(1, "a"), (2, "b")]
+    spark.createDataFrame([(1, 2, "c"), (3, 1, "d")], kind).write.mode("append").parquet(folder)
+    again = refresh.latest_by_stream(spark, folder, "k", ("at",), ("v",), root)
+    assert sorted(map(tuple, again.collect())) == [(1, "c"), (2, "b"), (3, "d")]
