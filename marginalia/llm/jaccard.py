@@ -9,10 +9,13 @@ Each text is a set of hashed 5-word shingles; two texts link when 100 * |x & y|
    a shingle are laid out by set size and compared in tiles whose sizes can link at all.
 3. Candidate pairs are bounded from above by the bits in which hashed bitmaps of the sets differ;
    only pairs within the bound have their sorted arrays intersected exactly.
-4. The first rounds hold each class of a tile group against a few hubs of the group. The last round
-   takes all pairs, within tiles and within the bitmaps' bound, of classes that are still in different
-   components. So no link between components is lost, and a family of copies does not grow with the
-   square of its size.
+4. The first round holds each class of a group against a few hubs of the group. Then, round by round,
+   the members that are outside their group's largest component propose the likeliest members of other
+   components, by the bound of folded bitmaps; proposals are verified and components drawn anew. Each round
+   proposes more for each member; the last one is that in which no list of proposals was cut short, so
+   every pair of different components within the bound has been looked at. No link between components
+   is lost, and a family of copies does not grow with the square of its size: pairs inside a component
+   are never made. Groups are compared in tiles of bounded size: bands of set sizes, cut into blocks.
 
 The count table orders shingles only; whatever it says, the join is exact.
 
@@ -37,13 +40,14 @@ LOG2_COUNTERS = 22
 BUCKET_ENTRIES, LEAST_BUCKETS = 400_000, 512
 #: Prefix entries gathered in a worker before they are dealt to buckets.
 FLUSH_ENTRIES = 600_000
-#: Classes in one tile.
-TILE = 128
+#: Members on each side of a tile, about; and the ratio of set sizes in a band, more than 100 / PERCENT.
+TILE, BAND = 4096, 1.4
 PARTS = 16
 PERCENT = 75
-#: Members that each group's others are compared with in a round, and rounds after the first; the last
-#: of them takes all pairs that are left.
-HUBS, ROUNDS = 3, 2
+#: Members that each group's others are compared with at first.
+HUBS = 3
+#: Proposals of a member in the first round, and by how much they grow from round to round.
+PROPOSALS, GROWTH = 8, 512
 
 
 def set_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,31 +55,32 @@ def set_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _scan(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows (key, n, cls, alt, sig), and rows (part, counts) of the shingle counters of each task."""
+    """Rows (key, n, cls, alt, sig, tag: sig folded), and rows (part, counts) of the shingle counters of each task."""
     src = docs.selectExpr(f"CAST(`{key}` AS long) AS key", f"CAST(`{text}` AS string) AS text")
 
     def run(batches):
         import zstandard
 
         counters = np.zeros(1 << LOG2_COUNTERS, np.uint32)
-        names = ["key", "n", "cls", "alt", "sig", "part", "counts"]
+        names = ["key", "n", "cls", "alt", "sig", "tag", "part", "counts"]
         for b in common.chunks(batches, "text"):
             h, off = textkit.shingle_sets(*common.string_parts(b.column(1)))
             counters += np.bincount((h >> U(64 - LOG2_COUNTERS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
             one, two = set_digests(h, off)
             m = b.num_rows
+            sig = [signature(h[x:y]) for x, y in zip(off, off[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([signature(h[x:y]) for x, y in zip(off, off[1:])], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary()), pa.array([halved(x) for x in sig], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=names,
             )
         small = np.minimum(counters, 255).astype(np.uint8).reshape(PARTS, -1)
         for p in range(PARTS):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([zstandard.compress(small[p].tobytes(), 1)], pa.binary())],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([zstandard.compress(small[p].tobytes(), 1)], pa.binary())],
                 names=names,
             )
 
-    return common.map_arrow(src, run, "key long, n long, cls long, alt long, sig binary, part int, counts binary")
+    return common.map_arrow(src, run, "key long, n long, cls long, alt long, sig binary, tag binary, part int, counts binary")
 
 
 def _sum_counts(batches):
@@ -143,23 +148,6 @@ def _prefixes(docs: DataFrame, text: str, table: Broadcast, buckets: int) -> Dat
     return common.map_arrow(src, run, "bucket int, entries binary")
 
 
-def _reach(n: np.ndarray) -> np.ndarray:
-    """The largest set size that can link with size n."""
-    return 100 * n.astype(np.int64) // PERCENT
-
-
-def _tiles(cls: np.ndarray, n: np.ndarray):
-    """Tiles of the classes of one group, by size; and for each tile the last tile in its reach."""
-    order = np.lexsort((cls, n))
-    cls, n = cls[order], n[order]
-    cuts = list(range(0, len(cls), TILE))
-    for a in cuts:
-        b = min(a + TILE, len(cls))
-        far = int(np.searchsorted(n, _reach(n[b - 1 : b])[0], side="right"))
-        for c in range(a, far, TILE):
-            yield cls[a:b], n[a:b], cls[c : min(c + TILE, far)], n[c : min(c + TILE, far)], a == c
-
-
 def _groups(prefixes: DataFrame) -> DataFrame:
     """Groups of two or more classes that share a prefix shingle, each set of classes once in a bucket:
     (grp, cls, n, place), place being 0, 1 … for the HUBS members with the least hashes and missing for others."""
@@ -213,6 +201,14 @@ def signature(h: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def halved(sig: bytes, least: int = 64) -> bytes:
+    """A bitmap of half the size, `least` bytes at least; folding keeps it a bitmap of flips."""
+    if len(sig) <= least:
+        return sig
+    x = np.frombuffer(sig, np.uint64)
+    return (x[: len(x) // 2] ^ x[len(x) // 2 :]).tobytes()
+
+
 def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
     """An upper bound of the overlap of two sets, by the bits in which their bitmaps differ."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -248,12 +244,13 @@ def _sets_of(docs: DataFrame, text: str, wanted: DataFrame, bits: Broadcast) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["cls", "items"])
 
-    found = common.map_arrow(src, run, "cls long, items binary").join(wanted.select("cls"), "cls", "left_semi")
+    found = common.map_arrow(src, run, "cls long, items binary").join(wanted, "cls", "left_semi")
     return found.groupBy("cls").agg(F.first("items").alias("items"))
 
 
 def _verify(docs: DataFrame, text: str, pairs: DataFrame, small: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) that link: first by bitmaps, then, for those within the bound, by exact intersection."""
+    """Pairs (a, b) that link: first by bitmaps, then, for those within the bound, by exact intersection of
+    their sets, which are made again from the texts: that costs a scan, but no shuffle of sets that are not needed."""
     bounded = pairs.join(small.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(small.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
 
     def bound(batches):
@@ -265,7 +262,9 @@ def _verify(docs: DataFrame, text: str, pairs: DataFrame, small: DataFrame, scra
                 yield t.select(["a", "b"])
 
     near = scratch.keep(common.map_arrow(bounded, bound, "a long, b long"), f"{name}-near")
-    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    if near.isEmpty():
+        return near
+    wanted = scratch.keep(near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct(), f"{name}-wanted")
     bits = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(wanted))  # fixed size
     sets = scratch.keep(_sets_of(docs, text, wanted, bits), f"{name}-sets")
     bits.destroy()
@@ -283,55 +282,78 @@ def _verify(docs: DataFrame, text: str, pairs: DataFrame, small: DataFrame, scra
             if t.num_rows:
                 yield t.select(["a", "b"])
 
-    return scratch.keep(common.map_arrow(full, exact, "a long, b long"), name)
+    out = scratch.keep(common.map_arrow(full, exact, "a long, b long"), name)
+    scratch.drop(f"{name}-sets")
+    return out
 
 
 def _told(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the groups that lie in several components, with their components."""
+    """Members of the groups that lie in several components: (grp, cls, n, label, minor, m, x): whether
+    the member is outside the largest component, members of the group, and those outside."""
     told = groups.join(labels, groups["cls"] == labels["node"], "left").select("grp", "cls", "n", F.coalesce("label", "cls").alias("label"))
-    split = told.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-    return told.join(split.filter(f"lo <> hi AND m > {HUBS + 1}").select("grp"), "grp")
-
-
-def _more_hubs(told: DataFrame) -> DataFrame:
-    """Pairs of each member with other hubs of its group that lie in another component."""
-    least = [F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))).alias(f"h{i}") for i in range(HUBS)]
-    hubs = told.groupBy("grp").agg(*least).select("grp", F.inline(F.array(*[f"h{i}" for i in range(HUBS)]))).drop("h").distinct()
-    return _pairs(told.join(hubs, "grp").filter((F.col("label") != F.col("hub_label")) & _fits("n", "hub_n")))
-
-
-def _cross(told: DataFrame, small: DataFrame) -> DataFrame:
-    """Pairs of classes of one group in different components, from tiles, as far as their bitmaps allow a link."""
+    each = told.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
+    split = each.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts"))
+    split = split.filter(f"parts > 1 AND m > {HUBS + 1}").select("grp", F.col("top.label").alias("main"), "m", (F.col("m") - F.col("top.c")).alias("x"))
+    return told.join(split, "grp").select("grp", "cls", "n", "label", (F.col("label") != F.col("main")).alias("minor"), "m", "x")
+
+
+def _propose(told: DataFrame, small: DataFrame, most: int) -> DataFrame:
+    """(a, b, cut): for each member outside its group's largest component, up to `most` members of other
+    components in each tile, those with the highest bounds of overlap; cut: the tile held more.
+
+    A tile is a band of set sizes in a group, cut into blocks on both sides, so that no task gathers a
+    whole group."""
+    rows = told.join(small.select("cls", F.col("tag").alias("sig")), "cls").withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int"))
+    rows = rows.withColumns({"sx": F.ceil(F.col("x") / TILE).cast("int"), "sy": F.ceil(F.col("m") / TILE).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["cls", "n", "label", "sig"]
+    left = rows.filter("minor").withColumn("bx", F.pmod(F.xxhash64("cls"), "sx").cast("int")).withColumn("by", every("sy"))
+    left = left.select("grp", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "bx", "by", *own, F.lit(True).alias("asks"))
+    right = rows.withColumn("by", F.pmod(F.xxhash64("cls", F.lit(1)), "sy").cast("int")).withColumn("bx", every("sx")).select("grp", "band", "bx", "by", *own, F.lit(False).alias("asks"))
 
     def run(table: pa.Table) -> pa.Table:
-        cls, n, label = (table.column(c).to_numpy() for c in ("cls", "n", "label"))
-        name = dict(zip(cls.tolist(), label.tolist()))
-        sig = dict(zip(cls.tolist(), (np.frombuffer(x.as_py(), np.uint64) for x in table.column("sig"))))
-        out_a, out_b = [], []
-        for a, na, b, nb, same in _tiles(cls, n):
-            la, lb = np.array([name[x] for x in a.tolist()]), np.array([name[x] for x in b.tolist()])
-            ok = (la[:, None] != lb[None, :]) & (nb[None, :] <= _reach(na)[:, None]) & (na[:, None] <= _reach(nb)[None, :])
-            if same:
-                ok = np.triu(ok, 1)
-            rows = np.flatnonzero(ok.any(1))
-            if not len(rows):
-                continue
-            words = min(len(sig[x]) for x in [*a.tolist(), *b.tolist()])
-            fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, words), 0)
-            right = np.stack([fold(sig[x]) for x in b.tolist()])
-            for i in rows.tolist():
-                j = np.flatnonzero(ok[i])
-                apart = np.bitwise_count(right[j] ^ fold(sig[int(a[i])])[None, :]).sum(1).astype(np.int64)
-                both = na[i] + nb[j]
-                most = (both - np.maximum(apart, np.abs(na[i] - nb[j]))) // 2
-                j = j[100 * most >= PERCENT * (both - most)]
-                out_a.append(np.minimum(a[i], b[j]))
-                out_b.append(np.maximum(a[i], b[j]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(out_a or [none]), pa.int64()), "b": pa.array(np.concatenate(out_b or [none]), pa.int64())})
-
-    rows = told.join(small.select("cls", "sig"), "cls")
-    return rows.groupBy("grp").applyInArrow(run, "a long, b long").distinct()
+        asks = table.column("asks").to_numpy()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        if asks.any() and not asks.all():
+            cls, n, label = (table.column(c).to_numpy() for c in ("cls", "n", "label"))
+            sig = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("sig")]
+            width = np.array([len(x) for x in sig])
+            held = []
+            for w in np.unique(width[~asks]).tolist():
+                at = np.flatnonzero(~asks & (width == w))
+                held.append((at, {w: np.stack([sig[i] for i in at.tolist()])}))
+            for i in np.flatnonzero(asks).tolist():
+                found, bounds = [], []
+                for at, folded in held:
+                    w = min(folded)
+                    own = sig[i]
+                    while len(own) > w and len(own) > max(folded):
+                        own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+                    while len(own) not in folded:  # folding halves a flipped bitmap
+                        x = folded[w]
+                        w //= 2
+                        folded[w] = x[:, :w] ^ x[:, w:]
+                    both = n[i] + n[at]
+                    ok = (label[at] != label[i]) & (100 * n[at] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[at])
+                    j = np.flatnonzero(ok)
+                    if not len(j):
+                        continue
+                    apart = np.bitwise_count(folded[len(own)][j] ^ own[None, :]).sum(1).astype(np.int64)
+                    overlap = (both[j] - np.maximum(apart, np.abs(n[i] - n[at][j]))) // 2
+                    near = 100 * overlap >= PERCENT * (both[j] - overlap)
+                    found.append(at[j[near]])
+                    bounds.append(overlap[near] / (both[j] - overlap)[near])
+                if not found:
+                    continue
+                found, bounds = np.concatenate(found), np.concatenate(bounds)
+                cut = len(found) > most
+                if cut:
+                    found = found[np.lexsort((cls[found], -bounds))[:most]]
+                out.append((np.full(len(found), cls[i]), cls[found], np.full(len(found), cut)))
+        a, b, cut = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "cut": pa.array(cut, pa.bool_())})
+
+    return left.unionByName(right).groupBy("grp", "band", "bx", "by").applyInArrow(run, "a long, b long, cut boolean")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -341,7 +363,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "jaccard")
     scanned = scratch.keep(_scan(docs, text, key), "scan")
-    base = scanned.filter("part IS NULL").select("key", "n", "cls", "alt", "sig")
+    base = scanned.filter("part IS NULL").select("key", "n", "cls", "alt", "sig", "tag")
     partial = scanned.filter("part IS NOT NULL").select("part", "counts")
     counters = np.zeros((PARTS, (1 << LOG2_COUNTERS) // PARTS), np.uint32)
     for row in partial.coalesce(8).mapInArrow(_sum_counts, "part int, counts binary").toLocalIterator():  # 8 tables of fixed size at most
@@ -353,30 +375,37 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     table.destroy()
     del counters
 
-    small = scratch.keep(base.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "small")
-    base = base.drop("sig")
+    small = scratch.keep(base.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("tag").alias("tag")), "small")
+    base = base.drop("sig", "tag")
     hubs = groups.filter("place IS NOT NULL").select("grp", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
-    stars = scratch.keep(_pairs(groups.join(hubs, "grp").filter((F.col("cls") != F.col("hub")) & _fits("n", "hub_n"))), "stars")
-    edges = _verify(docs, text, stars, small, scratch, "first")
-    for i in range(ROUNDS):
-        told = scratch.keep(_told(groups, common.components(scratch, edges, f"c{i}")), f"told{i}")
-        pairs = _more_hubs(told) if i < ROUNDS - 1 else _cross(told, small)
-        pairs = scratch.keep(pairs.join(stars, ["a", "b"], "left_anti"), f"pairs{i}")
+    tried = scratch.keep(_pairs(groups.join(hubs, "grp").filter((F.col("cls") != F.col("hub")) & _fits("n", "hub_n"))), "stars")
+    edges = _verify(docs, text, tried, small, scratch, "first")
+    # rows that share an identifier share its component: their classes hang together, whatever their sets
+    held = base.filter("n > 0 AND key IS NOT NULL")
+    several = held.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key", F.col("lo").alias("a"))
+    edges = edges.unionByName(scratch.keep(held.join(several, "key").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "bridges"))
+    most, i, cut, told = PROPOSALS, 0, True, None
+    while cut:
+        if told is None:  # components are drawn anew only after new links
+            labels = common.components(scratch, edges, f"c{i}")
+            told = scratch.keep(_told(groups, labels), f"told{i}")
+        found = scratch.keep(_propose(told, small, most), f"found{i}")
+        pairs = scratch.keep(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"pairs{i}")
         if not pairs.isEmpty():
-            edges = edges.unionByName(_verify(docs, text, pairs, small, scratch, f"more{i}"))
+            more = _verify(docs, text, pairs, small, scratch, f"more{i}")
+            tried = tried.unionByName(pairs)
+            if not more.isEmpty():
+                edges, told = edges.unionByName(more), None
+        cut = not found.filter("cut").isEmpty()
+        most, i = most * GROWTH, i + 1
+    if told is None:
+        labels = common.components(scratch, edges, "last")
     # from classes to documents: the least identifier of each class, then of each component
-    head = base.filter("n > 0 AND key IS NOT NULL").groupBy("cls", "alt").agg(F.min("key").alias("head"))
-    head = scratch.keep(head, "head")
-    named = edges.join(head.select(F.col("cls").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("cls").alias("b"), F.col("head").alias("hb")), "b")
-    same = base.filter("n > 0 AND key IS NOT NULL").join(head, ["cls", "alt"]).filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    # copies hang on their class's head already: only identifiers in several classes need the graph too
-    several = base.filter("n > 0 AND key IS NOT NULL").groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key")
-    bridge = same.join(several, same["a"] == several["key"], "left_semi")
-    final = common.components(scratch, named.select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(bridge), "two")
-
-    at = base.join(head, ["cls", "alt"], "left").withColumn("node", F.coalesce("head", "key"))
-    at = at.join(final, "node", "left")
-    return at.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("label", "node")).alias("component_id"))
+    head = held.groupBy("cls", "alt").agg(F.min("key").alias("head"))
+    head = scratch.keep(head.join(labels, head["cls"] == labels["node"], "left").select("cls", "alt", "head", F.coalesce("label", "cls").alias("label")), "head")
+    least = head.groupBy("label").agg(F.min("head").alias("least"))
+    at = base.join(head.join(least, "label").select("cls", "alt", "least"), ["cls", "alt"], "left")
+    return at.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
