@@ -6,11 +6,13 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 from .textkit import mix
@@ -45,12 +47,16 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+_live: list["Scratch"] = []
+
+
 class Scratch:
     """Written tables that cut lineage. A lost executor only costs the tasks it ran, since the
-    tables lie in the shared folder. They are removed when the driver's process ends."""
+    tables lie in the shared folder. They are removed by freed(), or when the driver's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        _live.append(self)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, self.path)
@@ -66,6 +72,17 @@ class Scratch:
         _drop(self.spark, f"{self.path}/{name}")
 
 
+@contextmanager
+def freed():
+    """Tables that operators write inside the block are removed at its end: by then their result must have
+    been written elsewhere."""
+    before = len(_live)
+    yield
+    for s in _live[before:]:
+        _drop(s.spark, s.path)
+    del _live[before:]
+
+
 def string_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -87,7 +104,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
         if not b.num_rows:
             continue
         col = b.column(b.schema.get_field_index(text))
-        lens = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
+        wide = pa.large_binary() if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else pa.large_string()
+        lens = col if col.type == wide else col.cast(wide)
         o = np.frombuffer(lens.buffers()[1], np.int64)[lens.offset : lens.offset + len(lens) + 1]
         at = 0
         while at < b.num_rows:
@@ -97,7 +115,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
             at = to
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
@@ -165,15 +183,15 @@ def bitmap_of(keys: DataFrame, log2_bits: int = 25, parts: int = 8) -> np.ndarra
 # --- connected components ---------------------------------------------------------------------
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for each node of `edges` (a, b: longs); label is the least node reachable.
 
     Alternating large-star and small-star rounds: both only need the least neighbour of a node, a
     grouped minimum that Spark combines before the shuffle, so a node with very many links is not
-    gathered in one task. Each round is written to the shared folder."""
+    gathered in one task. Each round is written to the shared folder; rounds go on until one changes nothing."""
     e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e0")
-    before = None
-    for i in range(most):
+    before, i = None, 0
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -188,9 +206,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
         e = nxt
         if before == now:
             break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        before, i = now, i + 1
     # every edge now points from a node to the least one of its component
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -205,20 +205,19 @@ def with_statistics(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = 20_000) -> Trees:
-    """Fits on at most `most` labelled documents outside the held-out fold."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("y"))
-    chosen = known.orderBy(F.xxhash64("key"), "key").limit(most)
-    sample = chosen.collect()  # `most` pairs of numbers
-    if not sample:
-        return Trees().fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r.key, float(r.y)) for r in sample], "__key long, y double")
-    wanted = docs.join(F.broadcast(ids), F.col(key) == F.col("__key"), "left_semi")  # `most` ids
+    """Fits on at most `most` labelled documents outside the held-out fold. Identifiers may be of any type;
+    of documents under one identifier the least text counts."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).cast("string").alias("key")).agg(F.avg(label).alias("y"))
+    sample = known.orderBy(F.xxhash64("key"), "key").limit(most).collect()  # `most` pairs
     y = {r.key: float(r.y >= 0.5) for r in sample}
-    got = sorted(((r.key, r.x) for r in with_statistics(wanted, text, key).toLocalIterator()), key=lambda r: (r[0], r[1]))
-    if not got:
-        return Trees().fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return Trees().fit(np.array([x for _, x in got]), np.array([y[k] for k, _ in got]))
+    got = []
+    if sample:
+        ids = docs.sparkSession.createDataFrame([(k,) for k in y], "__key string")
+        own = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
+        wanted = own.join(F.broadcast(ids), F.col("key") == F.col("__key"), "left_semi").groupBy("key").agg(F.min("text").alias("text"))  # `most` ids
+        got = sorted((r.key, r.x) for r in with_statistics(wanted, "text", "key").toLocalIterator())
+    x = np.array([x for _, x in got]) if got else np.zeros((0, len(FEATURES)))
+    return Trees().fit(x, np.array([y[k] for k, _ in got]))
 
 
 def score(docs: DataFrame, model: Trees, text: str = "text", key: str = "doc_id", cut: float = 0.3) -> DataFrame:
@@ -237,18 +236,14 @@ def score(docs: DataFrame, model: Trees, text: str = "text", key: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, model: Trees, text: str = "text", cut: float = 0.3) -> DataFrame:
-    """The rows whose text scores `cut` at least."""
+    """The rows whose text scores `cut` at least, all columns as they were. Null and empty texts have
+    the score of statistics 0; repeated rows are judged each; an empty table stays empty. Rows pass
+    through in bounded slices of Arrow data, texts never become Python objects."""
     trees = docs.sparkSession.sparkContext.broadcast(model)
 
-    common.ship(docs.sparkSession)
-
-    @F.pandas_udf("double")
-    def p(s):
-        import pandas as pd
-
-        out, col = [], pa.array(s, pa.string(), from_pandas=True)
-        for b in common.chunks([pa.RecordBatch.from_arrays([col], names=["text"])], "text"):
-            out.append(trees.value.predict(statistics(*common.string_parts(b.column(0)))))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches):
+        for b in common.chunks(batches, text):
+            p = trees.value.predict(statistics(*common.string_parts(b.column(text))))
+            yield b.filter(pa.array(p >= cut))
 
-    return docs.filter(p(F.col(text).cast("string")) >= cut)
+    return common.map_arrow(docs, run, docs.schema)

@@ -165,18 +165,26 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each span replaced by mark; the column `length`, where there is one, is set anew for changed texts."""
-    from pyspark.sql import functions as F
-
-    common.ship(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def clean(s):
-        return s.map(lambda t: redact_text(t, mark), na_action="ignore")
-
-    clean_text = clean(F.col(text).cast("string"))
-    out = docs.withColumn("__new", clean_text)
-    if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("__new") == F.col(text), F.col(length)).otherwise(F.length("__new").cast(docs.schema[length].dataType)))
-    return out.withColumn(text, F.col("__new")).select(*docs.columns)
+    """docs with each span replaced by mark; the column `length`, where there is one, is set anew for
+    changed texts. Null stays null, empty stays empty, repeated rows are treated each, other columns
+    pass as they are. Rows pass through in bounded slices of Arrow data."""
 
+    def run(batches):
+        for b in common.chunks(batches, text):
+            at = b.schema.get_field_index(text)
+            old = b.column(at).to_pylist()
+            new = [redact_text(t, mark) for t in old]
+            changed = [i for i, (x, y) in enumerate(zip(old, new)) if x != y]
+            if changed:
+                cols = list(b.columns)
+                cols[at] = pa.array(new, b.schema.field(at).type)
+                if length in b.schema.names:
+                    k = b.schema.get_field_index(length)
+                    n = cols[k].to_pylist()
+                    for i in changed:
+                        n[i] = len(new[i])
+                    cols[k] = pa.array(n, b.schema.field(k).type)
+                b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
+            yield b
+
+    return common.map_arrow(docs, run, docs.schema)
