@@ -13,27 +13,34 @@ from marginalia.llm import common, exact, jaccard, packing, quality, secrets
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts have the score of a text
+    whose statistics are 0; rows that repeat are judged alike; without labels every score is 0.5 and all
+    documents stay; an empty table stays empty; further columns pass as they are."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest identifier."""
+    """Of documents with equal texts, the one with the largest identifier. Null counts as the empty text, a
+    null identifier stays only where its text has no other, of rows that repeat text and identifier one
+    stays; an empty table stays empty; further columns pass as they are."""
     return exact.drop_duplicates(docs, keep="largest")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest identifier."""
+    """Of each group of near copies, the document with the smallest identifier. Texts without words are near
+    nothing, rows with a null identifier stay; an empty table stays empty; further columns pass as they are."""
     return jaccard.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by a mark."""
+    """All documents, with each secret replaced by a mark and n_chars set anew. Null and empty texts stay as
+    they are, repeated rows are treated each; an empty table stays empty; further columns pass as they are."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens. Null and empty texts have the end id only,
+    repeated rows are packed each; an empty table gives an empty one; further columns are not read."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -44,8 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes on its way is removed when its result is written, and its
+    input when the next stage has been."""
     scratch = common.Scratch(spark, "pipeline")
-    docs = common.documents(spark, sf_dir)
+    docs, last = common.documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with common.freed():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
     return docs
