@@ -22,8 +22,8 @@ Counts cover all training texts and the model is the same at any size. A task ga
 as one packed row. Each group sends its distinct words, with the contexts they stand in, to buckets by the
 word's hash: one shuffle. A bucket holds all customers of its words and is written once; a sweep is a map
 over the buckets, since contexts only need the totals of each slot, a vector of fixed size. Draws depend on
-word, context and sweep alone, so a bucket recomputes its state instead of storing it, and a repeated task
-draws the same. Probabilities go back to the groups in a second shuffle. The driver holds the totals and the
+word, context and sweep alone, so a repeated task draws the same; the state is written after each sweep.
+Probabilities go back to the groups in a second shuffle. The driver holds the totals and the
 spelling counts, 16 bytes for each distinct code; a common word is one entry of a group however frequent.
 
 Null text counts as empty: it has the end token only. A row with a null identifier is a training row.
@@ -32,6 +32,8 @@ measure's probability. An empty table gives an empty table."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,7 +46,7 @@ from .textkit import U
 S = 257  # 256 bytes, and the end of a word; as context the same number means its beginning
 EDGE = 256
 #: Bytes of text in a group, and for each bucket of words; the least number of buckets.
-GROUP_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64 << 20, 48
+GROUP_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32 << 20, 96
 #: Context restaurants: the word before, by this many bits of its hash.
 CONTEXT_BITS = 16
 CONTEXTS = 1 << CONTEXT_BITS
@@ -214,41 +216,71 @@ class Model:
         self.totals: list[Totals] = []
         self.spellers: list[Speller] = []
 
-    def chain(self, words: "Words"):
-        """The state of a bucket's words after each sweep whose predecessor's totals are known:
-        (tables of each entry, customers and tables of each word)."""
+    def start(self, words: "Words") -> tuple[np.ndarray, np.ndarray]:
+        """(tables of each entry, of each word) before the first sweep: one for each dish."""
         t2 = np.minimum(words.c, 1)
-        c1 = np.bincount(words.of, t2, words.n).astype(np.int64)
-        t1 = np.minimum(c1, 1)
-        yield t2, c1, t1
-        base: dict[int, np.ndarray] = {}
-        d1, d2 = self.discounts
-        for i, g in enumerate(self.totals):
-            if g.speller not in base:
-                base[g.speller] = np.maximum(np.exp(self.spellers[g.speller].log_prob(words.data, words.off)), 1e-300)
-            p0 = base[g.speller]
-            p1 = (c1 - d1 * t1 + (self.strength + d1 * g.tables) * p0) / (self.strength + g.customers)
-            key = textkit.mix(words.hash + U(2 * i + 1))
-            t2 = draw_tables(words.c, p1[words.of], g.context_tables[words.k] - t2, d2, self.strength, textkit.mix(key[words.of] + words.k.astype(U) + U(1)))
-            c1 = np.bincount(words.of, t2, words.n).astype(np.int64)
-            t1 = draw_tables(c1, p0, np.maximum(g.tables - np.minimum(t1, c1), 0), d1, self.strength, key)
-            yield t2, c1, t1
-
-    def log_prob(self, words: "Words") -> np.ndarray:
-        """Logarithm of each entry's predictive probability, averaged over the retained sweeps."""
-        kept = []
-        d1, d2 = self.discounts
-        base: dict[int, np.ndarray] = {}
+        return t2, np.minimum(words.customers(t2), 1)
+
+    def log_base(self, words: "Words", speller: int) -> np.ndarray:
+        return self.spellers[speller].log_prob(words.data, words.off)
+
+    def sweep(self, words: "Words", i: int, t2: np.ndarray, t1: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after sweep i + 1, given that after sweep i; base: logarithms by the speller of totals[i]."""
+        g, (d1, d2) = self.totals[i], self.discounts
+        p0 = np.maximum(np.exp(base), 1e-300)
+        p1 = (words.customers(t2) - d1 * t1 + (self.strength + d1 * g.tables) * p0) / (self.strength + g.customers)
+        key = textkit.mix(words.hash + U(2 * i + 1))
+        some = words.several  # a single customer has one table whatever happens
+        of, k = words.of[some], words.k[some]
+        drawn = draw_tables(words.c[some], p1[of], g.context_tables[k] - t2[some], d2, self.strength, textkit.mix(key[of] + k.astype(U) + U(1)))
+        t2 = np.minimum(words.c, 1)
+        t2[some] = drawn
+        c1 = words.customers(t2)
+        return t2, draw_tables(c1, p0, np.maximum(g.tables - np.minimum(t1, c1), 0), d1, self.strength, key)
+
+    def log_predicted(self, words: "Words", i: int, t2: np.ndarray, t1: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Logarithm of each entry's predictive probability by the state after sweep i."""
+        g, (d1, d2) = self.totals[i], self.discounts
         with np.errstate(divide="ignore"):
-            for i, (g, (t2, c1, t1)) in enumerate(zip(self.totals, self.chain(words))):
-                if i <= BURN_IN:
-                    continue
-                if g.speller not in base:
-                    base[g.speller] = self.spellers[g.speller].log_prob(words.data, words.off)
-                word = np.logaddexp(np.log(c1 - d1 * t1), np.log(self.strength + d1 * g.tables) + base[g.speller]) - np.log(self.strength + g.customers)
-                back = np.log(self.strength + d2 * g.context_tables[words.k]) + word[words.of]
-                kept.append(np.logaddexp(np.log(words.c - d2 * t2), back) - np.log(self.strength + self.context_customers[words.k]))
-        return np.logaddexp.reduce(kept, 0) - np.log(len(kept))
+            word = np.logaddexp(np.log(words.customers(t2) - d1 * t1), np.log(self.strength + d1 * g.tables) + base) - np.log(self.strength + g.customers)
+            back = np.log(self.strength + d2 * g.context_tables[words.k]) + word[words.of]
+            return np.logaddexp(np.log(words.c - d2 * t2), back) - np.log(self.strength + self.context_customers[words.k])
+
+
+@dataclass
+class State:
+    """A bucket's words between two passes: tables, the logarithms of their spelling by `speller`, and the
+    sum of the predictions of the sweeps retained so far, as a logarithm."""
+
+    words: "Words"
+    t2: np.ndarray | None = None
+    t1: np.ndarray | None = None
+    base: np.ndarray | None = None
+    speller: int = -1
+    total: np.ndarray | None = None
+
+    def take_in(self, model: Model) -> None:
+        """What the totals of the last sweep allow: its spelling, and its predictions if it is retained."""
+        i = len(model.totals) - 1
+        if self.speller != model.totals[i].speller:
+            self.speller = model.totals[i].speller
+            self.base = model.log_base(self.words, self.speller)
+        if i > BURN_IN:
+            p = model.log_predicted(self.words, i, self.t2, self.t1, self.base)
+            self.total = p if self.total is None else np.logaddexp(self.total, p)
+
+    def go_on(self, model: Model) -> None:
+        """The next sweep."""
+        if not model.totals:
+            self.t2, self.t1 = model.start(self.words)
+            return
+        self.take_in(model)
+        self.t2, self.t1 = model.sweep(self.words, len(model.totals) - 1, self.t2, self.t1, self.base)
+
+    def averaged(self, model: Model) -> np.ndarray:
+        """Logarithm of each entry's predictive probability, averaged over the retained sweeps."""
+        self.take_in(model)
+        return self.total - np.log(len(model.totals) - 1 - BURN_IN)
 
 
 class Words:
@@ -261,6 +293,11 @@ class Words:
         self.hash = textkit.span_hash(textkit.prefix_hash(self.data), self.off[:-1], self.off[1:])
         self.of = np.repeat(np.arange(self.n), per)
         self.k, self.c = k.astype(np.int64), c.astype(np.int64)
+        self.several = np.flatnonzero(self.c > 1)
+
+    def customers(self, t2: np.ndarray) -> np.ndarray:
+        """Customers of each word in the word restaurant: the tables of its entries."""
+        return np.bincount(self.of, t2, self.n).astype(np.int64)
 
 
 # --- packing ----------------------------------------------------------------------------------
@@ -457,12 +494,25 @@ def _words(b: pa.RecordBatch, i: int) -> Words:
 # --- sampling ---------------------------------------------------------------------------------
 
 TOLD = ("words", "lens", "per", "k", "c")
+STATE = ("t2", "t1", "base", "speller", "total")
+PASSED = (*TOLD, "grps", "own", "ask", "bucket")
+SWEPT = "words binary, lens binary, per binary, k binary, c binary, grps binary, own binary, ask binary, bucket int, t2 binary, t1 binary, base binary, speller int, total binary, kind tinyint, code long, n long"
+
 
+def _state(b: pa.RecordBatch, i: int) -> State:
+    state = State(_words(b, i))
+    if "t2" in b.schema.names and b.column("t2")[i].is_valid:
+        get = lambda n: b.column(n)[i].as_py()
+        number = lambda n: None if get(n) is None else _unpack(get(n), floats=True).astype(np.float64)
+        state.t2, state.t1, state.base, state.speller, state.total = _unpack(get("t2")), _unpack(get("t1")), number("base"), get("speller"), number("total")
+    return state
 
-def _sweep(buckets: DataFrame, model: Model, spell: bool) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
-    """(tables of each context, customers and tables of the word restaurant, spelling codes, their counts)
-    after the sweep that follows the model's last totals."""
-    shared = buckets.sparkSession.sparkContext.broadcast(model)
+
+def _sweep(scratch: common.Scratch, table: DataFrame, model: Model, spell: bool, name: str) -> tuple[DataFrame, tuple]:
+    """(the buckets after the next sweep; tables of each context, customers and tables of the word
+    restaurant, spelling codes and their counts). The new state is written, so each pass is one sweep."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+    names = common.arrow_schema(SWEPT)
 
     def run(batches):
         contexts = np.zeros(CONTEXTS, np.int64)
@@ -470,35 +520,41 @@ def _sweep(buckets: DataFrame, model: Model, spell: bool) -> tuple[np.ndarray, i
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             for i in range(b.num_rows):
-                words = _words(b, i)
-                for t2, c1, t1 in shared.value.chain(words):
-                    pass
-                contexts += np.bincount(words.k, t2, CONTEXTS).astype(np.int64)
-                customers, tables = customers + int(c1.sum()), tables + int(t1.sum())
+                x = _state(b, i)
+                x.go_on(shared.value)
+                contexts += np.bincount(x.words.k, x.t2, CONTEXTS).astype(np.int64)
+                customers, tables = customers + int(x.t2.sum()), tables + int(x.t1.sum())
                 if spell:
-                    code, to = spelled(words.data, words.off)
+                    code, to = spelled(x.words.data, x.words.off)
                     codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
-                    counts = np.bincount(at, np.concatenate((counts, np.repeat(t1, np.diff(to)))), len(codes)).astype(np.int64)
-        held = np.flatnonzero(contexts)
-        seen = counts > 0
-        kinds = np.concatenate((np.zeros(len(held), np.int8), np.ones(2, np.int8), np.full(seen.sum(), 2, np.int8)))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate((held, [0, 1], codes[seen]))), pa.array(np.concatenate((contexts[held], [customers, tables], counts[seen])).astype(np.int64))], names=["kind", "code", "n"])
-
-    got = common.map_arrow(buckets.select(*TOLD), run, "kind tinyint, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-    told = got.toArrow()  # flat columns: CONTEXTS rows at most, and 16 bytes for each spelling code
+                    counts = np.bincount(at, np.concatenate((counts, np.repeat(x.t1, np.diff(to)))), len(codes)).astype(np.int64)
+                number = lambda v: None if v is None else _pack(v)
+                told = (_pack(x.t2), _pack(x.t1), number(x.base), x.speller, number(x.total), 0, None, None)
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, 1) for n in PASSED), *(pa.array([v], names.field(9 + j).type) for j, v in enumerate(told))], schema=names)
+        held, seen = np.flatnonzero(contexts), counts > 0
+        kinds = np.concatenate((np.full(len(held), 1, np.int8), np.full(2, 2, np.int8), np.full(seen.sum(), 3, np.int8)))
+        sums = [pa.array(kinds), pa.array(np.concatenate((held, [0, 1], codes[seen])).astype(np.int64)), pa.array(np.concatenate((contexts[held], [customers, tables], counts[seen])).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(kinds), names.field(j).type) for j in range(14)), *sums], schema=names)
+
+    columns = [c for c in (*PASSED, *STATE) if c in table.columns]
+    swept = scratch.keep(common.map_arrow(table.select(*columns), run, SWEPT), name)
+    # flat columns: CONTEXTS rows at most, and 16 bytes for each spelling code
+    told = swept.filter("kind > 0").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
     kind, code, n = (told.column(c).to_numpy() for c in ("kind", "code", "n"))
     contexts = np.zeros(CONTEXTS, np.int64)
-    contexts[code[kind == 0]] = n[kind == 0]
-    both = dict(zip(code[kind == 1].tolist(), n[kind == 1].tolist()))
-    return contexts, both.get(0, 0), both.get(1, 0), code[kind == 2], n[kind == 2]
+    contexts[code[kind == 1]] = n[kind == 1]
+    both = dict(zip(code[kind == 2].tolist(), n[kind == 2].tolist()))
+    return swept.filter("kind = 0").select(*PASSED, *STATE), (contexts, both.get(0, 0), both.get(1, 0), code[kind == 3], n[kind == 3])
 
 
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def train(buckets: DataFrame, sums, sweeps: int = SWEEPS) -> Model:
-    """buckets: as _meet gives them; sums: numbers of entries and words with one and two customers."""
+def train(scratch: common.Scratch, buckets: DataFrame, sums, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
+    """(model, buckets with their state after the last sweep). buckets: as _meet gives them; sums: numbers
+    of entries and words with one and two customers."""
+
     def customers(batches):
         total = np.zeros(CONTEXTS, np.int64)
         for b in batches:
@@ -513,11 +569,12 @@ def train(buckets: DataFrame, sums, sweeps: int = SWEEPS) -> Model:
     model = Model(total, (_discount(sums["once"], sums["twice"]), _discount(sums["singles"], sums["pairs"])))
     for i in range(sweeps + 1):
         spell = i <= BURN_IN  # the spelling restaurants are drawn at the start and after the burn-in
-        contexts, customers_, tables, code, n = _sweep(buckets, model, spell)
+        buckets, (contexts, customers_, tables, code, n) = _sweep(scratch, buckets, model, spell, f"sweep{i}")
+        scratch.drop(f"sweep{i - 1}" if i else "buckets")  # the new state holds all that the old one did
         if spell:
             model.spellers.append(Speller(code, n, SLOTS, seed=i))
         model.totals.append(Totals(contexts, customers_, tables, len(model.spellers) - 1))
-    return model
+    return model, buckets
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int = 7, part: int = 2) -> DataFrame:
@@ -530,22 +587,22 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int =
     met = scratch.keep(_meet(_deal(gathered, buckets)), "buckets")
     names = ("tokens", "vocabulary", "once", "twice", "singles", "pairs")
     sums = met.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
-    model = spark.sparkContext.broadcast(train(met, sums))
+    model, swept = train(scratch, met, sums)
+    model = spark.sparkContext.broadcast(model)
     tokens = sums["tokens"]
 
     def tell(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words = _words(b, i)
-                p = model.value.log_prob(words)
-                cw = np.bincount(words.of, words.c, words.n).astype(np.int64)
+                state = _state(b, i)
+                p, cw = state.averaged(model.value), state.words.customers(state.words.c)
                 grps = np.frombuffer(_unzip(b.column("grps")[i].as_py()), "<i8")
                 own, ask = _frames(b.column("own")[i].as_py()), _frames(b.column("ask")[i].as_py())
                 rows = [(int(g), _pack(cw[_unpack(x, True)]), _pack(p[_unpack(y, True)])) for g, x, y in zip(grps, own, ask)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([b.column("bucket")[i].as_py()] * len(rows), pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["grp", "bucket", "c", "p"])
 
-    answers = common.map_arrow(met.select(*TOLD, "grps", "own", "ask", "bucket"), tell, "grp long, bucket int, c binary, p binary")
+    answers = common.map_arrow(swept, tell, "grp long, bucket int, c binary, p binary")
     texts = gathered.select("grp", "keys", "out", "sizes", "seq", "place", "slots")
     kind = texts.schema["keys"].dataType.elementType.simpleString()
     vocabulary = sums["vocabulary"]
