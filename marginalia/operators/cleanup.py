@@ -78,15 +78,19 @@ def without_placeholders(df: DataFrame) -> DataFrame:
     })
 
 
-def clean_up(df: DataFrame, ordinal: str = "ord", plain: bool = False) -> DataFrame:
+def reviews_only(df: DataFrame, ordinal: str = "ord", plain: bool = False) -> DataFrame:
     """Reviews without own books, pieces that are none, and republished copies. Columns: source, book_key,
     title, critic, outlet_key, review_date, review_url and the ordinal. plain: names are known to be ASCII.
-
-    Placeholders are only cleared afterwards, so such rows have met their copies by then. A second run
-    changes nothing."""
+    A second run changes nothing."""
     bad = own_book(F.col("critic"), F.col("book_key"), F.col("source"), plain) | no_review(*(F.col(c) for c in ("review_url", "source", "book_key", "title", "critic")))
     kept = df.filter(~bad).withColumn("critic_key", F.coalesce(keys.author_key(F.col("critic"), plain), F.lit("")))
-    return without_placeholders(republished(kept, ordinal)).drop("critic_key")
+    return republished(kept, ordinal).drop("critic_key")
+
+
+def clean_up(df: DataFrame, ordinal: str = "ord", plain: bool = False) -> DataFrame:
+    """reviews_only, with placeholders cleared. They are cleared last, so such rows have met their copies by
+    then: 'n.a.' and a missing critic are not the same critic."""
+    return without_placeholders(reviews_only(df, ordinal, plain))
 
 
 def unrated_foreign(df: DataFrame, quote: str = "pull_quote") -> DataFrame:

@@ -57,7 +57,7 @@ def clean_up(spark, sf_dir):
 @query(f"{CLEANED} SELECT ord1, ord2, ord3 FROM cleaned")
 def clean_up_twice(spark, sf_dir):
     """A second pass over what the first left changes nothing."""
-    return cleanup.clean_up(cleanup.clean_up(backfill(spark, sf_dir))).select("ord1", "ord2", "ord3")
+    return cleanup.without_placeholders(cleanup.reviews_only(cleanup.reviews_only(backfill(spark, sf_dir)))).select("ord1", "ord2", "ord3")
 
 
 @query(f"{CLEANED} SELECT book_key, arg_min(title, ord) AS title, min(review_date) AS first_review_date, count(*) AS n_reviews, count(rating_value) AS n_rated, round(avg(rating_value), 3) AS mean_score, count(*) FILTER (rating_value = 4) AS n_rave, count(*) FILTER (rating_value = 3) AS n_positive, count(*) FILTER (rating_value = 2) AS n_mixed, count(*) FILTER (rating_value = 1) AS n_pan, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, arg_min(critic, ord) FILTER (critic IS NOT NULL) AS author, arg_min(CASE WHEN n % 2 = 0 THEN book END, ord) FILTER (n % 2 = 0) AS bookmarks_slug FROM cleaned WHERE book_key IS NOT NULL GROUP BY book_key")

@@ -45,7 +45,8 @@ def _bare(markup: Column) -> Column:
 
 def _parts(joined: Column) -> Column:
     """The strings that _bare put together, cleaned."""
-    return F.transform(F.filter(F.split(joined, CELL), lambda c: F.length(joined) > 0), lambda c: F.when(c != ROW, clean(c)))
+    parts = F.when(F.length(joined) > 0, F.split(joined, CELL)).otherwise(F.array().cast("array<string>"))
+    return F.transform(parts, lambda c: F.when(c != ROW, clean(c)))
 
 
 def plain_each(markup: Column) -> Column:
