@@ -1,7 +1,7 @@
 """Main text of HTML pages: flat text blocks, classified by a small decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block is described by its word count and link
-density, by those of its neighbours (for a line of a list or table, the blocks around the whole list),
+density, by those of its neighbours (the nearest blocks that are no lines of a list or table),
 and by the element it lies in: main part of the page, menu-like parts, heading, list. A decision tree
 trained on the small labelled table below tells main text from the rest. Class names are one feature
 among these, and one only of elements that hold a small part of the page: a wrapper around the whole
@@ -183,16 +183,13 @@ def table(found: list[Block], has_article: bool) -> np.ndarray:
         x[i, :2] = b.words, b.linked
         # 1 in the page's main element, -1 outside it, 0 where the page has none
         x[i, 6:] = (1 if b.article else -1) if has_article else 0, b.boiler, b.hinted, b.heading, b.item > 0
-    # the neighbours of a list's lines are what lies before and behind the list
+    # lines of lists are no neighbours: a block's are the nearest ones outside lists
     for side, order in ((2, range(n)), (4, range(n - 1, -1, -1))):
-        last, around, of = (0.0, 0.0), (0.0, 0.0), 0
+        last = (0.0, 0.0)
         for i in order:
-            b = found[i]
-            if not b.item or b.item != of:
-                around = last
-            of = b.item
-            x[i, side : side + 2] = around
-            last = (b.words, b.linked)
+            x[i, side : side + 2] = last
+            if not found[i].item:
+                last = (found[i].words, found[i].linked)
     return x
 
 
@@ -241,6 +238,8 @@ def _labelled() -> list[str]:
                 f"<p><a>-{_w(short)}</a></p><h2>+{_w(short + 1)}</h2>{body}<h3>+{_w(2)}</h3>{body}<ul>{menu}</ul>",
                 f"<p>+{_w(long)}</p><blockquote>+{_w(short)}</blockquote><p>+{_w(long)}</p><div><a>-{_w(long)}</a></div><div><a>-{_w(short)}</a></div>",
                 f"<nav>{lines}</nav><h1>+{_w(short)}</h1>{body}{body}<footer>-{_w(short)}</footer>",
+                f"<ul>{items}</ul><h1>+{_w(short)}</h1><p>+{_w(long)}</p><p>+{_w(short)}</p><ul>{points}</ul><p>+{_w(long)}</p>",
+                f"<ul>{menu}</ul><h2>+{_w(2)}</h2><p>+{_w(short)}</p><ul>{points}</ul><p>+{_w(long)}</p><ul>{items}</ul>",
                 f'<div class="promo">-{_w(long)}</div>{body}<div class="comments"><p>-{_w(long)}</p><p>-{_w(short)}</p></div>',
             ]
     return pages
