@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +24,30 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return dealt.join(before, "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")
 
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str | Column], keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df with running sums inside each key: each row has the sum of its key's rows up to itself. `order` must be
+    total within a key.
+
+    Rows are dealt by ranges of (key, order) and summed in their range; each range takes over the totals of
+    those before that end with its first key, so that a key of any size lies in many tasks. The ranges are
+    written once (by `keep`, else a checkpoint), since summing and carrying must see the same ones."""
+    if keep is None:
+        _checkpoint_dir(df.sparkSession)
+        keep = lambda x: x.checkpoint()
+    order = [*[F.col(k) for k in keys], *order]
+    dealt = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    own = {name: F.sum(x).over(W.partitionBy("_part", *keys).orderBy("_at")) for name, x in sums.items()}
+    totals = dealt.groupBy("_part", *keys).agg(*[F.sum(x).alias(f"_{name}") for name, x in sums.items()])
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    same = F.col("_part") == F.col("_p")
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    out = dealt.withColumns(own).join(totals, same)
+    return out.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).select(*df.columns, *sums)
+
+
 def at_places(df: DataFrame, column: str, places: Sequence[int]) -> dict[int, float]:
     """The column's values at the given places of its sorted order."""
     rows = numbered(df.select(column), [column], "_place").filter(F.col("_place").isin(*set(places))).collect()  # one for each place
