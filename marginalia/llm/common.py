@@ -132,6 +132,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, most: int = 1024) -> DataFrame:
+    """rows joined with a table that has each key once, and in `weight` how many of the rows have that key.
+
+    Keys with more than 1/most of all rows, of which there are fewer than `most`, are broadcast; the rest is
+    joined by shuffling, with no key larger than that. Both should be written tables: they are read twice."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col(weight) * most > total))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(table, on))
+
+
 # --- a bitmap of fixed size, used only to save work: a wrong "maybe" is put right by an exact step -----
 
 
