@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, common, exact, jaccard, merkle, packing, pages, pitman_yor, quality, repeats, search, secrets, trie
+from . import bpe, common, exact, jaccard, merkle, packing, pages, pitman_yor, quality, repeats, search, secrets, simhash, trie
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -56,5 +56,9 @@ def op12_prefix_trie(spark, sf_dir):
     return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_html_extraction, op4_ngram_jaccard, op5_exact_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op9_exact_search, op10_pitman_yor, op11_merkle_manifest, op12_prefix_trie)}
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_html_extraction, op4_ngram_jaccard, op5_exact_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op9_exact_search, op10_pitman_yor, op11_merkle_manifest, op12_prefix_trie, op13_simhash)}
 ORACLES = {"op5_exact_dedup": exact.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_prefix_trie": trie.ORACLE}
