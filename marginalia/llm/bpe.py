@@ -259,7 +259,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", key: str = "d
     def run(batches):
         c = codec.value
         for b in common.chunks(batches, "text"):
-            data, off = common.string_parts(b.column(1))
+            data, off = common.string_parts(common.readable(b.column(1)))
             ids, at = c.encode(data, off)
             raw, byte_at = c.decode(ids)
             raw, flat = memoryview(raw.tobytes()), memoryview(ids.astype("<u4").tobytes())

@@ -98,6 +98,16 @@ def string_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
+def readable(col: pa.Array) -> pa.Array:
+    """The strings with U+FFFD for bytes that are not UTF-8; Spark lets such strings through."""
+    try:
+        col.validate(full=True)
+        return col
+    except pa.ArrowInvalid:
+        kind, raw = col.type, col.cast(pa.large_binary())
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], kind)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `size` bytes of text each, and one row at least."""
     for b in batches:

@@ -214,7 +214,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END, toke
         end = np.array([end_id], "<u4").tobytes()
         for b in common.chunks(batches, "text"):
             key_type = b.schema.field(0).type
-            data, off = common.string_parts(b.column(1))
+            data, off = common.string_parts(common.readable(b.column(1)))
             ids, at = c.encode(data, off)
             flat, at = ids.astype("<u4").tobytes(), at.tolist()
             marked = _marked(data, off, special)

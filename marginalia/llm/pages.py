@@ -3,20 +3,22 @@
 A page is cut into flat blocks at block-level tags. Each block is described by its word count and link
 density, by those of its neighbours (the nearest blocks that are no lines of a list or table),
 and by the element it lies in: main part of the page, menu-like parts, heading, list. A decision tree
-trained on the small labelled table below tells main text from the rest. Class names are one feature
-among these, and one only of elements that hold a small part of the page: a wrapper around the whole
-story says nothing, whatever it is called.
+trained on the small labelled table below tells main text from the rest. Class names are weak features among
+these: whether one speaks of something beside the story, and the share of the page's words that its element
+holds, from which the tree learns when a name says nothing, as on a wrapper around the story.
 
 Null html counts as empty; a page without main text gives an empty text. Character references are
 decoded, white space inside a block becomes one space, blocks are joined in page order by a blank
 line. Malformed markup is read as far as it goes: what is not a tag is text, an element left open
-lasts to the end of what encloses it. Rows are never dropped, repeated rows are treated each, other
+lasts to the end of what encloses it; from a tag with a quote that never closes on, tags end at the next >.
+Bytes that are not UTF-8 are read as U+FFFD. Time and memory are in proportion to a page's length. Rows are never dropped, repeated rows are treated each, other
 columns are ignored, an empty table gives an empty table."""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -36,40 +38,51 @@ ITEM = frozenset("li td th dt dd".split())
 HINT = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead topbar cookie cookies consent notice notification alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended recommendations trending popular comment comments reply replies disqus pagination pager copyright disclaimer skip toolbar tags".split())
 BODY = frozenset("article post entry story content main body text prose page".split())
 ABOUT = frozenset("has with without no show hide is".split())
-#: An element that holds this share of the words outside menus is a wrapper; its class name says nothing.
-WRAPPER = 0.9
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Of these, those of readers' own words.
+REPLIES = frozenset("comment comments reply replies disqus".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+PLAIN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>", re.S)
+TAG = re.compile(r"</?[A-Za-z]")
 ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "part", "in_boiler", "hinted", "heading", "item")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "part", "in_boiler", "hinted", "share", "replies", "heading", "item")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "article", "boiler", "hints", "heading", "item", "hinted")
+    __slots__ = ("text", "words", "linked", "article", "boiler", "hint", "replies", "heading", "item", "share")
 
     def __init__(self, text, words, linked, of):
         self.text, self.words, self.linked = text, words, linked
-        _, self.article, self.boiler, self.hints, self.heading, self.item = of
-        self.hinted = False
+        _, self.article, self.boiler, self.hint, self.replies, self.heading, self.item = of
+        self.share = 0.0
 
 
-def _says(value: str) -> tuple[bool, bool]:
-    """(whether a class or id name speaks of something beside the story, whether of the story itself)."""
-    beside = story = False
+def _says(value: str) -> tuple[bool, bool, bool]:
+    """(whether a class or id name speaks of something beside the story, of readers' words, of the story itself)."""
+    beside = replies = story = False
     for name in value.lower().split():
         parts = re.split(r"[-_]+", name)
         story |= all(p in BODY for p in parts)
-        beside |= parts[0] not in ABOUT and any(p in HINT for p in parts)
-    return beside and not story, story
+        if parts[0] not in ABOUT:
+            beside |= any(p in HINT for p in parts)
+            replies |= any(p in REPLIES for p in parts)
+    return beside and not story, replies and not story, story
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """(flat blocks in page order, whether the page has an article or main element)."""
     out: list[Block] = []
-    top = ("", False, False, (), False, 0)
-    stack: list[tuple] = []  # name, article, boiler, numbers of hinted elements, heading, number of the list: with what encloses it
+    top = ("", False, False, 0, False, False, 0)
+    stack: list[tuple] = []  # name, article, boiler, outermost hinted element, readers' words, heading, number of the list: with what encloses it
+    token, last = TOKEN, page.rfind(">") + 1  # behind the last > all is text
     parts: list[str] = []
     linked: list[str] = []
     link, has_article, at, n, lists, hinted = 0, False, 0, len(page), 0, 0
+    opened: Counter = Counter()  # elements on the stack, by name
+    endless: set[str] = set()  # raw elements without an end from here on
+
+    def close(i: int) -> None:
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
 
     def flush() -> None:
         if parts:
@@ -88,11 +101,19 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 linked.append(text)
 
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
+        m = token.match(page, lt) if lt < last or page.startswith(("<!", "<?"), lt) else None
+        if m is None and lt < last and token is TOKEN and TAG.match(page, lt):
+            token = PLAIN  # a quote that never closes
+            m = token.match(page, lt)
+        if m is None:
+            say(page[at : lt + 1])
+            at = lt + 1
+            continue
+        say(page[at:lt])
         at = m.end()
         name = m.group(2)
         if name is None:
@@ -103,10 +124,10 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 flush()
             if name == "a":
                 link = max(0, link - 1)
-            elif name not in VOID:
+            elif name not in VOID and opened[name] > 0:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in BLOCK and name not in BLOCK:
                         break  # an inline end tag does not close what encloses it
@@ -122,7 +143,9 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 e = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 at = n if e is None else (e.end() if e.group().lower().startswith("</") else e.start())
             else:
-                e = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                e = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if e is None:
+                    endless.add(name)
                 at = n if e is None and name in ("script", "style", "textarea", "title", "iframe") else (e.end() if e else at)
             continue
         if name in VOID or closed:
@@ -133,17 +156,17 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if name == "p":  # a paragraph ends where the next one begins
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
         elif name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            stack.pop()
+            close(len(stack) - 1)
         up = stack[-1] if stack else top
         article = up[1] or name in ("article", "main")
         has_article |= name in ("article", "main")
         boiler = up[2] or name in BOILER or name == "header" and not up[1]
-        hints, beside, story = up[3], False, False
+        beside = replies = story = False
         for a in ATTR.finditer(m.group(3)) if m.group(3) else ():
             key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -152,27 +175,27 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 boiler |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
             elif key in ("class", "id"):
                 said = _says(value)
-                beside, story = beside or said[0], story or said[1]
-        if beside and not story and name not in ("html", "body", "main", "article"):
+                beside, replies, story = beside or said[0], replies or said[1], story or said[2]
+        hint, told = up[3], not story and name not in ("html", "body", "main", "article")
+        if beside and told and not hint:
             hinted += 1
-            hints = (*hints, hinted)
-        item = up[5]
+            hint = hinted
+        item = up[6]
         if name in ("ul", "ol", "dl", "table", "menu") and not item:
             lists += 1
             item = lists
-        of = (name, article, boiler, hints, up[4] or name in HEADING, item)
+        of = (name, article, boiler, hint, up[4] or replies and told, up[5] or name in HEADING, item)
         if name in BLOCK or of[1:] != up[1:]:
             stack.append(of)
+            opened[name] += 1
     flush()
-    inside: dict[int, int] = {}
-    plain = 0
+    inside: Counter = Counter()
     for x in out:
-        if not x.boiler:
-            plain += x.words
-            for h in x.hints:
-                inside[h] = inside.get(h, 0) + x.words
+        if not (x.boiler or x.replies):
+            inside[x.hint] += x.words
+    plain = max(1, sum(inside.values()))
     for x in out:
-        x.hinted = any(inside.get(h, 0) < WRAPPER * plain for h in x.hints)
+        x.share = inside[x.hint] / plain if x.hint else 0.0
     return out, has_article
 
 
@@ -182,7 +205,7 @@ def table(found: list[Block], has_article: bool) -> np.ndarray:
     for i, b in enumerate(found):
         x[i, :2] = b.words, b.linked
         # 1 in the page's main element, -1 outside it, 0 where the page has none
-        x[i, 6:] = (1 if b.article else -1) if has_article else 0, b.boiler, b.hinted, b.heading, b.item > 0
+        x[i, 6:] = (1 if b.article else -1) if has_article else 0, b.boiler, b.hint > 0, b.share, b.replies, b.heading, b.item > 0
     # lines of lists are no neighbours: a block's are the nearest ones outside lists
     for side, order in ((2, range(n)), (4, range(n - 1, -1, -1))):
         last = (0.0, 0.0)
@@ -242,6 +265,22 @@ def _labelled() -> list[str]:
                 f"<ul>{menu}</ul><h2>+{_w(2)}</h2><p>+{_w(short)}</p><ul>{points}</ul><p>+{_w(long)}</p><ul>{items}</ul>",
                 f'<div class="promo">-{_w(long)}</div>{body}<div class="comments"><p>-{_w(long)}</p><p>-{_w(short)}</p></div>',
             ]
+    # names of elements: readers' words are never text, however many; of others, those that hold most of the page are
+    for long in (18, 35, 90):
+        body = f"<p>+{_w(long)}</p><p>+{_w(5)}</p><p>+{_w(long)}</p>"
+        for name in ("notice", "banner", "search-popular", "promo"):
+            for most in (1, 2, 4):
+                pages += [
+                    f'<div class="{name}"><h1>+{_w(4)}</h1>{body * most}</div><div class="extra">-{_w(long // 3)}</div><p>-{_w(2)}</p>',
+                    f'<div class="{name}">{body * most}</div><div class="widget">-{_w(long // 2)}</div><div>-{_w(3)}</div>',
+                ]
+            for k in (1, 2, 3):
+                pages.append(f'<div class="{name}"><h1>+{_w(3)}</h1>{f"<p>+{_w(long)}</p>" * k}</div><div class="story-menu">-{_w(k)}</div><div class="comments">{f"<p>-{_w(long)}</p>" * 4 * k}</div>')
+            pages.append(f'<div>{body}{body}</div><div class="{name}"><p>-{_w(long)}</p><p>-{_w(7)}</p></div>')
+            pages.append(f'<div class="{name}"><p>-{_w(long)}</p><p>-{_w(long)}</p></div><div>{body}</div>')
+        for most in (1, 3, 9):
+            said = f"<p>-{_w(long)}</p><p>-{_w(4)}</p><h4>-{_w(2)}</h4>" * most
+            pages += [f'<div>{body}</div><div class="comments"><h3>-{_w(2)}</h3>{said}</div>', f'<article>{body}</article><section id="replies"><h2>-{_w(3)}</h2>{said}</section>', f'<article>{body}<div class="comment-list">{said}</div></article>']
     return pages
 
 
@@ -321,7 +360,7 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str
 
     def run(batches):
         for b in common.chunks(batches, "html"):
-            text = [main_text(h) for h in b.column(2).to_pylist()]
+            text = [main_text(h) for h in common.readable(b.column(2)).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     return common.map_arrow(src, run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key).withColumnRenamed("url", url)

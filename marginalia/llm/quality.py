@@ -198,7 +198,7 @@ def with_statistics(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     def run(batches):
         for b in common.chunks(batches, "text"):
-            x = statistics(*common.string_parts(b.column(1)))
+            x = statistics(*common.string_parts(common.readable(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["key", "x"])
 
     return common.map_arrow(src, run, f"key {kind}, x array<double>")
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Trees, text: str = "text", key: str = "doc_id"
 
     def run(batches):
         for b in common.chunks(batches, "text"):
-            p = trees.value.predict(statistics(*common.string_parts(b.column(1))))
+            p = trees.value.predict(statistics(*common.string_parts(common.readable(b.column(1)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["key", "score"])
 
     out = common.map_arrow(src, run, f"key {kind}, score double")
@@ -243,7 +243,7 @@ def keep_good(docs: DataFrame, model: Trees, text: str = "text", cut: float = 0.
 
     def run(batches):
         for b in common.chunks(batches, text):
-            p = trees.value.predict(statistics(*common.string_parts(b.column(text))))
+            p = trees.value.predict(statistics(*common.string_parts(common.readable(b.column(text)))))
             yield b.filter(pa.array(p >= cut))
 
     return common.map_arrow(docs, run, docs.schema)

@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (name = "literal", name: literal, "name": "literal",
---name literal) into name-literal pairs, follows constants (a name assigned from another name takes
-its literal), and scores each literal by how sensitive its target's name is and how random it looks.
-
-Null text counts as empty: no spans. Places are code points, ends exclusive. Rows are never dropped,
+The lexer reads source and configuration syntax into name-literal pairs: name = "literal", name: literal,
+"name" => 'literal', name: Type = "literal", object["name"] = "literal", set("name", "literal"), --name literal;
+strings in single, double, triple quotes and backticks, in brackets or on the next line, next to each other or
+added up. It follows constants (a name assigned from another name takes its literals), and scores each literal by
+how sensitive the parts of its target's name are and how random it looks. Names are split at _, -, dots, case and
+digits: a tokenizer has no token.
+
+Null text counts as empty: no spans. Bytes that are not UTF-8 are read as U+FFFD. Places are code points, ends exclusive. Rows are never dropped,
 repeated rows are scanned each, other columns are ignored."""
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -24,19 +28,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "name": 3}
 NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-#: Parts of target names and how much they say; a literal is reported from a score of 1.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "credential": 0.8, "auth": 0.5, "key": 0.3}
-HINTS = (*NAMES, b"pwd", b"passphrase", b"access_key", b"private_key", b"credential", b"auth")
+#: Parts of target names, in this order, and how much they say; a literal is reported from a score of 1.
+SENSITIVE = {("password",): 1.0, ("passwd",): 1.0, ("pwd",): 0.9, ("passphrase",): 1.0, ("secret",): 1.0, ("token",): 0.8, ("apikey",): 1.0, ("api", "key"): 1.0, ("accesskey",): 1.0, ("access", "key"): 1.0, ("privatekey",): 1.0, ("private", "key"): 1.0, ("credential",): 0.8, ("auth",): 0.5, ("key",): 0.3}
+#: Endings of parts written without a break, as in dbpassword.
+ENDINGS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.8}
+#: Last parts of names of what is said about a secret.
+ABOUT = frozenset("hint name label field file path url uri type length len size count policy prompt regex pattern expiry ttl format header error message help placeholder title description".split())
+HINTS = (*NAMES, b"api-key", b"pwd", b"passphrase", b"access_key", b"access-key", b"accesskey", b"private_key", b"private-key", b"privatekey", b"credential", b"auth")
 #: Values that stand for a secret rather than being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|changeme|example|placeholder|none|null|true|false|todo|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
 #: Atomic, so that a literal of any length takes one look; see pairs() for those that never close.
 STRING = re.compile(r"""(?s:"(?:[^"\\\n]++|\\[^\n])*+"|'(?:[^'\\\n]++|\\[^\n])*+')""")
+TICKED = re.compile(r"(?s)`(?:[^`\\]++|\\.)*+`")
 #: What may stand before a string's first quote; behind other words ' is an apostrophe.
 PREFIX = re.compile(r"(?i)[bruf]|[bf]r|r[bf]")
 LEX = re.compile(
-    r"""(?P<op>:=|=>|==|!=|<=|>=|=|:)|(?P<flag>--)|(?P<word>[A-Za-z_][A-Za-z0-9_.+/-]*|[A-Za-z0-9+/_.-]+)|(?P<nl>[\n;,{}()\[\]])|(?P<other>[^\s])"""
+    r"""(?P<op>:=|=>|==|!=|<=|>=|=|:)|(?P<flag>--)|(?P<plus>\+|\.{1,2}(?=\s))|(?P<word>[A-Za-z_$][A-Za-z0-9_./$-]*|[A-Za-z0-9+/_.-]+)|(?P<nl>[\n;,{}()\[\]])|(?P<other>[^\s])"""
 )
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+ASSIGNS = ("=", ":", ":=", "=>")
 #: An unquoted value: '=' may stand inside and as padding, but one before a quote assigns that string.
 VALUE = re.compile(r"""[A-Za-z0-9_.+/-]++(?:=++[A-Za-z0-9_.+/-]++)*+(?:={2,}+|=(?![ \t]*["']))?""")
 
@@ -47,8 +58,13 @@ def entropy(s: str) -> float:
 
 
 def name_weight(name: str) -> float:
-    low = name.lower().replace("-", "_")
-    return max((w for part, w in SENSITIVE.items() if part in low), default=0.0)
+    parts = [x.lower() for x in PARTS.findall(name)]
+    if not parts:
+        return 0.0
+    some = [x[:-1] if x.endswith("s") and x[:-1] in ("secret", "token", "credential", "password") else x for x in parts]
+    weight = max((w for want, w in SENSITIVE.items() for i in range(len(some)) if tuple(some[i : i + len(want)]) == want), default=0.0)
+    weight = max([weight, *(w for end, w in ENDINGS.items() for x in some if x.endswith(end))])
+    return weight * 0.3 if parts[-1] in ABOUT else weight
 
 
 def literal_score(weight: float, value: str) -> float:
@@ -59,53 +75,145 @@ def literal_score(weight: float, value: str) -> float:
     return weight + min(0.6, 0.1 * max(0.0, entropy(value) - 2.0) + 0.1 * (mixed - 1))
 
 
-def pairs(text: str) -> list[tuple[str, int, int]]:
-    """(name, start, end) of each literal that reaches a target name, over assignments and constants."""
-    found, constants = [], {}
-    prev: list[tuple[str, str, int, int]] = []  # the last tokens of this statement
-    at = 0
-    open_until = {'"': 0, "'": 0}  # up to there no string begins: an earlier quote did not close on that line, so all later ones are escaped
+class _Reader:
+    """What has been read of a statement: targets, the literals that go to one, constants."""
+
+    def __init__(self, text: str):
+        self.text, self.found, self.constants = text, [], {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.prev: list[tuple[str, str, int, int]] = []  # the last tokens
+        self.inside = None  # the last name in the brackets that closed just now
+        self.open_name = None
+        self.target, self.state, self.parts = None, None, []  # state: await, more, plus, done
+        self.typed = None  # the target of a colon, which a type may follow
+        self.depth = 0
+
+    def flush(self) -> None:
+        if self.target and self.parts:
+            parts = self.parts
+            self.constants[self.target] = parts
+            self.found.append((self.target, parts))
+        self.parts = []
+        if self.state in ("more", "plus"):
+            self.state = "done"
+
+    def assign(self, op: str) -> None:
+        last = self.prev[-1] if self.prev else None
+        name = None
+        if op == "=" and self.typed and self.target == self.typed and not self.parts:
+            name = self.typed
+        elif last and last[0] == "]":
+            name = self.inside
+        elif last and last[0] in ("word", "string"):
+            name = last[1].strip("\"'`")
+        self.flush()
+        self.target, self.state, self.depth = name, "await" if name else None, 0
+        self.typed = name if op == ":" else None
+
+    def literal(self, parts: list[tuple[int, int]]) -> None:
+        if self.state in ("await", "plus", "more"):
+            self.parts, self.state = list(dict.fromkeys([*self.parts, *parts])), "more"  # a place counts once: a = a + a
+
+    def string(self, s: str, a: int, b: int) -> None:
+        wide = 3 if s[:3] in ('"""', "'''") else 1
+        place = (a + wide, b - wide)
+        before = [k for k, *_ in self.prev[-3:]]
+        if self.state in ("await", "plus") or self.state == "more" and self.prev and self.prev[-1][0] == "string":
+            self.literal([place])
+        elif before[-2:] == ["flag", "word"]:
+            self.found.append((self.prev[-1][1], [place]))
+        elif before == ["(", "string", ","]:  # set("name", "literal")
+            self.found.append((self.prev[-2][1].strip("\"'`"), [place]))
+
+    def word(self, s: str, a: int, b: int) -> None:
+        if self.state in ("await", "plus"):
+            if s in self.constants:
+                self.literal(self.constants[s])
+            elif self.state == "await" and re.search(r"[0-9]", s):
+                self.literal([(a, b)])
+            elif not PREFIX.fullmatch(s) or self.text[b : b + 1] not in ("\"", "'"):
+                self.flush()
+                self.state = "done"
+        elif [k for k, *_ in self.prev[-2:]] == ["flag", "word"] and re.search(r"[0-9]", s):
+            self.found.append((self.prev[-1][1], [(a, b)]))
+        if "=" in s[:-1]:  # names inside a value: a=b=literal, each with what follows it
+            parts = [(p.start() + a, p.end() + a) for p in re.finditer(r"[^=]+(?:=+$)?", s)]
+            for (c, d), (e, f) in zip(parts, parts[1:]):
+                if re.search(r"[0-9]", self.text[e:f]):
+                    self.constants[self.text[c:d]] = [(e, f)]
+                    self.found.append((self.text[c:d], [(e, f)]))
+
+    def mark(self, s: str) -> None:
+        """Brackets, commas, ends of lines and statements."""
+        if s == "\n":
+            if self.state == "await" or self.state == "plus" or self.depth and self.state == "more":
+                return  # the value may stand on the next line
+            self.flush()
+            self.reset()
+        elif s in "([" and self.state == "await":
+            self.depth += 1
+        elif s == "]":
+            name = next((t[1] for t in reversed(self.prev) if t[0] in ("word", "string")), None)
+            self.inside = name.strip("\"'`") if name else None
+            self.flush()
+            self.prev = [*self.prev[-3:], ("]", s, 0, 0)]
+        elif s in "([":
+            self.flush()
+            self.prev = [*self.prev[-3:], (s, s, 0, 0)]
+        elif s == "," and [k for k, *_ in self.prev[-2:]] == ["(", "string"] and self.state is None:
+            self.prev = [*self.prev[-2:], (",", s, 0, 0)]
+        else:
+            self.flush()
+            self.reset()
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """(name, places of its literals) for each name that literals are assigned to, directly or over constants."""
+    r, at = _Reader(text), 0
+    # up to there no string begins: an earlier quote did not close on that line (backticks: at all), so all later ones are escaped
+    open_until = {'"': 0, "'": 0, "`": 0}
     while m := LEX.search(text, at):
         kind, s, a, b = m.lastgroup, m.group(), m.start(), m.end()
-        assigned = len(prev) > 1 and prev[-1][0] == "op" and prev[-1][1] in ("=", ":", ":=", "=>") and prev[-2][0] in ("word", "string")
-        if s in open_until and a >= open_until[s] and not (s == "'" and prev and prev[-1][0] == "word" and prev[-1][3] == a and not PREFIX.fullmatch(prev[-1][1])):
-            if string := STRING.match(text, a):
+        last = r.prev[-1] if r.prev else None
+        touching = last is not None and last[0] == "word" and last[3] == a
+        if s in open_until and a >= open_until[s] and not (s == "'" and touching and not PREFIX.fullmatch(last[1])):
+            end = text.find(s * 3, a + 3) if s != "`" and text.startswith(s * 3, a) else -1
+            if end >= 0:
+                kind, s, b = "string", text[a : end + 3], end + 3
+            elif string := (TICKED if s == "`" else STRING).match(text, a):
                 kind, s, b = "string", string.group(), string.end()
             else:
-                open_until[s] = text.find("\n", a) % (len(text) + 1)
-        if kind == "word" and (assigned or len(prev) > 1 and prev[-1][0] == "word" and prev[-2][0] == "flag"):
-            s = VALUE.match(text, a).group()
-            b = a + len(s)
+                open_until[s] = text.find("\n", a) % (len(text) + 1) if s != "`" else len(text)
+        if kind == "word" and (r.state == "await" or [k for k, *_ in r.prev[-2:]] == ["flag", "word"]) and (value := VALUE.match(text, a)):
+            s, b = value.group(), value.end()
+            if r.state == "await" and "\n" in text[r.asked : a] and re.match(r"[ \t]*(?:=|:(?!/))", text[b : b + 40]):
+                r.flush()  # the next line is an assignment of its own
+                r.reset()
         at = b
         if kind == "nl":
-            prev = []
+            r.mark(s)
             continue
-        if kind in ("string", "word") and prev:
-            name = None
-            if assigned:
-                name = prev[-2][1].strip("\"'")
-            elif len(prev) > 1 and prev[-1][0] == "word" and prev[-2][0] == "flag":
-                name = prev[-1][1]
-            elif prev[-1][0] == "word" and kind == "word" and len(prev) > 1 and prev[-2][0] == "flag":
-                name = prev[-1][1]
-            if name:
-                if kind == "string":
-                    value = (a + 1, b - 1)
-                elif s in constants:
-                    value = constants[s]
-                else:
-                    value = (a, b)
-                if kind == "string" or s in constants or re.search(r"[0-9]", s):
-                    constants[name] = value
-                    found.append((name, *value))
-        if kind == "word" and "=" in s[:-1]:  # names inside a value: a=b=literal, each with what follows it
-            parts = [(p.start() + a, p.end() + a) for p in re.finditer(r"[^=]+(?:=+$)?", s)]
-            for (c, d), (e, f) in zip(parts, parts[1:]):
-                if re.search(r"[0-9]", text[e:f]):
-                    constants[text[c:d]] = (e, f)
-                    found.append((text[c:d], e, f))
-        prev = [*prev[-2:], (kind, s, a, b)]
-    return found
+        if kind == "op" and s in ASSIGNS:
+            r.assign(s)
+            r.asked = b
+        elif kind == "plus":
+            if r.state == "more":
+                r.state = "plus"
+        elif kind == "string":
+            r.string(s, a, b)
+        elif kind == "word":
+            r.word(s, a, b)
+        elif kind in ("op", "other") and s != "\\" and s not in open_until:
+            r.flush()
+            r.state = None if kind == "op" else r.state
+        if kind == "op" and s not in ASSIGNS:
+            r.prev = []
+        else:
+            r.prev = [*r.prev[-3:], (kind, s, a, b)]
+    r.flush()
+    return r.found
 
 
 def base_spans(text: str, low: bytes) -> list[tuple[int, int, str]]:
@@ -125,9 +233,15 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     if not any(x in low for x in HINTS):
         return base, base
     more = set()
-    for name, a, b in pairs(text):
-        if literal_score(name_weight(name), text[a:b]) >= 1.0 and not any(s <= a and b <= e for s, e, _ in base):
-            more.add((a, b, "name"))
+    starts, most = [s for s, *_ in base], []  # the furthest end of base spans up to each
+    for _, e, _ in base:
+        most.append(max(e, most[-1]) if most else e)
+    for name, parts in pairs(text):
+        if literal_score(name_weight(name), "".join(text[a:b] for a, b in parts)) >= 1.0:
+            for a, b in parts:
+                i = bisect_right(starts, a) - 1
+                if b > a and (i < 0 or most[i] < b):
+                    more.add((a, b, "name"))
     return base, sorted([*base, *more], key=lambda x: (x[0], KINDS[x[2]]))
 
 
@@ -143,7 +257,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     def run(batches):
         for b in common.chunks(batches, "text"):
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in common.readable(b.column(1)).to_pylist():
                 base, every = spans(t or "")
                 n = Counter(k for *_, k in base)
                 rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(told(base).encode()).hexdigest(), told(every)))
@@ -172,7 +286,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     def run(batches):
         for b in common.chunks(batches, text):
             at = b.schema.get_field_index(text)
-            old = b.column(at).to_pylist()
+            old = common.readable(b.column(at)).to_pylist()
             new = [redact_text(t, mark) for t in old]
             changed = [i for i, (x, y) in enumerate(zip(old, new)) if x != y]
             if changed:
