@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching
-from ..streaming import refresh
+from ..sources.state import State
+from ..streaming import crawl, refresh
 from ._register import registry
 from .binding import table
 
@@ -56,3 +57,31 @@ def crawl_bfs(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "a")
     links = p.select("a", F.explode(F.array((F.col("a") * 7 + 3) % 400, (F.col("a") * 5 + 1) % 900)).alias("b"))
     return refresh.frontier(spark.range(1, 2).withColumnRenamed("id", "node"), links)
+
+
+def _address(node):
+    return F.concat(F.when(node % 3 == 0, "https://p.test/author/").otherwise("https://p.test/book-reviews/"), node.cast("string"))
+
+
+LINKS = "SELECT page_id AS a, unnest(list_transform(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1), lambda h: (length(h) * 37 + ord(h[2]) + page_id * 3) % n)) AS b FROM pages, (SELECT count(*) AS n FROM pages)"
+
+
+@query(f"WITH RECURSIVE l AS ({LINKS}), w AS (SELECT 1::BIGINT AS node UNION SELECT l.b FROM w JOIN l ON l.a = w.node WHERE w.node % 13 <> 5 AND w.node % 19 <> 4) SELECT 'https://p.test/' || CASE WHEN node % 3 = 0 THEN 'author/' ELSE 'book-reviews/' END || node AS url, CASE WHEN node % 13 = 5 THEN 404 ELSE 200 END AS code, CASE WHEN node % 13 <> 5 AND node % 17 = 3 THEN 2 ELSE 1 END AS tries FROM w WHERE node % 13 = 5 OR node % 19 <> 4")
+def crawl_pages(spark, sf_dir):
+    """The pages that a crawl reaches over the links of their menus: some are gone, some ask to come again, some
+    fail for good and are left out with what only they lead to."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    n = pages.count()
+    node = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    code = F.when(F.col("page_id").isNull() | (F.col("page_id") % 13 == 5), 404).when(F.col("page_id") % 19 == 4, 500).when((F.col("page_id") % 17 == 3) & (F.col("tries") == 0), 403).otherwise(200)
+
+    def look(rows, seconds):
+        found = rows.select("url", "tries", node.alias("node")).join(pages, F.col("node") == F.col("page_id"), "left").withColumn("code", code)
+        return found.select("url", "code", F.when(F.col("code") == 200, F.col("html")).alias("body"))
+
+    hrefs = F.regexp_extract_all("body", F.lit('<a href="(/[^"]*)"'), F.lit(1))
+    follow = F.transform(hrefs, lambda h: _address((F.char_length(h) * 37 + F.ascii(F.substring(h, 2, 1)) + node * 3) % n))
+    state = State(spark, refresh.shared(spark, "crawl"))
+    seeds = spark.range(1, 2).select(_address(F.col("id")).alias("url"), F.lit(0).alias("ord"))
+    crawl.crawl(state, seeds, look, follow, "/book-reviews/", batch=5000)
+    return state.read("visited", crawl.VISITED)

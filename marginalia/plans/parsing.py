@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import matching
 from ..sources import articles, bookpage, sinks, tables
+from ..sources.state import State
+from ..streaming.refresh import shared
 from ._register import registry
 from .binding import table
 
@@ -185,9 +187,35 @@ def bookpage_reviews() -> str:
     return "array<struct<rating_label: string, rating_value: int, critic: string, critic_slug: string, outlet: string, review_url: string, pull_quote: string>>"
 
 
-@query("SELECT page_id, url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-02' END AS lastmod FROM pages WHERE url NOT LIKE '%&%'")
+FULL = f"""WITH d AS (SELECT doc_id AS k, {WORDS.format(3)} AS t, doc_id % 5 AS stated, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS own FROM documents),
+w AS (SELECT *, stated > own AS wanted, CASE k % 4 WHEN 2 THEN 3 WHEN 3 THEN 0 END AS listed FROM d),
+c AS (SELECT *, CASE WHEN wanted AND t <> '' AND listed >= own THEN listed ELSE own END AS n FROM w)
+SELECT 's' || k AS slug, t AS title, CASE WHEN t = '' OR stated > 0 AND n = 0 THEN 'error' WHEN wanted AND k % 4 = 0 THEN 'partial' ELSE 'ok' END AS status, n::INTEGER AS reviews, CASE WHEN n = 3 THEN 'Full' WHEN n = 1 THEN 'Own' END AS outlet FROM c"""
+
+
+@query(FULL)
+def full_lists(spark, sf_dir):
+    """Pages that state more reviews than they show, with a second fetch of the full list: it may fail, not exist,
+    be longer, or be shorter, and then what the page shows stays."""
+    d, k = table(spark, sf_dir, "documents"), C("doc_id")
+    block = lambda outlet: L(f'<div itemprop="review"><p class="bookmarks_pullquote_reviewer"><span class="review_rating">Rave</span><em>{outlet}</em></p></div>')
+    data = F.to_json(F.struct(L("Book").alias("@type"), _words(C("text"), 3).alias("name"), F.struct((k % 5).alias("reviewCount")).alias("aggregateRating")))
+    html = _said('<script type="application/ld+json">', data, "</script>", F.when(k % 7 != 0, block("Own")).otherwise(""))
+    pages = d.select(_said("s", k.cast("string")).alias("slug"), _said("https://b.test/b/s", k.cast("string"), "/").alias("url"), html.alias("html"))
+
+    def fetch(urls):
+        n = F.regexp_extract("full_url", "^https://b.test/reviews/all/s([0-9]+)/$", 1).cast("long") % 4
+        code = F.when(n == 1, 404).when(n != 0, 200)
+        return urls.withColumn("code", code).withColumn("body", F.when(n == 2, F.concat(*[block("Full")] * 3)).when(n == 3, "<p>none</p>"))
+
+    state = State(spark, shared(spark, "full"))
+    s = bookpage.with_full_lists(pages, fetch, lambda df: state.at(state.write(df)))
+    return s.select("slug", "book.title", "status", F.size("reviews").alias("reviews"), F.get("reviews", L(0))["outlet"].alias("outlet"))
+
+
+@query("SELECT page_id, url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-02' END AS lastmod FROM pages")
 def sitemap_rows(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter("url NOT LIKE '%&%'")
+    p = table(spark, sf_dir, "pages").withColumn("url", F.replace("url", L("&"), L("&amp;")))
     xml = _said("<urlset><url>\n<loc> ", "$url", " </loc>", F.when(C("page_id") % 2 == 0, "<lastmod>2024-01-02</lastmod>").otherwise(""), "</url><url></url></urlset>")
     return tables.sitemap_rows(p.select("page_id", xml.alias("xml")), keep=("page_id",))
 
@@ -211,10 +239,11 @@ def text_rules(spark, sf_dir):
     return table(spark, sf_dir, "part").select(C("p_partkey").alias("k"), articles.path_signal(url).alias("signal"), articles.without_footer(given).alias("description"), link.alias("link"))
 
 
-@query("SELECT doc_id, CASE WHEN p > 0 THEN left(text, 1500 + p - 1) ELSE text END AS cut FROM (SELECT doc_id, text, instr(substr(text, 1501), substr(text, 1601, 6)) AS p FROM documents WHERE length(text) > 1700)")
+@query("SELECT doc_id, CASE WHEN p > 0 THEN left(text, 1500 + p - 1) ELSE text END AS cut FROM (SELECT doc_id, text, coalesce(instr(substr(text, 1501), nullif(substr(text, 1601, 6), '')), 0) AS p FROM documents)")
 def cut_at_marker(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("length(text) > 1700")
-    return d.select("doc_id", articles.cut_at(C("text"), [F.substring("text", 1601, 6)]).alias("cut"))
+    """Texts cut where a later passage of their own is first met behind the 1,500th character; short ones stay."""
+    marker = F.nullif(F.substring("text", 1601, 6), L(""))
+    return table(spark, sf_dir, "documents").select("doc_id", articles.cut_at(C("text"), [marker]).alias("cut"))
 
 
 @query("SELECT c_custkey AS k, 'o' || c_custkey AS outlet, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_name ELSE 'Jo Roe' END AS critic FROM customer")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,15 @@ def sitemaps(index: Column, part: str) -> Column:
     return F.filter(F.regexp_extract_all(index, F.lit("<loc>([^<]+)</loc>"), F.lit(1)), lambda u: F.contains(u, F.lit(part)))
 
 
+#: The references of XML, that of & last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def sitemap_rows(xml: DataFrame, column: str = "xml", keep: Sequence[str] = ()) -> DataFrame:
     """(loc, lastmod) of the pages that sitemaps list, and columns to keep; lastmod may be missing."""
     block = xml.select(*keep, F.explode(F.regexp_extract_all(column, F.lit("(?s)<url>(.*?)</url>"), F.lit(1))).alias("b"))
-    first = lambda tag: F.nullif(F.trim(F.regexp_extract("b", f"<{tag}>([^<]+)</{tag}>", 1)), F.lit(""))
+    plain = lambda c: reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), REFERENCES, c)
+    first = lambda tag: F.nullif(F.trim(plain(F.regexp_extract("b", f"<{tag}>([^<]+)</{tag}>", 1))), F.lit(""))
     return block.select(*keep, first("loc").alias("loc"), first("lastmod").alias("lastmod")).filter("loc IS NOT NULL")
 
 

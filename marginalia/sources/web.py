@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -43,9 +44,9 @@ class Fetcher:
     sleep: Callable[[float], None] = time.sleep
     last: float | None = field(default=None, repr=False)
 
-    def get(self, url: str) -> tuple[int, str]:
+    def get(self, url: str, tries: int | None = None) -> tuple[int, str]:
         problem = ""
-        for attempt in range(1, self.tries + 1):
+        for attempt in range(1, (tries or self.tries) + 1):
             if self.last is not None:
                 self.sleep(max(0.0, self.last + self.delay - self.clock()))
             self.last = self.clock()
@@ -63,23 +64,92 @@ class Fetcher:
         raise RuntimeError(f"{url}: {problem}")
 
 
-def fetched(urls: DataFrame, workers: int = 1, make: Callable[[], Fetcher] = Fetcher, url: str = "url") -> DataFrame:
-    """urls with code, body and error. Each of `workers` partitions has a fetcher of its own, so the pace of
-    requests is workers / delay; a row that fails has an error and stops nothing."""
+def host_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+
+
+def _host(url: str) -> str:
+    return urllib.parse.urlsplit(url).netloc
+
+
+def by_host(urls: list[str]) -> list[int]:
+    """Places of the addresses, the hosts taking turns, so that one host's pause is another's time."""
+    turn: dict[str, int] = {}
+    order = []
+    for i, u in enumerate(urls):
+        host = _host(u)
+        turn[host] = turn.get(host, -1) + 1
+        order.append((turn[host], i))
+    return [i for _, i in sorted(order)]
+
+
+def fetched(urls: DataFrame, workers: int = 1, make: Callable[[], Fetcher] = Fetcher, url: str = "url", tries: int | None = None) -> DataFrame:
+    """urls with code, body and error. All addresses of a host go to one of `workers` partitions, with a fetcher of
+    its own, so that a host is asked at the fetcher's pace however many workers there are; a row that fails has
+    an error and stops nothing."""
     ship(urls.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fetcher = make()
+        fetchers: dict[str, Fetcher] = {}
         for b in batches:
-            rows = []
-            for u in b[url]:
+            rows: list = [None] * len(b)
+            given = b[url].tolist()
+            for i in by_host(given):
+                fetcher = fetchers.setdefault(_host(given[i]), make())
                 try:
-                    rows.append((*fetcher.get(u), None))
+                    rows[i] = (*(fetcher.get(given[i]) if tries is None else fetcher.get(given[i], tries)), None)
                 except RuntimeError as e:
-                    rows.append((None, None, str(e)[:500]))
+                    rows[i] = (None, None, str(e)[:500])
             yield b.assign(code=pd.array([r[0] for r in rows], "Int32"), body=[r[1] for r in rows], error=[r[2] for r in rows])
 
-    return urls.repartition(workers).mapInPandas(run, StructType([*urls.schema.fields, StructField("code", IntegerType()), StructField("body", StringType()), StructField("error", StringType())]))
+    dealt = urls.repartition(workers, host_of(F.col(url)))
+    return dealt.mapInPandas(run, StructType([*urls.schema.fields, StructField("code", IntegerType()), StructField("body", StringType()), StructField("error", StringType())]))
+
+
+@dataclass
+class Looker:
+    """Looks at an address once: (code, body), no code where there is no answer. Waits `delay` seconds between looks,
+    and `patience` more after 403, 429 and no answer."""
+
+    delay: float = 10.0
+    patience: float = 60.0
+    opener: Opener = open_url
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+    free: float | None = field(default=None, repr=False)
+
+    def look(self, url: str, end: float | None = None) -> tuple[int | None, str | None]:
+        if self.free is not None:
+            self.sleep(max(0.0, self.free - self.clock()))
+        if end is not None and self.clock() >= end:
+            return 0, None
+        try:
+            code, body = self.opener(url)
+        except OSError:
+            code, body = None, None
+        self.free = self.clock() + self.delay + (self.patience if code in (None, 403, 429) else 0)
+        return code, body
+
+
+def looked(urls: DataFrame, seconds: float | None = None, workers: int = 1, make: Callable[[], Looker] = Looker) -> DataFrame:
+    """(url, code, body) of rows (url): what a crawl takes as its look. Hosts keep their pace as in fetched(); addresses
+    that the seconds do not reach have code 0."""
+    ship(urls.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookers: dict[str, Looker] = {}
+        end = None
+        for b in batches:
+            given = b["url"].tolist()
+            rows: list = [None] * len(given)
+            for i in by_host(given):
+                looker = lookers.setdefault(_host(given[i]), make())
+                if end is None and seconds is not None:
+                    end = looker.clock() + seconds
+                rows[i] = looker.look(given[i], end)
+            yield pd.DataFrame({"url": given, "code": pd.array([r[0] for r in rows], "Int32"), "body": [r[1] for r in rows]})
+
+    return urls.select("url").repartition(workers, host_of(F.col("url"))).mapInPandas(run, "url string, code int, body string")
 
 
 # --- pages of an interface -----------------------------------------------------------------------
@@ -177,11 +247,14 @@ def next_in_line(queue: DataFrame, most: int, prefer: str = "/book-reviews/") ->
     return queue.orderBy(~F.col("url").startswith(prefer), "place").limit(most)
 
 
-def links_of(page: Column, allow: str, deny: str) -> Column:
-    """The addresses of a page that are to be followed, each once."""
+def links_of(page: Column, allow: str, deny: str, url: Column | None = None) -> Column:
+    """The addresses of a page that are to be followed, each once; with the page's own address, those on its host, in full."""
     from .articles import page_link
 
     found = F.regexp_extract_all(page, F.lit('href="([^"]+)"'), F.lit(1))
+    if url is not None:
+        site = F.regexp_extract(url, "^[a-z]+://[^/]+", 0)
+        found = F.transform(found, lambda h: F.when(h.startswith("/") & ~h.startswith("//"), F.concat(site, h)).when(h.startswith(F.concat(site, F.lit("/"))), h))
     return F.array_distinct(F.filter(F.transform(found, lambda h: page_link(h, allow, deny)), lambda u: u.isNotNull()))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia import cli
 from marginalia.operators import cleanup, matching
 from marginalia.sources import sinks, web
+from marginalia.sources.state import State
 
 
 class Clock:
@@ -112,9 +113,10 @@ def recorded(site):
 def test_crawl_export_stats(spark, tmp_path, capsys):
     db = str(tmp_path / "db")
     cli.crawl(spark, db, listed(spark, "2024-01-01"), make=recorded(SITE))
-    books = {r.slug: r for r in spark.read.parquet(f"{db}/books").collect()}
+    state = State(spark, db)
+    books = {r.slug: r for r in state.read("books", cli.BOOKS).collect()}
     assert {s: (r.status, r.title, r.lastmod) for s, r in books.items()} == {"one": ("ok", "One", "2024-01-01"), "two": ("ok", "Two", "2024-01-01")}
-    assert [(r.book_slug, r.idx, r.rating_value, r.outlet) for r in spark.read.parquet(f"{db}/reviews").collect()] == [("one", 0, 4, "Paper")]
+    assert [(r.book_slug, r.idx, r.rating_value, r.outlet) for r in state.read("reviews", cli.REVIEWS).collect()] == [("one", 0, 4, "Paper")]
     cli.main(["export", "--db", db, "--out", str(tmp_path / "out")], spark)
     assert spark.read.option("header", True).csv(str(tmp_path / "out/before_2021")).count() == 1
     got = {r.metric: r.n for r in cli.stats(spark, db).collect()}
@@ -128,13 +130,14 @@ def test_update_keeps_or_gives_up(spark, tmp_path):
     cli.crawl(spark, db, listed(spark, "2024-01-01"), make=recorded(SITE))
     # a page without a title is an error: the published tables stay as they were
     broken = SITE | {"https://s.test/b/two/": "<p>moved</p>"}
-    before = sorted(map(tuple, spark.read.parquet(f"{db}/books").collect()))
+    read = lambda: sorted(map(str, State(spark, db).read("books", cli.BOOKS).collect()))
+    before = read()
     with pytest.raises(RuntimeError, match="1 rows failed"):
         cli.update(spark, db, listed(spark, "2024-02-02"), make=recorded(broken))
-    assert sorted(map(tuple, spark.read.parquet(f"{db}/books").collect())) == before
+    assert read() == before
     # a cap leaves one row for the next run, with its earlier state
     cli.update(spark, db, listed(spark, "2024-02-02"), make=recorded(SITE), limit=1)
-    assert sorted((r.status, r.lastmod) for r in spark.read.parquet(f"{db}/books").collect()) == [("ok", "2024-01-01"), ("ok", "2024-02-02")]
+    assert sorted((r.status, r.lastmod) for r in State(spark, db).read("books", cli.BOOKS).collect()) == [("ok", "2024-01-01"), ("ok", "2024-02-02")]
 
 
 def test_site_index(spark):
