@@ -66,6 +66,7 @@ def baseline(rated: DataFrame, k: Weights = DEFAULT) -> Baseline:
             if i == k.rounds - 1:
                 books = books.checkpoint()
     res = rated.join(books.select("book", "bb"), "book").join(entities.select("entity", "be"), "entity").select("book", "entity", "signed", "v", (F.col("v") - mu - F.col("be") - F.col("bb")).alias("res"))
+    res = res.checkpoint()  # every later step reads it
     return Baseline(mu, books, entities, res)
 
 
@@ -102,6 +103,7 @@ def recommend(base: Baseline, shelf: DataFrame, books: DataFrame, k: Weights = D
     pull = open_.join(near, "entity").groupBy("book").agg(F.sum(F.col("sim") * F.col("res")).alias("s"), F.sum("sim").alias("w"))
     votes = open_.join(taste(base, mine).select("entity", "weight"), "entity").groupBy("book").agg(F.sum(F.col("weight") * (F.col("v") - 2.5) / 1.5).alias("c"))
     votes = votes.join(base.books.select("book", "nb"), "book").select("book", (F.col("c") / F.pow(F.col("nb") + 1, F.lit(0.15))).alias("vote"))
+    votes = votes.checkpoint()
     top = votes.agg(F.max(F.abs("vote"))).first()[0] or 0.0
     shelved = books.join(shelf, "book")
     per_genre = shelved.select(F.explode("genres").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("gn"))

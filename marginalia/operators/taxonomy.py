@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,13 +87,38 @@ DULL_SUBJECTS = ["Books and Literature", "Reviews", "BOOK REVIEWS", "TERMS NOT A
 PATH_FICTION, PATH_NONFICTION = "/(fiction|literature/(?:contemporary|modern|classics)|poetry)", "/(history|politics|science|philosophy|religion|arts|culture|economics|society|biography|memoir|world)"
 
 
+def needles(pattern: str) -> list[str]:
+    """Literals of which one stands in whatever a rule's pattern matches: of each alternative the longest run of plain
+    characters that nothing makes optional."""
+    flat, depth, parts = "", 0, [""]
+    for x in re.split(r"(\\.|\(\?[=!:][^)]*\)|[()|])", pattern):
+        if x == "|" and not depth:
+            parts.append("")
+        elif x in ("(", ")"):
+            depth += 1 if x == "(" else -1
+            parts[-1] += "\0"  # what stands in a group ends a run
+        elif not depth:
+            parts[-1] += "\0" if x.startswith(("\\", "(?")) else x
+    runs = [max(re.split(r"\0|.[?*+]|[\[\]{}.^$]", p), key=len) for p in parts]
+    if not all(runs):
+        raise ValueError(f"no literal in a part of {pattern}")
+    return [r for r in dict.fromkeys(runs) if not any(o != r and o in r for o in runs)]
+
+
+def hits_of(text: Column, pattern: str, most: int = 3) -> Column:
+    """How often the pattern matches, `most` at most. It is only tried on texts with one of its literals, which are
+    found far faster than a pattern fails."""
+    held = reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles(pattern)])
+    return F.when(held, F.least(F.regexp_count(text, F.lit(pattern)), F.lit(most))).otherwise(0)
+
+
 def scores(signals: DataFrame, key: str = "book", text: str = "signal", ordinal: str | None = None, rules=tuple(RULES)) -> DataFrame:
     """(key, category, first, tenths): for each signal that matches, 1 and a tenth for each hit up to three.
     first: where the category was first scored, by the signal's ordinal and then the rule; of equal scores
     the earlier counts more. Without an ordinal signals count as one.
 
     Scores are kept in tenths as whole numbers, so their order does not depend on summation."""
-    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("category"), F.least(F.size(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))), F.lit(3)).alias("hits")) for i, (c, p) in enumerate(rules)])
+    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("category"), hits_of(F.col(text), p).alias("hits")) for i, (c, p) in enumerate(rules)])
     hits = signals.select(key, (F.col(ordinal) if ordinal else F.lit(0)).alias("_at"), F.inline(F.filter(table, lambda r: r.hits > 0)))
     return hits.groupBy(key, "category").agg(F.min(F.struct(F.col("_at").alias("signal"), F.col("ord").alias("rule"))).alias("first"), F.sum(10 + F.col("hits")).alias("tenths"))
 
@@ -184,18 +212,36 @@ def from_trade(genre: Column) -> tuple[Column, Column]:
     return _rows(g, (non, "Nonfiction", 3), (~non & g.contains("fiction"), "Fiction", 3))
 
 
+def _place(source: int, row: Column, item: Column) -> Column:
+    """Where something was said: one type for all sources, in the order in which they are read."""
+    return F.struct(F.lit(source).alias("source"), row.cast("long").alias("row"), item.cast("int").alias("item"))
+
+
 def gathered(sources: list[tuple[DataFrame, tuple[Column, Column]]], key: str = "book", ordinal: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(signals: key, signal, ord; votes: key, form, weight, ord) of sources in turn, each with its rows
-    (key, ord) and what they say."""
+    (key, ord: a whole number) and what they say. Rows without a key say nothing."""
     said = voted = None
     for i, (df, (signals, ballot)) in enumerate(sources):
-        at = F.struct(F.lit(i).alias("source"), F.col(ordinal).alias("row"))
-        s = df.select(key, at.alias("_at"), F.posexplode(signals).alias("_i", "signal")).select(key, "signal", F.struct("_at", "_i").alias("ord"))
-        v = df.select(key, at.alias("_at"), F.posexplode(ballot).alias("_i", "v")).select(key, "v.form", "v.weight", F.struct("_at", "_i").alias("ord"))
+        own = df.filter(F.col(key).isNotNull())
+        place = _place(i, F.col("_row"), F.col("_i")).alias("ord")
+        s = own.select(key, F.col(ordinal).alias("_row"), F.posexplode(signals).alias("_i", "signal")).select(key, "signal", place)
+        v = own.select(key, F.col(ordinal).alias("_row"), F.posexplode(ballot).alias("_i", "v")).select(key, "v.form", "v.weight", place)
         said, voted = (s, v) if said is None else (said.unionByName(s), voted.unionByName(v))
     return said, voted
 
 
+def classified(sources: list[tuple[DataFrame, tuple[Column, Column]]], titles: DataFrame, key: str = "book", title: str = "title", ordinal: str = "ord", top: int = 3) -> DataFrame:
+    """(key, form, categories) of books (key, title; a row for each) from all that their sources say: scores of
+    signals, votes of sources and then of the title, the form with most weight, categories that it rules out taken
+    away, a consistent set in the taxonomy's order. What was said first decides between equals."""
+    said, voted = gathered(sources, key, ordinal)
+    best = strongest(scores(said, key, "signal", "ord"), key, top)
+    form = form_of(voted.unionByName(title_votes(titles, key, title, source=len(sources))), key).select(key, "form")
+    both = titles.select(key, title).join(best, key, "left").join(form, key, "left")
+    named = title_categories(F.coalesce("categories", F.array().cast("array<string>")), F.col(title))
+    return both.select(key, "form", finish(pruned(named, F.col("form")), F.col("form")).alias("categories"))
+
+
 def form_of(votes: DataFrame, key: str = "book") -> DataFrame:
     """(key, form, weight): the form with most weight; of equals the one voted for first (ord)."""
     total = votes.groupBy(key, "form").agg(F.sum("weight").alias("weight"), F.min("ord").alias("_first"))
@@ -203,9 +249,9 @@ def form_of(votes: DataFrame, key: str = "book") -> DataFrame:
     return total.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(key, "form", "weight")
 
 
-def title_votes(titles: DataFrame, key: str = "book", title: str = "title", weight: int = 4) -> DataFrame:
-    """(key, form, weight, ord): the forms that words of a title vote for."""
-    rows = F.array(*[F.when(F.lower(title).rlike(p), F.struct(F.lit(f).alias("form"), F.lit(weight).alias("weight"), F.lit(i).alias("ord"))) for i, (p, _, f) in enumerate(TITLE_RULES)])
+def title_votes(titles: DataFrame, key: str = "book", title: str = "title", weight: int = 4, source: int = 0) -> DataFrame:
+    """(key, form, weight, ord): the forms that words of a title vote for, as said by the source of that number."""
+    rows = F.array(*[F.when(F.lower(title).rlike(p), F.struct(F.lit(f).alias("form"), F.lit(weight).alias("weight"), _place(source, F.lit(0), F.lit(i)).alias("ord"))) for i, (p, _, f) in enumerate(TITLE_RULES)])
     return titles.select(key, F.inline(F.filter(rows, lambda r: r.isNotNull())))
 
 

@@ -75,15 +75,15 @@ def archive_kept(spark, sf_dir):
     return e.select("event_id", articles.is_review(kind, desk, words).alias("kept"))
 
 
-@query("""WITH k AS (SELECT p_partkey AS k, p_brand AS b, p_partkey % 6 AS m FROM part) SELECT k, CASE m WHEN 0 THEN 'Salt ' || b WHEN 1 THEN 'The Salt Road ' || replace(b, 'Brand#', '') WHEN 2 THEN 'Salt ' || b WHEN 3 THEN 'Salt Roads ' || b WHEN 4 THEN 'Old Salt ' || b END AS title,
- CASE m WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bea Roe' WHEN 2 THEN 'Cy Orr' WHEN 3 THEN 'Dee Doe' WHEN 4 THEN 'Eve Fox' END AS author, CASE m WHEN 0 THEN 'R. One' WHEN 4 THEN 'R. Two' ELSE '' END AS critic FROM k""")
+@query("""WITH k AS (SELECT p_partkey AS k, p_brand AS b, p_partkey % 8 AS m FROM part) SELECT k, CASE m WHEN 0 THEN 'Salt ' || b WHEN 1 THEN 'The Salt Road ' || replace(b, 'Brand#', '') WHEN 2 THEN 'Salt ' || b WHEN 3 THEN 'Salt Roads ' || b WHEN 4 THEN 'Old Salt ' || b WHEN 6 THEN 'Love Now ' || b END AS title,
+ CASE m WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bea Roe' WHEN 2 THEN 'Cy Orr' WHEN 3 THEN 'Dee Doe' WHEN 4 THEN 'Eve Fox' WHEN 6 THEN 'Gabriel García Márquez' END AS author, CASE m WHEN 0 THEN 'R. One' WHEN 4 THEN 'R. Two' WHEN 6 THEN 'Zoë Lee' ELSE '' END AS critic FROM k""")
 def citations(spark, sf_dir):
     """(title, author, critic) of an archive's pieces, by keyword, by capitals, by old abstracts."""
-    m, b = C("p_partkey") % 6, C("p_brand")
+    m, b = C("p_partkey") % 8, C("p_brand")
     word = lambda n, v: F.struct(L(n).alias("name"), v.alias("value"))
     none = F.array().cast("array<struct<name: string, value: string>>")
     words = F.when(m == 0, F.array(word("creative_works", _said("Salt ", b, " (Book)")), word("persons", L("Lee, Ann")))).when(m == 2, F.array(word("creative_works", _said("Salt ", b, " (book)")))).otherwise(none)
-    abstract = F.when(m == 1, _said("SALT ROAD ", F.replace(b, L("Brand#"), L("")), ", THE. By Bea Roe. Illustrated. 300 pp")).when(m == 3, _said("Doe, Dee: Salt Roads ", b, " revd")).when(m == 4, _said("rev of book Old Salt ", b, ", by Eve Fox; revd by R. Two; photo")).when(m == 5, "Nothing of the kind")
+    abstract = F.when(m == 1, _said("SALT ROAD ", F.replace(b, L("Brand#"), L("")), ", THE. By Bea Roe. Illustrated. 300 pp")).when(m == 3, _said("Doe, Dee: Salt Roads ", b, " revd")).when(m == 4, _said("rev of book Old Salt ", b, ", by Eve Fox; revd by R. Two; photo")).when(m == 6, _said("García Márquez, Gabriel: Love Now ", b, " revd by Zoë Lee; photo")).when(m >= 5, "Nothing of the kind")
     lead = F.when(m == 2, "SALT. By Cy Orr 310 pp. Mill")
     byline = F.when(m == 0, "By R. One")
     c = articles.citation(words, abstract, lead, byline)

@@ -232,7 +232,7 @@ _trans = "trim(original) <> '' AND NOT contains(lower(original), 'english')"
 SAID_SQL = f"WITH p AS (SELECT p_partkey AS book, {_said_sql} FROM part), q AS (SELECT *, [subject, 'Salt'] AS subjects, list_filter([subject, 'Salt'], lambda x: x NOT IN ('Books and Literature', 'Reviews', 'BOOK REVIEWS', 'TERMS NOT AVAILABLE')) AS told, {_own} AS own, {_path} AS path, replace(hns, '-', ' ') AS h FROM p)"
 
 
-def _said(spark, sf_dir):
+def _sources(spark, sf_dir):
     pick = lambda i, v: F.get(F.array(*map(F.lit, v)), (F.col("p_partkey") * (i + 1) % len(v)).cast("int"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.lit(0).alias("ord"), *[pick(i, v).alias(n) for i, (n, v) in enumerate(SAID.items())])
     c, subjects = F.col, F.array("subject", F.lit("Salt"))
@@ -240,7 +240,14 @@ def _said(spark, sf_dir):
         taxonomy.from_grades(c("grade_genre"), c("original")), taxonomy.from_tags(c("tags")), taxonomy.from_abstract(subjects, c("abstract")), taxonomy.from_subjects(subjects), taxonomy.from_path(c("url"), articles.path_signal(c("url"))),
         taxonomy.from_sections(c("sections")), taxonomy.from_historical(c("hns")), taxonomy.from_trade(c("trade")),
     ]
-    return taxonomy.gathered([(p, s) for s in says])
+    return [(p, s) for s in says]
+
+
+def _said(spark, sf_dir):
+    return taxonomy.gathered(_sources(spark, sf_dir))
+
+
+SAYS_SQL = f"""u AS (SELECT book, unnest([lower(grade_genre), CASE WHEN {_trans} THEN 'translated' END, array_to_string(own, ' '), lower(array_to_string(told, ' ')), lower(array_to_string(subjects, ' ')), path, sections, CASE WHEN contains(h, 'non fiction') OR contains(h, 'nonfiction') THEN h ELSE h || ' historical fiction' END, lower(nullif(trade, ''))]) AS signal, unnest(range(9)) AS pos FROM q), s AS (SELECT * FROM u WHERE signal IS NOT NULL)"""
 
 
 @query(f"{SAID_SQL}, u AS (SELECT book, unnest([lower(grade_genre), CASE WHEN {_trans} THEN 'translated' END, array_to_string(own, ' '), lower(array_to_string(told, ' ')), lower(array_to_string(subjects, ' ')), path, sections, CASE WHEN contains(h, 'non fiction') OR contains(h, 'nonfiction') THEN h ELSE h || ' historical fiction' END, lower(nullif(trade, ''))]) AS signal, unnest(range(9)) AS i FROM q) SELECT book, string_agg(signal, ' | ' ORDER BY i) AS signals FROM u WHERE signal IS NOT NULL GROUP BY book")
@@ -270,6 +277,21 @@ def source_forms(spark, sf_dir):
     return taxonomy.form_of(_said(spark, sf_dir)[1])
 
 
+TITLE_RULE_SQL = "r(i, p, c, f) AS (VALUES (0, '\\b(a )?memoirs?\\b', 'Biography & Memoir', 'Nonfiction'), (1, '\\b(a )?biography\\b|\\bthe life (and|of)\\b', 'Biography & Memoir', 'Nonfiction'), (2, '\\bhistory of\\b', 'History', 'Nonfiction'), (3, '\\b(collected|selected|new) poems\\b|\\bpoems\\b', 'Poetry', 'Poetry'), (4, '\\ba novel\\b', NULL, 'Fiction'), (5, '\\b(and other )?stories\\b', 'Short Stories', 'Fiction'), (6, '\\b(cookbook|recipes|cooking|kitchen|cuisine)\\b', 'Food & Cooking', NULL))"
+VOTED_SQL = "v AS (" + " UNION ALL ".join(f"SELECT book, '{f}' AS form, {w} AS weight, {i} AS i FROM q WHERE {c}" for i, (c, f, w) in enumerate(BALLOT)) + " UNION ALL SELECT book, f, 4, 100 + i FROM n JOIN r ON f IS NOT NULL AND regexp_matches(t, p))"
+
+
+@query(
+    f"{SAID_SQL}, n AS (SELECT p_partkey AS book, lower({_title}) AS t FROM part), {SAYS_SQL}, {RULE_SQL}, {HITS_SQL}, g AS (SELECT book, category, min((pos, ord)) AS f, CAST(sum(10 + hits) AS BIGINT) AS tenths FROM h WHERE hits > 0 GROUP BY book, category), {BEST_SQL}, {TITLE_RULE_SQL}, {VOTED_SQL}, "
+    f"w AS (SELECT book, form, sum(weight) AS weight, min(i) AS i FROM v GROUP BY book, form), o AS (SELECT book, arg_min(form, (-weight, i)) AS hint FROM w GROUP BY book), e AS (SELECT book, category FROM y UNION SELECT book, c FROM n JOIN r ON c IS NOT NULL AND regexp_matches(t, p)), a AS (SELECT book, list(category) AS c FROM e GROUP BY book), "
+    f"p0 AS (SELECT n.book, hint, coalesce(c, []) AS c FROM n LEFT JOIN a USING (book) LEFT JOIN o USING (book)), p1 AS (SELECT book, hint, {PRUNED_SQL} AS c FROM p0), " + finish_sql("p1")
+)
+def taxonomy_chain(spark, sf_dir):
+    """Books from what eight sources and their titles say of them to consistent sets of categories."""
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book"), F.get(F.array(*map(F.lit, TITLES)), (F.col("p_partkey") % 8).cast("int")).alias("title"))
+    return taxonomy.classified(_sources(spark, sf_dir), t).select("book", F.array_join("categories", "; ").alias("categories"))
+
+
 @query("SELECT event_id, event_type, length(props) AS size, json_valid(props) AS fine FROM events")
 def json_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.length("props").cast("long").alias("size"), F.try_parse_json("props").isNotNull().alias("fine"))

@@ -319,14 +319,14 @@ def author_cut(author: Column, src: Column, body: Column) -> Column:
 
 #: How old abstracts name a book: pattern, group of the title, group of the author.
 CITATIONS = (
-    (r"^([A-Z][\w.' -]+?, [A-Z][\w.' -]+?): (.+?) revd\b", 2, 1),
-    (r"^(.+?) \(Book\): Book .+?, by ([^,;]+?)(?:,|;| revd)", 1, 2),
-    (r"^(.+?)'s book '([^']+)'", 2, 1),
-    (r"[Rr]ev of (?:[A-Z][\w.' -]+? )?book (.+?), by ([^,;(]+)", 1, 2),
-    (r"\bbook (.+?), by ([^,;(]+?),? revd", 1, 2),
-    (r"^([A-Z][\w.' -]+?) book (.+?),? revd", 2, 1),
+    (r"(?U)^([A-Z][\w.' -]+?, [A-Z][\w.' -]+?): (.+?) revd\b", 2, 1),
+    (r"(?U)^(.+?) \(Book\): Book .+?, by ([^,;]+?)(?:,|;| revd)", 1, 2),
+    (r"(?U)^(.+?)'s book '([^']+)'", 2, 1),
+    (r"(?U)[Rr]ev of (?:[A-Z][\w.' -]+? )?book (.+?), by ([^,;(]+)", 1, 2),
+    (r"(?U)\bbook (.+?), by ([^,;(]+?),? revd", 1, 2),
+    (r"(?U)^([A-Z][\w.' -]+?) book (.+?),? revd", 2, 1),
 )
-SHOUTED = r"^\s*([A-Z0-9][A-Z0-9 ,'’:;!?&\-\.]{2,140}?)\.?\s+(?:Edited |Translated )?[Bb]y ([A-Z][^.(\d]{2,60}?)[.,]?\s+(?:\(|\d+\s*pp|Illustrated|Translated|Edited|With)"
+SHOUTED = r"(?U)^\s*([A-Z0-9][A-Z0-9 ,'’:;!?&\-\.]{2,140}?)\.?\s+(?:Edited |Translated )?[Bb]y ([A-Z][^.(\d]{2,60}?)[.,]?\s+(?:\(|\d+\s*pp|Illustrated|Translated|Edited|With)"
 
 
 def is_review(kind: Column, desk: Column, keywords: Column) -> Column:
@@ -355,10 +355,10 @@ def citation(keywords: Column, abstract: Column, lead: Column, byline: Column) -
     names = F.split(F.get(people, F.lit(0)), ", ")
     person = F.when(F.size(people) > 0, F.concat_ws(" ", F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), F.slice(names, 1, 1)))
     author = F.coalesce(
-        F.trim(group(said, SHOUTED, 2)), blank_to_null(recased(last_first)), F.trim(group(lead, r"By ([A-Z][^\d]{2,60}?)\s*\d+\s*pp")),
-        F.trim(group(abstract, r"reviews? (?:book|novel|collection|memoir)?.*? by ([A-Z][\w.' -]+?)(?:;|\(|,|$)")), title_case(person),
+        F.trim(group(said, SHOUTED, 2)), blank_to_null(recased(last_first)), F.trim(group(lead, r"(?U)By ([A-Z][^\d]{2,60}?)\s*\d+\s*pp")),
+        F.trim(group(abstract, r"(?U)reviews? (?:book|novel|collection|memoir)?.*? by ([A-Z][\w.' -]+?)(?:;|\(|,|$)")), title_case(person),
     )
-    critic = F.coalesce(blank_to_null(byline), group(said, r"revd by ([A-Z][\w.' -]+?)(?:;|,|\(|$)"), F.lit(""))
+    critic = F.coalesce(blank_to_null(byline), group(said, r"(?U)revd by ([A-Z][\w.' -]+?)(?:;|,|\(|$)"), F.lit(""))
     return F.struct(article_first(recased(title)).alias("title"), author.alias("author"), unescape(F.regexp_replace(critic, "^By ", "")).alias("critic"))
 
 
