@@ -7,10 +7,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
+from . import ordering
 from .dedup import keep_by, republished
 
 #: Sources whose columns and bio lines name reviewers' own books.
@@ -208,9 +208,10 @@ def truthy_mean(v: str = "v") -> Column:
 def joined_text(df: DataFrame, key: str, c: str, ordinal: str, most: int = 3000) -> DataFrame:
     """(key, c): the texts of each key in order, up to `most` characters in all.
 
-    Only rows that begin within the bound go into a list, so a key with very many rows is not gathered."""
-    before = F.sum(F.length(c) + 1).over(W.partitionBy(key).orderBy(ordinal).rowsBetween(W.unboundedPreceding, -1))
-    head = df.select(key, ordinal, c, F.coalesce(before, F.lit(0)).alias("_at")).filter(F.col("_at") < most)
+    Where a text begins is a running sum of lengths, so a key with very many rows lies in many tasks; only rows
+    that begin within the bound, or right behind it, go into a list."""
+    at = ordering.running(df.select(key, ordinal, c, (F.length(c) + 1).alias("_n")), [key], [F.col(ordinal), F.col(c)], {"_to": "_n"})
+    head = at.select(key, c, (F.col("_to") - F.col("_n")).alias("_at")).filter(F.col("_at") <= most)
     rows = F.array_sort(F.collect_list(F.struct("_at", c)))
     return head.groupBy(key).agg(F.substring(F.array_join(F.transform(rows, lambda r: r[c]), " "), 1, most).alias(c))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cleanup, dedup, explorer, matching, models, tallies
+from ..operators import cleanup, dedup, explorer, matching, models, ordering, tallies
+from ..streaming.refresh import shared
 from ._register import registry
 from .binding import BOOKS, ORDER_SQL, REVIEWS, books, order, reviews, table
 
@@ -257,6 +258,14 @@ def due_rows(spark, sf_dir):
     return matching.due(rows, newest=True, most=900).select("slug", "lastmod")
 
 
+@query(f"WITH {REVIEWS}, x AS (SELECT book, date, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM r) SELECT book, date, place FROM x WHERE place > 4000 AND place <= 4050")
+def deep_page(spark, sf_dir):
+    """A page far down the reviews, of whose index one or two ranges are read."""
+    rows = reviews(spark, sf_dir)
+    index = ordering.RankIndex.write(rows, order(), shared(spark, "ranks"), 32)
+    return index.page(4000, 50).select("book", "date", "place")
+
+
 @query(f"WITH {REVIEWS}, {BOOKS}, t AS (SELECT book, count(*) AS n FROM r GROUP BY book), x AS (SELECT title, publisher, coalesce(n, 0) AS n, b.book, row_number() OVER (ORDER BY coalesce(n, 0) DESC, title DESC, b.book) AS place FROM b LEFT JOIN t ON b.book = t.book) SELECT title, publisher, n, book, place FROM x WHERE place > 100 AND place <= 150")
 def books_page(spark, sf_dir):
     """Third page of fifty books, by reviews and title."""

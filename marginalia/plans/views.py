@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dedup, tallies
+from ..operators import dedup, explorer, tallies
 from ._register import registry
 from .binding import BOOKS, ORDER_SQL, REVIEWS, books, order, reviews, table
 
@@ -201,3 +201,25 @@ def three_raves(spark, sf_dir):
 def ordered_authors(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"), F.count(F.lit(1)).alias("n"))
     return c.select("conv_id", F.array_join(F.col("x.role"), "; ").alias("roles"), "n")
+
+
+HOME_SQL = f"""WITH {REVIEWS}, t AS (SELECT book, count(*) AS n, count(v) AS c, coalesce(sum(v), 0) AS total, coalesce(sum(v * v), 0) AS squares FROM r GROUP BY book),
+c AS (SELECT p_partkey AS book, 'b' || p_partkey AS slug, 2001 + p_size % 10 AS year, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS lastmod, coalesce(n, 0) AS n, coalesce(c, 0) AS c,
+  CASE WHEN c > 0 THEN (total + 32.7) / (c + 10) END AS adj, CASE WHEN coalesce(c, 0) < 2 THEN 0 ELSE round(sqrt(greatest((squares * c - total * total) / (c * c)::DOUBLE, 0)), 9) END AS spread FROM part LEFT JOIN t ON t.book = p_partkey),
+pool AS (SELECT * FROM c WHERE c >= 8 AND year = CASE WHEN (SELECT count(*) FROM c WHERE year = 2011 AND c >= 8) < 5 THEN 2010 ELSE 2011 END),
+x AS (SELECT 'recent' AS list, 8 AS most, row_number() OVER (ORDER BY lastmod DESC, n DESC, book) AS place, * FROM c WHERE lastmod <> '' AND n > 0
+  UNION ALL SELECT 'acclaimed', 5, row_number() OVER (ORDER BY round(adj, 9) DESC, n DESC, book), * FROM pool UNION ALL SELECT 'divisive', 5, row_number() OVER (ORDER BY spread DESC, n DESC, book), * FROM pool UNION ALL SELECT 'reviewed', 5, row_number() OVER (ORDER BY n DESC, book), * FROM pool)
+SELECT list, place::INTEGER AS place, slug, n, round(adj, 2) AS adj FROM x WHERE place <= most"""
+
+
+def _home(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    day = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))
+    b = p.select(k.alias("i"), F.concat(F.lit("b"), k.cast("string")).alias("slug"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (2001 + F.col("p_size") % 10).cast("string").alias("date"), F.lit(None).cast("string").alias("overall"), day.alias("lastmod"), F.lit("").alias("cover"))
+    return b, reviews(spark, sf_dir).select("book", "v", F.col("critic").cast("string").alias("critic"), F.col("outlet").cast("string").alias("outlet"))
+
+
+@query(HOME_SQL)
+def home_page(spark, sf_dir):
+    """The lists of the page that comes first, in a year too young to have its own."""
+    return explorer.home_lists(*_home(spark, sf_dir), 2011).select("list", "place", "slug", "n", "adj")
