@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import matching
+from ..sources import enrich
 from ..sources.state import State
 from ..streaming import crawl, refresh
 from ._register import registry
@@ -85,3 +88,24 @@ def crawl_pages(spark, sf_dir):
     seeds = spark.range(1, 2).select(_address(F.col("id")).alias("url"), F.lit(0).alias("ord"))
     crawl.crawl(state, seeds, look, follow, "/book-reviews/", batch=5000)
     return state.read("visited", crawl.VISITED)
+
+
+@query("SELECT 'k' || p_partkey AS book_key, p_partkey % 2 = 1 AS matched, CASE WHEN p_partkey % 2 = 1 THEN 2 * p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END END AS hc_id, CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 = 0 THEN 'of Title ' || p_partkey END AS description FROM part")
+def catalogue_lookups(spark, sf_dir):
+    """Books matched to a catalogue's answers, forty titles to a request, logged batch by batch. Answers are made
+    where they are asked for: a bare book for each title, and one with a description for every third."""
+    k = F.col("p_partkey")
+    books = table(spark, sf_dir, "part").select(F.concat(F.lit("k"), k.cast("string")).alias("book_key"), F.concat(F.lit("Title "), k.cast("string")).alias("title"), F.when(k % 2 == 1, "Ann Lee").otherwise("Bea Roe").alias("author"))
+
+    def answer(request):
+        out = []
+        for t in json.loads(request.data)["variables"]["t"]:
+            n = int(t.split()[-1])
+            for i, text in [(2 * n, None), *([(2 * n + 1, f"of {t}")] if n % 3 == 0 else [])]:
+                out.append({"id": i, "slug": f"s{i}", "title": t, "description": text, "contributions": [{"author": {"name": "Ann Lee"}}]})
+        return json.dumps({"data": {"books": out}})
+
+    state = State(spark, refresh.shared(spark, "lookups"))
+    keep = lambda df: state.at(state.write(df))
+    ask = lambda rows: enrich.from_catalogue(rows, lambda: enrich.Asker(delay=0, opener=answer), keep, 8)
+    return enrich.look_up(state, "catalogue", books, ask, enrich.CATALOGUE_ROWS, batch=20000).select("book_key", "matched", "hc_id", "description")

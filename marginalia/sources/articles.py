@@ -176,10 +176,15 @@ def path_signal(url: Column) -> Column:
     return blank_to_null(F.replace(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), " "), F.lit("-"), F.lit(" ")))
 
 
+#: Fixed value: how the footer of a library's description begins.
+FOOTER = r"\n\s*(?:-{3,}|\*{3,}|\(\[source\]|Source:|\[1\])"
+
+
 def without_footer(c: Column, least: int = 40) -> Column:
-    """A description without source footers and bracketed links; missing if it is short."""
-    s = F.regexp_replace(F.get(F.split(c, r"\n?-{4,}|\(\[source\]"), F.lit(0)), r"\[([^\]]*)\](?:\([^)]*\)|\[\d+\])", "$1")
-    return F.when(F.length(F.trim(s)) > least, F.trim(s))
+    """A description up to its footer, links as their text; missing where no more than `least` characters are left."""
+    body = F.regexp_replace(F.get(F.split(c, FOOTER), F.lit(0)), r"^\s+|\s+$", "")
+    s = F.regexp_replace(body, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return F.when(F.length(s) > least, s)
 
 
 # --- titles and authors in a slug ---------------------------------------------------------------

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..shipping import ship
@@ -185,21 +185,98 @@ class _PagedReader(DataSourceReader):
         return [_Page(i) for i in range(self.first, self.last + 1)]
 
     def read(self, partition):
-        address = self.template.format(page=partition.value)
-        try:
-            code, body = open_url(address)
-        except urllib.error.URLError as e:  # a recorded page that is not there
-            if isinstance(e.reason, FileNotFoundError) or "No such file" in str(e.reason):
-                return
-            raise
-        if code in (400, 404):
-            return
-        if code != 200:
-            raise RuntimeError(f"{address}: status {code}")
+        body = page_body(self.template.format(page=partition.value))
+        if self.delay:
+            time.sleep(self.delay)
+        if body is not None:
+            yield partition.value, body
+
+
+def page_body(address: str) -> str | None:
+    """A page; missing where there is none (400, 404, an empty list, a recorded page that is not there)."""
+    try:
+        code, body = open_url(address)
+    except urllib.error.URLError as e:
+        if isinstance(e.reason, FileNotFoundError) or "No such file" in str(e.reason):
+            return None
+        raise
+    if code in (400, 404):
+        return None
+    if code != 200:
+        raise RuntimeError(f"{address}: status {code}")
+    return None if body.strip() in ("", "[]") else body
+
+
+class PageStream(DataSource):
+    """spark.readStream.format("page_stream"): rows (page, body) of an interface that does not say how many pages it has.
+
+    Options: template, first, delay, and most: pages of a batch (all there are, if missing). The offset is the number
+    of the last page read, so that a query that is started again under its checkpoint reads no page twice."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "page_stream"
+
+    def schema(self) -> str:
+        return "page int, body string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _PageStreamReader(self.options)
+
+
+class _PageStreamReader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.template, self.first, self.most, self.delay = options["template"], int(options.get("first", 1)), int(options.get("most", 0)), float(options.get("delay", 0))
+        self.known = self.first - 1
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"page": self.first - 1}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """The last page there is, found by steps that double and then by halving: the first page that is missing
+        ends the interface. Bodies are read by the tasks."""
+        there = lambda page: page_body(self.template.format(page=page)) is not None
+        low, step = self.known, 1
+        while there(low + step):
+            low, step = low + step, step * 2
+            if self.most and low - self.known >= self.most:
+                break
+        high = low + step  # missing, unless the batch is full
+        while high - low > 1 and not (self.most and low - self.known >= self.most):
+            mid = (low + high) // 2
+            low, high = (mid, high) if there(mid) else (low, mid)
+        return {"page": min(low, self.known + self.most) if self.most else low}
+
+    def partitions(self, start: dict, end: dict):
+        self.known = max(self.known, end["page"])
+        return [_Page(i) for i in range(start["page"] + 1, end["page"] + 1)]
+
+    def read(self, partition):
+        body = page_body(self.template.format(page=partition.value))
+        if body is None:
+            raise RuntimeError(f"page {partition.value} has gone")
         if self.delay:
             time.sleep(self.delay)
         yield partition.value, body
 
+    def commit(self, end: dict) -> None:
+        self.known = max(self.known, end["page"])
+
+
+def stream_pages(spark, template: str, first: int = 1, most: int = 0) -> DataFrame:
+    """A stream of pages up to the first one that is missing; see PageStream."""
+    ship(spark)
+    spark.dataSource.register(PageStream)
+    return spark.readStream.format("page_stream").option("template", template).option("first", first).option("most", most).load()
+
+
+def term_names(pages: DataFrame, body: str = "body") -> DataFrame:
+    """(id, name) of a taxonomy's pages; of a term that comes again the last name."""
+    from ..operators.dedup import keep_by
+
+    terms = pages.select("page", F.posexplode(F.from_json(F.col(body), "array<struct<id: long, name: string, slug: string>>")).alias("_i", "t"))
+    return keep_by(terms.select("page", "_i", "t.id", "t.name"), ["id"], [F.desc("page"), F.desc("_i")]).select("id", "name")
+
 
 def read_pages(spark, template: str, last: int, first: int = 1) -> DataFrame:
     ship(spark)
