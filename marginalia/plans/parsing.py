@@ -252,3 +252,16 @@ def shown_names(spark, sf_dir):
     given = F.when(k % 3 == 0, _said("Reviewed by ", "$c_name")).when(k % 3 == 1, _said("“", "$c_name", "”")).otherwise("by J­o\\ Roe")
     outlet = _said("The o", k.cast("string"), " (UK)")
     return table(spark, sf_dir, "customer").select(k.alias("k"), keys.shown_outlet_key(outlet).alias("outlet"), text.shown_critic(given).alias("critic"))
+
+
+@query("SELECT s_suppkey AS k, 'Salt & ' || s_nationkey AS title, 'Ann ' || s_nationkey AS author, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'well made' END AS standfirst, CASE WHEN s_suppkey % 6 > 0 THEN CAST(s_suppkey % 6 AS INTEGER) END AS stars, CASE s_suppkey % 6 WHEN 5 THEN 4 WHEN 0 THEN NULL ELSE CAST(s_suppkey % 6 AS INTEGER) END AS rating, CASE WHEN s_suppkey % 4 > 0 THEN 'Bea & Roe' END AS critic, CASE WHEN s_suppkey % 5 > 0 THEN strftime(DATE '2011-01-01' + CAST(s_suppkey AS INTEGER), '%Y-%m-%d') END AS review_date FROM supplier WHERE s_suppkey % 7 <> 0")
+def arts_pages(spark, sf_dir):
+    """Pages of an arts desk: what their titles, stars, bylines and dates say; some are about no book."""
+    k = C("s_suppkey")
+    head = F.when(k % 7 != 0, _said("Ann ", C("s_nationkey").cast("string"), ": Salt &amp; ", C("s_nationkey").cast("string"), " review", F.when(k % 3 != 0, " – well made").otherwise(""))).otherwise("A night out")
+    given = F.when(k % 5 != 0, F.date_format(F.date_add(L("2011-01-01").cast("date"), k.cast("int")), "d MMMM yyyy")).otherwise("30 Smarch 2011")
+    rating = F.when(k % 6 > 0, _said('<div class="editorRating">\n<span>x</span><span class="on">', (k % 6).cast("string"), "</span></div>")).otherwise("")
+    byline = F.when(k % 4 > 0, "<span class='author'>by&nbsp;<a href='/u'>Bea &amp; Roe</a>").otherwise("")
+    page = _said("<title>", head, " | The Arts Desk</title>", rating, byline, "<span class='created'>Monday, ", given, "</span>")
+    p = table(spark, sf_dir, "supplier").select(k.alias("k"), articles.arts_page(page).alias("p")).filter("p IS NOT NULL")
+    return p.select("k", "p.title", "p.author", "p.standfirst", "p.stars", articles.star_rating(C("p.stars")).alias("rating"), "p.critic", "p.review_date")

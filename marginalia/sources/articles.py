@@ -464,3 +464,15 @@ def weekly_page(page: Column) -> tuple[Column, Column, Column]:
     pattern = r"^(.+?):\s+(.+?)\s+review\b\s*[-–—]?\s*(.*)$"
     part = lambda i: F.when(head.rlike(pattern), F.trim(F.regexp_extract(head, pattern, i)))
     return part(2), part(1), F.substring(part(3), 1, 300)
+
+
+def arts_page(page: Column) -> Column:
+    """(title, author, standfirst, stars, critic, review_date) of an arts desk's page; missing where its title names
+    no book."""
+    title, author, standfirst = weekly_page(page)
+    day = F.to_date(F.try_to_timestamp(group(page, r"<span class='created'>\w+, (\d{1,2} \w+ \d{4})</span>"), F.lit("d MMMM yyyy")))
+    row = F.struct(
+        title.alias("title"), author.alias("author"), standfirst.alias("standfirst"), group(page, r'(?s)editorRating.*?<span class="on">(\d)</span>').cast("int").alias("stars"),
+        F.trim(unescape(group(page, r"<span class='author'>by&nbsp;<a[^>]*>([^<]+)</a>"))).alias("critic"), F.date_format(day, "yyyy-MM-dd").alias("review_date"),
+    )
+    return F.when(title.isNotNull(), row)

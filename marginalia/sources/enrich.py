@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import matching
 from ..operators.ordering import numbered
 from ..shipping import ship
-from .articles import without_footer
+from .articles import monthly_book, without_footer
 from .state import State
 
 #: Fields that are asked for, hosts, and how an answer looks.
@@ -49,6 +49,22 @@ def _author_names(names: Column) -> Column:
     return F.array_join(F.slice(names, 1, 3), "; ")
 
 
+TITLE_ROWS = "link string, title string, issue string"
+
+
+def title_pages(state: State, posts: DataFrame, fetch: Callable[[DataFrame], DataFrame], batch: int = BATCH) -> DataFrame:
+    """posts (link, ...) with the title and issue that each post's own page names. Pages are fetched once, as posts
+    come in: run after each batch of a stream of posts, and once more when it has ended. A page that gave no answer
+    has no row, and is asked for again in a later run."""
+
+    def ask(rows: DataFrame) -> DataFrame:
+        title, issue = monthly_book(F.col("body"))
+        return fetch(rows.select("link", F.col("link").alias("url"))).filter("code = 200").select("link", title.alias("title"), issue.alias("issue"))
+
+    log = look_up(state, "titles", posts.select("link").distinct(), ask, TITLE_ROWS, "link", batch)
+    return posts.join(log.select("link", F.col("title").alias("book"), "issue"), "link", "left")
+
+
 # --- a library: one search for a book, then the work that was found ---------------------------------------
 
 LIBRARY_ROWS = "book_key string, matched boolean, ol_work string, ol_title string, ol_author string, cover_url string, first_publish_year int, publisher string, isbn string, subjects array<string>, description string"
