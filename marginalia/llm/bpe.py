@@ -180,6 +180,15 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _told_apart(raw: bytes, bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first places, numbers) of the different pre-tokens by their bytes, where some of them share a hash."""
+    seen: dict[bytes, int] = {}
+    ends = bounds.tolist()
+    inverse = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(ends, ends[1:])], np.int64)
+    first = np.unique(inverse, return_index=True)[1]
+    return keys[first], first, inverse
+
+
 class Codec:
     """Ranks, the perfect hash over them, and the memo of merged pre-tokens. Every single byte must have a rank."""
 
@@ -213,14 +222,14 @@ class Codec:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         keys = textkit.span_hash(textkit.prefix_hash(data), bounds[:-1], bounds[1:])
         uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        raw = data.tobytes()
         # pre-tokens with one hash are compared byte by byte with the first of them
         size = np.diff(bounds)
         lead = first[inverse]
         same = size == size[lead]
         at = textkit.ragged_index(bounds[:-1][same], size[same])
         if not same.all() or not np.array_equal(data[at], data[textkit.ragged_index(bounds[:-1][lead[same]], size[same])]):
-            raise ValueError("two pre-tokens share a hash")
-        raw = data.tobytes()
+            uniq, first, inverse = _told_apart(raw, bounds, keys)
         tokens, place = self.tokens, self.hash.find(uniq)
         memo, packed = self.memo, []
         if len(memo) > MEMO:

@@ -66,7 +66,8 @@ def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: s
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "largest", salts: int = 32) -> DataFrame:
     """The rows of docs that stay, with their columns. Of rows that repeat text and identifier one stays.
 
-    Rows go through the sort whole; the last of each run goes on, at most `salts` for a text."""
+    Rows go through the sort whole, where neighbours are compared in full; the last of each run goes on, at most `salts`
+    for a text, and runs meet by the SHA-256 of their text."""
     _check(keep)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), normal(F.col(text)).alias("body"))
     ends = _runs(rows, keep, salts).filter("last").select("row", "id", "digest")
