@@ -34,6 +34,11 @@ def write_json(df: DataFrame, path: str, order: list[Column] | None = None) -> N
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_document(value: DataFrame, path: str) -> None:
+    """A document of one row, as explorer.home() makes it."""
+    value.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def details(reviews: DataFrame, books: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(shard, slug, d, cover, r): a book's description, cover and its reviews in order of idx.
     reviews: slug, idx, v, critic, outlet, url, quote, src, date; books: slug, description, cover_url."""

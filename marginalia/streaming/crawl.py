@@ -11,9 +11,9 @@ from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ordering import numbered
 from ..sources.state import State
 
 #: Places in line are (round, ord, idx): the round that found the address, its page's place there, the link's place on it.
@@ -45,8 +45,7 @@ def step(state: State, number: int, look: Look, follow: Column, prefer: str, bat
     url and body of a page lead to."""
     queue, visited = state.read("queue", QUEUE), state.read("visited", VISITED)
     place = [F.col("first").desc(), F.col("round"), F.col("ord"), F.col("idx"), F.col("url")]
-    taken = queue.orderBy(*place).limit(batch).withColumn("later", ~F.col("first"))
-    taken = numbered(taken, ["later", "round", "ord", "idx", "url"], "at").drop("later")
+    taken = queue.orderBy(*place).limit(batch).withColumn("at", F.row_number().over(W.orderBy(*place)).cast("long") - 1)  # of a batch
     taken = state.at(state.write(taken))
     seen = state.write(taken.join(look(taken, seconds), "url", "left"))
     seen = state.at(seen)

@@ -51,10 +51,11 @@ def test_deep_pages(spark, tmp_path, parts):
     assert parts == 1 or len({f.split("part=")[1].split("/")[0] for f in files}) <= 2
 
 
-def test_home_document(spark):
+def test_home_document(spark, tmp_path):
     import json
 
     from marginalia.operators import explorer
+    from marginalia.sources import sinks
 
     books = spark.createDataFrame([(i, f"s{i}", f"T{i}", "A", "2024-05-01" if i < 5 else "2023", None, f"2024-01-{i:02d}" if i != 9 else "", f"c{i}") for i in range(10)], "i int, slug string, title string, author string, date string, overall string, lastmod string, cover string")
     rows = [(i, (i + j) % 4 + 1 if j else None, f"r{j}" if j % 2 else " ", f"o{j % 3}") for i in range(8) for j in range(8 + i)]
@@ -67,4 +68,6 @@ def test_home_document(spark):
     adj = {i: (sum(v) + 32.7) / (len(v) + 10) for i, v in own.items()}
     assert [c["slug"] for c in doc["acclaimed"]] == [f"s{i}" for i in sorted(range(1, 5), key=lambda i: (-round(adj[i], 9), -len(own[i]), i))]
     assert doc["acclaimed"][0]["dist"] == [own[int(doc["acclaimed"][0]["slug"][1:])].count(k) for k in (4, 3, 2, 1)] and "cover" not in doc["acclaimed"][0]
+    sinks.write_document(explorer.home(books, reviews, 2025), f"file://{tmp_path}/home")
+    assert json.loads(spark.read.text(f"file://{tmp_path}/home").first().value) == doc
     assert json.loads(explorer.home(books.limit(0), reviews.limit(0), 2025).first().value)["recent"] == []
