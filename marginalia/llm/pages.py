@@ -271,13 +271,18 @@ def _labelled() -> list[str]:
         for name in ("notice", "banner", "search-popular", "promo"):
             for most in (1, 2, 4):
                 pages += [
-                    f'<div class="{name}"><h1>+{_w(4)}</h1>{body * most}</div><div class="extra">-{_w(long // 3)}</div><p>-{_w(2)}</p>',
+                    f'<div class="{name}"><h1>+{_w(4)}</h1>{body * most}</div><div class="promo-extra">-{_w(long // 3)}</div><p>-{_w(2)}</p>',
                     f'<div class="{name}">{body * most}</div><div class="widget">-{_w(long // 2)}</div><div>-{_w(3)}</div>',
                 ]
             for k in (1, 2, 3):
                 pages.append(f'<div class="{name}"><h1>+{_w(3)}</h1>{f"<p>+{_w(long)}</p>" * k}</div><div class="story-menu">-{_w(k)}</div><div class="comments">{f"<p>-{_w(long)}</p>" * 4 * k}</div>')
             pages.append(f'<div>{body}{body}</div><div class="{name}"><p>-{_w(long)}</p><p>-{_w(7)}</p></div>')
             pages.append(f'<div class="{name}"><p>-{_w(long)}</p><p>-{_w(long)}</p></div><div>{body}</div>')
+        for k in (10, 14, 18, 22, 28, long):  # pages that end with their story
+            pages += [f"<div><h2>+{_w(k + 2)}</h2><p>+{_w(k)}</p></div>", f"<h1>+{_w(4)}</h1><p>+{_w(k)}</p>", f"<p>+{_w(long)}</p><p>+{_w(k)}</p>", f"<div><p>+{_w(k)}</p><p>+{_w(long)}</p></div>"]
+        for boiler in ("aside", "footer", "form", "nav"):  # however long, and wherever it stands
+            for k in (8, long, 2 * long):
+                pages += [f"<div>{body}</div><{boiler}><p>-{_w(k)}</p></{boiler}>", f"<{boiler}>-{_w(k)}</{boiler}><div>{body}<p>+{_w(k)}</p></div><{boiler}>-{_w(long)}</{boiler}>", f'<div>{body}<div class="comments"><p>-{_w(k)}</p></div></div><{boiler}>-{_w(k)}</{boiler}>']
         for most in (1, 3, 9):
             said = f"<p>-{_w(long)}</p><p>-{_w(4)}</p><h4>-{_w(2)}</h4>" * most
             pages += [f'<div>{body}</div><div class="comments"><h3>-{_w(2)}</h3>{said}</div>', f'<article>{body}</article><section id="replies"><h2>-{_w(3)}</h2>{said}</section>', f'<article>{body}<div class="comment-list">{said}</div></article>']
@@ -287,7 +292,7 @@ def _labelled() -> list[str]:
 class Tree:
     """A decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 16, least: int = 4):
         self.least = least
         self.root = self._grow(x, y, depth)
 
