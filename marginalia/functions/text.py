@@ -116,17 +116,15 @@ def standfirst(c: Column, most: int = 240) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.when(head.contains(" "), F.regexp_extract(head, "(?s)^(.*) ", 1)).otherwise(head), F.lit("…")))
 
 
-def english_votes(c: Column) -> tuple[Column, Column, Column]:
-    """(words, votes for English, votes for others)."""
+def english_counts(c: Column) -> Column:
+    """Array of words, votes for English, votes for others."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
     votes = lambda w, table: F.size(F.filter(w, lambda x: x.isin(*sorted(set(table)))))
-    counted = let(words, lambda w: F.array(F.size(w), votes(w, ENGLISH), votes(w, FOREIGN)))
-    return counted[0], counted[1], counted[2]
+    return let(words, lambda w: F.array(F.size(w), votes(w, ENGLISH), votes(w, FOREIGN)))
 
 
 def is_english(c: Column) -> Column:
-    n, en, other = english_votes(c)
-    return F.coalesce((n > 0) & (en >= other), F.lit(False))
+    return F.coalesce(let(english_counts(c), lambda v: (v[0] > 0) & (v[1] >= v[2])), F.lit(False))
 
 
 def sentences(c: Column, least: int = 30) -> Column:

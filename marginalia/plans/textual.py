@@ -20,8 +20,8 @@ SQL_FOREIGN = "string_split('der die das und ist nicht mit ein eine einen den de
 
 @query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS words, len(list_filter(ws, lambda x: list_contains({SQL_ENGLISH}, x))) AS english, len(list_filter(ws, lambda x: list_contains({SQL_FOREIGN}, x))) AS \"foreign\" FROM w) SELECT doc_id, words, english, \"foreign\", words > 0 AND english >= \"foreign\" AS is_english FROM c")
 def lang_vote(spark, sf_dir):
-    n, en, other = text.english_votes(F.col("text"))
-    c = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("words"), en.cast("long").alias("english"), other.cast("long").alias("foreign"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", text.english_counts(F.col("text")).alias("v"))  # once a text
+    c = counted.select("doc_id", *[F.get("v", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("words", "english", "foreign"))])
     return c.withColumn("is_english", (F.col("words") > 0) & (F.col("english") >= F.col("foreign")))
 
 

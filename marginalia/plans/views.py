@@ -51,10 +51,9 @@ def year_pool(spark, sf_dir, year=YEAR, least=LEAST):
     """Books first reviewed in a year, with `least` ratings; the year before where that gives fewer than five."""
     r = reviews(spark, sf_dir)
     t = tallies.by(r, "book").join(r.groupBy("book").agg(F.min("date").alias("published")), "book").filter(F.col("n_rated") >= least)
-    pool = t.filter(F.substring("published", 1, 4) == str(year))
-    if pool.limit(SHOWN).count() < SHOWN:
-        pool = t.filter(F.substring("published", 1, 4) == str(year - 1))
-    return pool.join(books(spark, sf_dir), "book")
+    t = t.withColumn("_year", F.substring("published", 1, 4))
+    own = t.agg(F.when(F.count_if(F.col("_year") == str(year)) < SHOWN, str(year - 1)).otherwise(str(year)).alias("_own"))  # one row
+    return t.join(F.broadcast(own), F.col("_year") == F.col("_own")).drop("_year", "_own").join(books(spark, sf_dir), "book")
 
 
 #: The year before, where the pool is too small.
