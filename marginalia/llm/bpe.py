@@ -180,6 +180,25 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: The first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether each run of `size` bytes at a equals the one at b: eight bytes of all runs at once, and what very long
+    runs have beyond that run by run."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    for _ in range(16):
+        if not len(a):
+            return True
+        if ((eight[a] ^ eight[b]) & _FIRST[np.minimum(size, 8)]).any():
+            return False
+        rest = size > 8
+        a, b, size = a[rest] + 8, b[rest] + 8, size[rest] - 8
+    return all(np.array_equal(data[x : x + n], data[y : y + n]) for x, y, n in zip(a.tolist(), b.tolist(), size.tolist()))
+
+
 def _told_apart(raw: bytes, bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, first places, numbers) of the different pre-tokens by their bytes, where some of them share a hash."""
     seen: dict[bytes, int] = {}
@@ -224,11 +243,9 @@ class Codec:
         uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         raw = data.tobytes()
         # pre-tokens with one hash are compared byte by byte with the first of them
-        size = np.diff(bounds)
-        lead = first[inverse]
-        same = size == size[lead]
-        at = textkit.ragged_index(bounds[:-1][same], size[same])
-        if not same.all() or not np.array_equal(data[at], data[textkit.ragged_index(bounds[:-1][lead[same]], size[same])]):
+        size, lead = np.diff(bounds), first[inverse]
+        more = np.flatnonzero(lead != np.arange(len(lead)))
+        if not np.array_equal(size[more], size[lead[more]]) or not equal_bytes(data, bounds[more], bounds[lead[more]], size[more]):
             uniq, first, inverse = _told_apart(raw, bounds, keys)
         tokens, place = self.tokens, self.hash.find(uniq)
         memo, packed = self.memo, []

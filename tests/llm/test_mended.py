@@ -101,3 +101,19 @@ def test_pretokens_that_share_a_hash(monkeypatch):
         assert enc.decode(ids[a:b].tolist()) == t and len(ids[a:b]) > 0 or not t
     # words that the vocabulary holds are found by their hash; others are merged, which gives the same ids
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_equal_bytes():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(6)
+    data = np.frombuffer(bytes(rnd.choices(b"ab", k=300)) * 4 + b"x", np.uint8)
+    runs = [(rnd.randrange(600), rnd.randrange(600), rnd.choice([0, 1, 3, 8, 9, 200, 600])) for _ in range(400)] + [(7, 307, 893), (0, 0, len(data))]
+    for a, b, n in runs:
+        plain = data[a : a + n].tobytes() == data[b : b + n].tobytes()
+        assert bpe.equal_bytes(data, np.array([a]), np.array([b]), np.array([n])) == plain
+    a, b, n = (np.array(x) for x in zip(*runs))
+    same = np.array([data[x : x + k].tobytes() == data[y : y + k].tobytes() for x, y, k in runs])
+    assert bpe.equal_bytes(data, a[same], b[same], n[same]) and not bpe.equal_bytes(data, a, b, n)
