@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dedup, explorer, tallies
+from ..operators import dedup, explorer, ordering, tallies
 from ._register import registry
 from .binding import BOOKS, ORDER_SQL, REVIEWS, books, order, reviews, table
 
@@ -186,8 +186,9 @@ def five_year_share(spark, sf_dir):
 
 @query(f"{R}, x AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY {ORDER_SQL}) AS k FROM r) SELECT book, critic, date, 999 + k AS idx FROM x")
 def detail_ordinals(spark, sf_dir):
-    w = W.partitionBy("book").orderBy(*order())
-    return reviews(spark, sf_dir).select("book", "critic", "date", (999 + F.row_number().over(w)).cast("long").alias("idx"))
+    """Places of a book's reviews behind those of the main set, from 1,000 on; a book may have any number."""
+    rows = ordering.running(reviews(spark, sf_dir), ["book"], order(), {"k": F.lit(1)})
+    return rows.select("book", "critic", "date", (999 + F.col("k")).cast("long").alias("idx"))
 
 
 @query(f"{R}, x AS (SELECT *, row_number() OVER (PARTITION BY critic ORDER BY {ORDER_SQL}) AS k FROM r WHERE v = 4) SELECT critic, book, date FROM x WHERE k <= 3")
