@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import last_segment
-from .operators import matching
+from .operators import dedup, matching
 from .sources import articles, bookpage, sinks, tables, web
 from .sources.state import State
 from .streaming import crawl as crawling
@@ -63,7 +63,8 @@ def _read(state: State, name: str, kind: str) -> DataFrame:
 
 def _merged(books: DataFrame, listed: DataFrame) -> DataFrame:
     """Books with what a sitemap lists (loc, lastmod): new and changed ones are pending."""
-    seen = listed.select(last_segment(F.col("loc")).alias("slug"), "lastmod", F.col("loc").alias("_loc")).dropDuplicates(["slug"])
+    seen = listed.select(last_segment(F.col("loc")).alias("slug"), "lastmod", F.col("loc").alias("_loc"))
+    seen = dedup.keep_by(seen, ["slug"], [F.col("lastmod").desc_nulls_last(), F.col("_loc")])  # one that is listed twice counts as last changed
     merged = matching.upsert(books.select("slug", "lastmod", "status"), seen.select("slug", "lastmod"))
     both = merged.join(books.drop("lastmod", "status"), "slug", "left").join(seen.select("slug", "_loc"), "slug", "left")
     return both.withColumn("url", F.coalesce("url", "_loc")).select(*books.columns)
