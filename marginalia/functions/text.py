@@ -103,6 +103,14 @@ def plain_text(markup: Column) -> Column:
     return clean(unescape(F.regexp_replace(markup, "(?s)<[^>]+>", " ")))
 
 
+def plain_heading(markup: Column, references: dict[str, str]) -> Column:
+    """Tags out, these references decoded in their order and no others, ASCII white space collapsed; missing stays."""
+    s = F.regexp_replace(markup, "<[^>]+>", " ")
+    for name, shown in references.items():
+        s = F.replace(s, F.lit(name), F.lit(shown))
+    return F.regexp_replace(F.regexp_replace(s, "[\\t\\n\\f\\r ]+", " "), r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def trimmed_description(c: Column, most: int = 1500) -> Column:
     """At most `most` characters, ended at the last full sentence."""
     s = F.trim(c)
