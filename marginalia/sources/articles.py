@@ -99,10 +99,11 @@ def headline(c: Column) -> tuple[Column, Column]:
 
 
 def headline_by(c: Column) -> tuple[Column, Column]:
-    """(title, author) of a headline of the form 'Title by Author', reviews' tails cut; no round-ups."""
+    """(title, author) of a headline of the form 'Title by Author', reviews' tails cut; no round-ups. A title in
+    curly quotation marks goes on to where they close, whatever is by whom in it."""
     h = F.regexp_replace(F.trim(c), r"\s*[–\-:|]\s*reviews?\b.*$", "")
     fine = ~c.rlike(r"(?i)roundup|round-up|books of the year")
-    pattern = r"^(.{2,140}?) by (\p{Lu}[^,;:]{2,60})$"
+    pattern = r"^(“[^“”]{1,138}”(?= by )|.{2,140}?) by (\p{Lu}[^,;:]{2,60})$"
     return F.when(fine, F.regexp_replace(group(h, pattern), "^[ \"“”‘’]+|[ \"“”‘’]+$", "")), F.when(fine, F.trim(group(h, pattern, 2)))
 
 

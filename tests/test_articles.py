@@ -31,6 +31,12 @@ def test_headlines(spark):
     assert run(spark, lambda c: a.headline_by(c)[1], ["A Title by Ann Lee – review", "Crime roundup by Ann Lee"]) == ["Ann Lee", None]
 
 
+def test_a_quoted_title_may_say_by(spark):
+    given = ["“Is by Is” by Ann Lee – review", "“Deep” by James Orr", "“Deep” and “Far” by James Orr", "Deep by Day by James Orr"]
+    assert run(spark, lambda c: a.headline_by(c)[0], given) == ["Is by Is", "Deep", "Deep” and “Far", "Deep"]
+    assert run(spark, lambda c: a.headline_by(c)[1], given) == ["Ann Lee", "James Orr", "James Orr", "Day by James Orr"]
+
+
 def test_stars(spark):
     assert run(spark, a.stars, ["★★★☆☆", "★★★★★"]) == [3, 5]
     assert run(spark, a.star_rating, [5, 4, 3, 1, None], "int") == [4, 4, 3, 1, None]

@@ -21,3 +21,9 @@ def test_html_text_decodes_what_its_sql_decodes(spark, tmp_path):
     rows = [(i, f"<h1>{h}</h1><h1>other</h1>") for i, h in enumerate(heads)] + [(90, None), (91, "no heading")]
     got, want = both(spark, tmp_path, "html_text", "pages", "page_id long, html string", rows)
     assert got == want
+
+
+def test_reviewed_books_whose_title_says_by(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["Is by Is"] * 6 + ["by by Me", "One by Two", "by", "a by by", "So by It", "", "So by It go"])] + [(99, None)]
+    got, want = both(spark, tmp_path, "reviewed_books", "documents", "doc_id long, text string", rows)
+    assert got == want
