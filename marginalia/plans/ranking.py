@@ -12,9 +12,9 @@ QUERIES, ORACLES, query = registry()
 
 
 def _model(spark, sf_dir):
-    r = recommend.ratings(reviews(spark, sf_dir), order())
+    r = recommend.ratings(reviews(spark, sf_dir), order()).persist()
     mine = r.filter(F.col("entity") == f"c{READER}").select("book", F.when(F.col("book") % 7 == 0, 0).otherwise(F.col("v")).alias("u"))
-    return recommend.baseline(r.filter(F.col("entity") != f"c{READER}")), mine
+    return recommend.baseline(r.filter(F.col("entity") != f"c{READER}"), dealt=True), recommend.little(mine)
 
 
 def _sql() -> str:

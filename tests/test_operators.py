@@ -86,6 +86,24 @@ def test_recommender_against_plain_loops(spark):
     assert out and all(1 <= x.pred <= 4 and x.book >= 8 for x in out)
 
 
+def test_recommender_moves_sums_not_ratings(spark):
+    """Ratings are dealt by book once; the reader's part of them is found without dealing them anew."""
+    rated = [(b, f"c{e}", True, (b * e) % 4 + 1) for b in range(30) for e in range(12) if (b + e) % 3]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        base = recommend.baseline(spark.createDataFrame(rated, "book int, entity string, signed boolean, v int"))
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        dealt = lambda df: plan(df).count("Exchange hashpartitioning") - plan(base.rated).count("Exchange hashpartitioning")
+        assert dealt(base.rated.join(base.books, "book")) == 1  # the books
+        _, mine = recommend.reader(base, spark.createDataFrame([(b, b % 4) for b in range(8)], "book int, u int"))
+        assert dealt(base.rated.join(mine, "book")) == 0
+        got = {r.entity: r.shared for r in recommend.taste(base, mine).collect()}
+        assert got == {f"c{e}": n for e in range(12) if (n := sum((b + e) % 3 > 0 for b in range(8) if b % 4))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_frontier_visits_once(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 4)], "a long, b long")
     got = {x.node: x.depth for x in refresh.frontier(spark.createDataFrame([(1,)], "node long"), links, 9).collect()}
