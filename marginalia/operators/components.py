@@ -45,6 +45,21 @@ def _checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(found)
 
 
+#: Rows that a table may have to be sent to every task.
+LITTLE = 100_000
+
+
+def written(df: DataFrame) -> DataFrame:
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def little(df: DataFrame) -> DataFrame:
+    """df, written once, and sent to every task if its rows are few; else joins with it are left to the planner."""
+    df = written(df)
+    return F.broadcast(df) if df.limit(LITTLE + 1).count() <= LITTLE else df
+
+
 def critic_spellings(reviews: DataFrame, critic: str = "critic", slug: str = "critic_slug") -> DataFrame:
     """(critic, label): spellings that share a slug or differ in case only have the same label."""
     name = F.concat(F.lit("n:"), F.lower(critic))

@@ -79,7 +79,11 @@ def crawl_pages(spark, sf_dir):
     code = F.when(F.col("page_id").isNull() | (F.col("page_id") % 13 == 5), 404).when(F.col("page_id") % 19 == 4, 500).when((F.col("page_id") % 17 == 3) & (F.col("tries") == 0), 403).otherwise(200)
 
     def look(rows, seconds):
-        found = rows.select("url", "tries", node.alias("node")).join(pages, F.col("node") == F.col("page_id"), "left").withColumn("code", code)
+        asked = rows.select("url", "tries", node.alias("node"))
+        there = pages.join(F.broadcast(asked), F.col("node") == F.col("page_id"))  # of a batch
+        have = pages.select("page_id").join(F.broadcast(asked), F.col("node") == F.col("page_id"), "left_semi")
+        gone = asked.join(F.broadcast(have), F.col("node") == F.col("page_id"), "left_anti")
+        found = there.unionByName(gone, allowMissingColumns=True).withColumn("code", code)
         return found.select("url", "code", F.when(F.col("code") == 200, F.col("html")).alias("body"))
 
     hrefs = F.regexp_extract_all("body", F.lit('<a href="(/[^"]*)"'), F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import recommend
+from ..operators.components import little
 from ._register import registry
 from .binding import BOOKS, ORDER_SQL, READER, REVIEWS, books, order, reviews
 
@@ -14,7 +15,7 @@ QUERIES, ORACLES, query = registry()
 def _model(spark, sf_dir):
     r = recommend.ratings(reviews(spark, sf_dir), order()).persist()
     mine = r.filter(F.col("entity") == f"c{READER}").select("book", F.when(F.col("book") % 7 == 0, 0).otherwise(F.col("v")).alias("u"))
-    return recommend.baseline(r.filter(F.col("entity") != f"c{READER}"), dealt=True), recommend.little(mine)
+    return recommend.baseline(r.filter(F.col("entity") != f"c{READER}"), dealt=True), little(mine)
 
 
 def _sql() -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import little
 from ..sources.state import State
 
 #: Places in line are (round, ord, idx): the round that found the address, its page's place there, the link's place on it.
@@ -46,9 +47,9 @@ def step(state: State, number: int, look: Look, follow: Column, prefer: str, bat
     queue, visited = state.read("queue", QUEUE), state.read("visited", VISITED)
     place = [F.col("first").desc(), F.col("round"), F.col("ord"), F.col("idx"), F.col("url")]
     taken = queue.orderBy(*place).limit(batch).withColumn("at", F.row_number().over(W.orderBy(*place)).cast("long") - 1)  # of a batch
-    taken = state.at(state.write(taken))
-    seen = state.write(taken.join(look(taken, seconds), "url", "left"))
-    seen = state.at(seen)
+    taken = F.broadcast(state.at(state.write(taken)))  # of a batch
+    looked = state.at(state.write(look(taken, seconds)))
+    seen = state.at(state.write(taken.join(looked.select("url", "code"), "url", "left")))
     settled = seen.filter(F.col("code").isin(*SETTLED))
     again = seen.filter(F.col("code").isNull() | F.col("code").isin(*AGAIN, UNASKED))
     later = F.col("code").isNull() | (F.col("code") != UNASKED)
@@ -56,14 +57,18 @@ def step(state: State, number: int, look: Look, follow: Column, prefer: str, bat
         "url", "first", F.when(later, F.lit(number)).otherwise(F.col("round")).cast("int").alias("round"), F.when(later, F.col("at")).otherwise(F.col("ord")).cast("long").alias("ord"),
         F.when(later, F.lit(-1)).otherwise(F.col("idx")).cast("int").alias("idx"), F.when(later, F.col("tries") + 1).otherwise(F.col("tries")).cast("int").alias("tries"),
     )
-    fetched = seen.filter("code = 200")
-    found = fetched.select("at", F.posexplode(follow).alias("idx", "target")).groupBy(F.col("target").alias("url")).agg(F.min(F.struct("at", "idx")).alias("p"), F.max("at").alias("last"))
+    fetched = looked.filter("code = 200")
+    paged = fetched.join(F.broadcast(taken.select("url", "at")), "url")  # bodies stay where they are
+    found = paged.select("at", F.posexplode(follow).alias("idx", "target")).groupBy(F.col("target").alias("url")).agg(F.min(F.struct("at", "idx")).alias("p"), F.max("at").alias("last"))
     # an address of this round counts as queued until it was looked at; one whose answer dropped it may be found anew
     dropped = ~F.coalesce(F.col("code").isin(*SETTLED, *AGAIN, UNASKED), F.lit(True))
     known = seen.select("url", F.when(dropped, F.col("at")).alias("dropped_at"), F.lit(True).alias("was_taken"))
     found = found.join(known, "url", "left").filter("was_taken IS NULL OR last > dropped_at")
-    rest = queue.join(taken.select("url"), "url", "left_anti")
-    fresh = found.join(visited, "url", "left_anti").join(rest, "url", "left_anti")
+    rest = queue.join(F.broadcast(taken.select("url")), "url", "left_anti")
+    found = little(found)
+    # only what was found is looked for in the tables that grow, which are read where they lie
+    old = visited.select("url").unionByName(rest.select("url")).join(found.select("url"), "url", "left_semi")
+    fresh = found.join(little(old), "url", "left_anti")
     fresh = fresh.select("url", F.col("url").contains(prefer).alias("first"), F.lit(number).alias("round"), F.col("p.at").cast("long").alias("ord"), F.col("p.idx").cast("int").alias("idx"), F.lit(0).alias("tries"))
     line = state.write(rest.unionByName(again).unionByName(fresh))
     tries = (F.col("tries") + 1).cast("int").alias("tries")
