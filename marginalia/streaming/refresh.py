@@ -9,7 +9,7 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import _checkpoint_dir
+from ..operators.components import _checkpoint_dir, little, written
 from ..operators.dedup import keep_by
 
 
@@ -58,15 +58,15 @@ def latest_by_stream(spark: SparkSession, path: str, key: str, order: Sequence[s
 def frontier(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, depth): what a crawl from the seeds (node) reaches over links (a, b), breadth first; a visited
     node is not visited again. It ends when a round finds nothing, or after `rounds` if given."""
-    _checkpoint_dir(seeds.sparkSession)
-    visited = seeds.select("node", F.lit(0).alias("depth")).checkpoint()
-    last = visited
+    visited = written(seeds.select("node", F.lit(0).alias("depth")))
+    last = little(visited)
+    links = links.select("a", "b").hint("merge")  # never sent whole, however small its files look
     for depth in count(1) if rounds is None else range(1, rounds + 1):
-        found = last.join(links, last["node"] == links["a"]).select(F.col("b").alias("node")).distinct()
-        last = found.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
+        found = links.join(last, links["a"] == last["node"]).select(F.col("b").alias("node")).distinct()
+        last = little(found.join(visited.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if last.isEmpty():
             break
-        visited = visited.unionByName(last).checkpoint()
+        visited = written(visited.unionByName(last))
     return visited
 
 
