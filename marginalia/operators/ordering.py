@@ -49,9 +49,13 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: M
 
 
 def at_places(df: DataFrame, column: str, places: Sequence[int]) -> dict[int, float]:
-    """The column's values at the given places of its sorted order."""
-    rows = numbered(df.select(column), [column], "_place").filter(F.col("_place").isin(*set(places))).collect()  # one for each place
-    return {r["_place"]: r[column] for r in rows}
+    """The column's values at the given places of its sorted order. Values are counted first, so that one that very
+    many rows have lies in no task as more than a row."""
+    counted = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    at = running(counted.withColumn("_all", F.lit(0)), ["_all"], [F.col("_v")], {"_to": "_n"})
+    hit = F.filter(F.array(*[F.lit(p).cast("long") for p in sorted(set(places))]), lambda p: (p < F.col("_to")) & (p >= F.col("_to") - F.col("_n")))
+    rows = at.select("_v", F.explode(hit).alias("_place")).collect()  # one for each place
+    return {r["_place"]: r["_v"] for r in rows}
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> DataFrame:

@@ -6,6 +6,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators import ordering
 from marginalia.sources.state import State
 from marginalia.streaming import crawl, refresh
 
@@ -56,3 +57,10 @@ def test_crawl_does_not_deal_out_bodies(spark, moved, tmp_path):
     assert sorted(r.url for r in state.read("visited", crawl.VISITED).collect()) == sorted(f"p{i}" for i in range(20))
     assert state.read("pages", crawl.PAGES).filter("length(body) = 102400").count() == 20
     assert found[0] < 500_000
+
+
+def test_places_are_found_among_counted_values(spark, moved):
+    df = spark.range(300_000).select(F.when(F.col("id") % 7 < 5, 0.0).otherwise(1.0).alias("x"))
+    with moved() as found:
+        got = ordering.at_places(df, "x", [0, 214285, 214286, 299999, 300000])
+    assert got == {0: 0.0, 214285: 0.0, 214286: 1.0, 299999: 1.0} and found[0] < 20_000
