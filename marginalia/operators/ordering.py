@@ -67,8 +67,8 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> Data
 class RankIndex:
     """An order written once, of which a page of any depth reads one or two parts.
 
-    The rows lie sorted in ranges, a folder each, with their places in the whole; the first place of each range is
-    kept beside them (a row for each range)."""
+    The rows lie sorted in ranges, a folder each, numbered from some value on in their range; that value and the first
+    place of each range are kept beside them (a row for each range). Rows are written once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -76,27 +76,29 @@ class RankIndex:
     @classmethod
     def write(cls, df: DataFrame, order: Sequence[Column], path: str, parts: int | None = None) -> RankIndex:
         """The order must be total for pages to be the same whenever the index is written anew."""
-        _checkpoint_dir(df.sparkSession)
         dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-        dealt = dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-        dealt = dealt.withColumn("part", F.shiftright("_at", 33).cast("int"))
-        counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
+        dealt = dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        dealt.withColumn("part", F.shiftright("_at", 33).cast("int")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+        counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
         counts = counts.select("part", "n", "low", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))  # a row for each range
-        rows = dealt.join(F.broadcast(counts.select("part", "low", "first")), "part")  # as many rows as ranges
-        rows = rows.withColumn("place", F.col("first") + F.col("_at") - F.col("low") + 1).drop("_at", "low", "first")
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-        counts.select("part", "n", "first").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
         return cls(df.sparkSession, path)
 
+    def _ranges(self, offset: int, size: int) -> dict[int, int]:
+        """The ranges that hold the places offset + 1 to offset + size, each with the place before its number 0."""
+        r = self.spark.read.parquet(f"{self.path}/ranges").filter((F.col("first") < offset + size) & (F.col("first") + F.col("n") > offset))
+        return {x["part"]: x["first"] - x["low"] for x in r.collect()}  # of a page
+
     def parts(self, offset: int, size: int) -> list[int]:
         """The ranges that hold the places offset + 1 to offset + size."""
-        r = self.spark.read.parquet(f"{self.path}/ranges").filter((F.col("first") < offset + size) & (F.col("first") + F.col("n") > offset))
-        return sorted(x["part"] for x in r.select("part").collect())  # of a page
+        return sorted(self._ranges(offset, size))
 
     def page(self, offset: int, size: int) -> DataFrame:
         """The rows of a page with their places from 1 on; only the folders of its ranges are read."""
-        root, parts = f"{self.path}/rows", self.parts(offset, size)
-        if not parts:
-            return self.spark.read.parquet(root).limit(0).drop("part")
-        rows = self.spark.read.option("basePath", root).parquet(*[f"{root}/part={p}" for p in parts])
-        return rows.filter((F.col("place") > offset) & (F.col("place") <= offset + size)).drop("part")
+        root, ranges = f"{self.path}/rows", self._ranges(offset, size)
+        rows = self.spark.read.option("basePath", root).parquet(*[f"{root}/part={p}" for p in sorted(ranges)] or [root])
+        before = F.lit(None).cast("long")
+        for p, x in ranges.items():
+            before = F.when(F.col("part") == p, F.lit(x).cast("long")).otherwise(before)
+        rows = rows.withColumn("place", F.col("_at") + before + 1).drop("part", "_at")  # missing without any range
+        return rows.filter((F.col("place") > offset) & (F.col("place") <= offset + size))

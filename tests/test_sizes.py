@@ -64,3 +64,18 @@ def test_places_are_found_among_counted_values(spark, moved):
     with moved() as found:
         got = ordering.at_places(df, "x", [0, 214285, 214286, 299999, 300000])
     assert got == {0: 0.0, 214285: 0.0, 214286: 1.0, 299999: 1.0} and found[0] < 20_000
+
+
+def test_rank_index_writes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).mapInArrow(count, "id long")
+    index = ordering.RankIndex.write(df, [F.desc("id")], f"{tmp_path}/index", 4)
+    assert [(r.place, r.id) for r in index.page(300, 3).orderBy("place").collect()] == [(301, 699), (302, 698), (303, 697)]
+    assert made.value <= 2000  # a sample for the ranges, and the rows
+    assert "place" not in spark.read.parquet(f"{tmp_path}/index/rows").columns
