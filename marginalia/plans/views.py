@@ -24,10 +24,12 @@ def book_tallies(spark, sf_dir):
 
 @query(f"{R} SELECT book, count(*) AS n_reviews, count(v) AS n_rated, round(avg(v), 6) AS mean_score, count(*) FILTER (v = 4) AS n_rave, count(*) FILTER (v = 1) AS n_pan, min(date) AS first_date, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, arg_min(outlet, ({ORDER_SQL})) AS first_outlet FROM r GROUP BY book")
 def book_rollup(spark, sf_dir):
-    r = reviews(spark, sf_dir)
-    return r.groupBy("book").agg(
+    """The outlet stands in the order behind date and source, so that these say the first one. Rows go to their books
+    as they are: sums of each task would sort its rows first, and put few together."""
+    r = reviews(spark, sf_dir).select("book", "v", "date", "source", "outlet")
+    return r.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "book").groupBy("book").agg(
         F.count(F.lit(1)).alias("n_reviews"), F.count("v").alias("n_rated"), F.round(F.avg("v"), 6).alias("mean_score"), F.count_if(F.col("v") == 4).alias("n_rave"), F.count_if(F.col("v") == 1).alias("n_pan"),
-        F.min("date").alias("first_date"), F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"), F.min_by("outlet", F.struct(*order())).alias("first_outlet"),
+        F.min("date").alias("first_date"), F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"), F.min_by("outlet", F.struct("date", "source", "outlet")).alias("first_outlet"),
     )
 
 

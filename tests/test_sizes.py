@@ -79,3 +79,10 @@ def test_rank_index_writes_its_rows_once(spark, tmp_path):
     assert [(r.place, r.id) for r in index.page(300, 3).orderBy("place").collect()] == [(301, 699), (302, 698), (303, 697)]
     assert made.value <= 2000  # a sample for the ranges, and the rows
     assert "place" not in spark.read.parquet(f"{tmp_path}/index/rows").columns
+
+
+def test_rollup_takes_only_the_columns_that_decide(spark, sf_dir):
+    from marginalia.plans import views
+
+    plan = views.book_rollup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "o_custkey#" not in plan and "l_extendedprice#" not in plan
