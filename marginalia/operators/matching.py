@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_title_case
 from . import ordering
+from .components import written
 from .dedup import keep_by
 
 
@@ -129,8 +130,8 @@ def named(df: DataFrame, key: str, ids: str, names: DataFrame, by: str = "; ") -
 
 def once_per(df: DataFrame, key: str, predict: Callable[[DataFrame], DataFrame], out: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """df with what `predict` adds to each key; keys that stand in several rows are predicted once. by:
-    further columns that depend on the key alone."""
-    return df.join(predict(df.select(key, *by).distinct()).select(key, *out), key)
+    further columns that depend on the key alone. Predictions are written, so that no task makes df twice at a time."""
+    return df.join(written(predict(df.select(key, *by).distinct()).select(key, *out)), key)
 
 
 def due(rows: DataFrame, newest: bool = True, most: int = 0) -> DataFrame:

@@ -86,3 +86,12 @@ def test_rollup_takes_only_the_columns_that_decide(spark, sf_dir):
 
     plan = views.book_rollup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "o_custkey#" not in plan and "l_extendedprice#" not in plan
+
+
+def test_once_per_makes_its_rows_once_a_task(spark):
+    from marginalia.operators import matching
+
+    df = spark.range(100).select((F.col("id") % 30).alias("k"), "id")
+    out = matching.once_per(df, "k", lambda d: d.withColumn("p", F.col("k") * 2), ["p"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert sorted((r.id, r.p) for r in out.collect()) == [(i, i % 30 * 2) for i in range(100)]
