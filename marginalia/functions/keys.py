@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -44,11 +44,13 @@ SHARDS = 128
 
 
 def by_text(f) -> Callable[[Column], Column]:
-    """An Arrow UDF of one string; made inside a function, so that workers need no module of ours."""
+    """An Arrow UDF of one string; made inside a function, so that workers need no module of ours. Beside a batch and
+    its results, a worker holds a few hundred texts at a time."""
 
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
+    @F.arrow_udf(StringType())
+    def run(s: pa.Array) -> pa.Array:
+        some = lambda at: pa.array([None if t is None else f(t) for t in s.slice(at, 200).to_pylist()], pa.string())
+        return pa.concat_arrays([some(at) for at in range(0, max(len(s), 1), 200)])
 
     return run
 

@@ -101,3 +101,16 @@ def test_citations_of_a_small_file_lie_on_all_cores(spark, sf_dir):
     from marginalia.plans import parsing
 
     assert parsing.citations(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_taken_some_at_a_time(spark):
+    """The fold keeps missing texts and their order over many slices, and makes no series of a whole batch."""
+    import inspect
+
+    from marginalia.functions import keys
+
+    df = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("É"), "id")).alias("t"))
+    got = {r.id: r.k for r in df.select("id", keys.fold(F.col("t")).alias("k")).collect()}
+    assert got == {i: f"e{i}" if i % 3 else None for i in range(1000)}
+    assert spark.range(0).select(keys.fold(F.col("id").cast("string")).alias("k")).collect() == []
+    assert "Series" not in inspect.getsource(keys.by_text)
