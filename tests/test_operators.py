@@ -206,6 +206,34 @@ def test_quote_model_reads_words_and_characters(spark):
     assert got[0].score > got[1].score  # known by its characters only
 
 
+def test_gram_vectors_are_those_of_tfidf(spark):
+    texts = ["Été ÉTÉ a an\u00a0ox, the oxen", "the ox the oxen; 😀😀 İstanbul", "", None, " \t an ox \n the an ox ", "x", "oxen oxen an the"]
+    import numpy as np
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    g = models.Grams(rows, (2, 2), 1000)
+    got = {r.id: r.features for r in g.transform(rows).collect()}
+    full = models.terms(rows.na.fill("", ["text"]), True)
+    want = [models.Tfidf(full, f"_{c}", c, 2) for c in ("words", "chars")]
+    for p in want:
+        full = p.transform(full)
+    sizes = [len(p.counter.vocabulary) for p in want]
+    assert g.size == sum(sizes) and all(sizes)
+    for r in full.collect():
+        x = got[r.id]
+        assert x.size == g.size and list(x.indices) == sorted(set(x.indices))
+        for part, inside in ((r.words, x.indices < sizes[0]), (r.chars, x.indices >= sizes[0])):
+            assert np.allclose(sorted(x.values[inside]), sorted(part.values))
+    few = models.Grams(rows, (2, 2), 3)  # the terms that occur most often
+    assert few.size == 6
+
+
+def test_quotations_of_one_file_are_scored_in_many_tasks(spark):
+    from marginalia.plans import registry
+
+    assert registry.QUERIES["quote_model"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_refreshed_gives_up_on_errors(spark):
     kind = "slug string, lastmod string, status string, fetched_at string"
     before = spark.createDataFrame([("a", "1", "ok", "t")], kind)
