@@ -30,18 +30,23 @@ ENCYCLOPEDIA = "https://en.wikipedia.org"
 ENCYCLOPEDIA_ANSWER = "struct<query: struct<pages: map<string, struct<index: int, title: string, extract: string>>>>"
 CATALOGUE_ANSWER = "struct<data: struct<books: array<struct<id: long, slug: string, title: string, release_year: int, description: string, image: struct<url: string>, contributions: array<struct<author: struct<name: string>>>>>>>"
 CATALOGUE_QUERY = "query($t:[String!]) { books(where: {title: {_in: $t}}, limit: 2000, order_by: {users_count: desc}) { id slug title release_year description image { url } contributions(limit: 4) { author { name } } } }"
-#: Titles of a request, keys of a batch that goes into the log at once.
-TITLES, BATCH = 40, 2000
+#: Titles of a request, keys of the first batches that go into the log at once; a later batch has a LOSTth of the
+#: keys before it, so that their number grows with the logarithm of the books'.
+TITLES, BATCH, LOST = 40, 2000, 8
 
 
 def look_up(state: State, name: str, books: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: str, key: str = "book_key", batch: int = BATCH) -> DataFrame:
     """The log `name` after asking for the books that it lacks, batch by batch; ask gives a row for each book that was
-    answered for. Books without an answer are asked for again in a later run."""
+    answered for. Books without an answer are asked for again in a later run. A batch has `batch` books, or a LOSTth of
+    those that were asked for before it where these are more: no run that is stopped loses a greater share."""
     todo = books.join(state.read(name, schema).select(key), key, "left_anti")
     plan = state.at(state.write(numbered(todo, [key], "_n")))
-    for start in range(0, plan.count(), batch):
-        rows = plan.filter((F.col("_n") >= start) & (F.col("_n") < start + batch)).drop("_n")
+    start, n = 0, plan.count()
+    while start < n:
+        end = start + max(batch, start // LOST)
+        rows = plan.filter((F.col("_n") >= start) & (F.col("_n") < end)).drop("_n")
         state.change(append={name: ask(rows)})
+        start = end
     return state.read(name, schema)
 
 

@@ -125,3 +125,16 @@ def test_lookups_in_batches_go_on(spark, tmp_path):
         asked = [json.loads(line) for line in f]
     assert len(asked) == 2 and all(len(t) <= 40 for t in asked) and {t for x in asked for t in x} == {r[1] for r in rows if r[0] not in done}
     assert state.read("hc", enrich.CATALOGUE_ROWS).select(F.count_distinct("book_key")).first()[0] == 130
+
+
+def test_lookups_ask_in_few_rounds(spark, tmp_path):
+    books, state, sizes = spark.range(60).select(F.format_string("k%02d", "id").alias("book_key")), State(spark, f"{tmp_path}/state"), []
+
+    def ask(rows):
+        sizes.append(rows.count())
+        return rows
+
+    log = enrich.look_up(state, "log", books, ask, "book_key string", batch=1)
+    assert sorted(r.book_key for r in log.collect()) == [f"k{i:02d}" for i in range(60)]
+    assert sum(sizes) == 60 and len(sizes) < 35
+    assert all(n <= max(1, sum(sizes[:i]) // enrich.LOST) for i, n in enumerate(sizes))  # what a stop can lose
